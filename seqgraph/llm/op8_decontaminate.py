@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqgraph.checkpoints import saved
 from seqgraph.llm.common import table
 
 # Units of measure, and what a number and a name in mid-sentence look like.
@@ -72,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: in
         parts = F.broadcast(parts)
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     there = with_windows(docs.select("doc_id", template(F.col("text")).alias("words")), n).select("doc_id", F.posexplode_outer("wins").alias("pos", "h"))
-    hits = there.join(parts, "h").groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "size").agg(F.count_distinct("at").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("n_windows") >= least_windows)
+    hits = saved(there.join(parts, "h").groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "size").agg(F.count_distinct("at").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("n_windows") >= least_windows), "op8-hits")
 
     wanted = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("words", template(F.col("text")))
     own = slots(wanted, "doc_id").distinct().withColumnRenamed("value", "doc_value").withColumnRenamed("at", "doc_at")
