@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """Returns ``(node, component)``: the smallest node id that each node of ``edges`` reaches.
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every node of the task's edges with the smallest node it reaches there."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            top.setdefault(u, u)
+            top.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"u": list(top), "v": [root(x) for x in list(top)]}, dtype="int64")
 
-    Alternates large-star and small-star rounds, which take a number of rounds in the logarithm of the component
-    size. Each is one aggregate and one join on the node id, so no component is gathered in one task. Self-loops
-    keep isolated nodes; rows with a null end are ignored; an empty table gives an empty result.
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = 1 << 19) -> DataFrame:
+    """Returns ``(node, component)``, a row a node: the smallest node id that each node of ``edges`` reaches.
+
+    A table that counts at most ``local_edges`` distinct edges is one bounded task. A larger one alternates large-star
+    and small-star rounds, which take a number of rounds in the logarithm of the component size; each is an aggregate
+    and a join on the node id, so no component is gathered in one task, and rounds end early once the table has shrunk
+    to the bound. Self-loops keep isolated nodes; rows with a null end are ignored; an empty table gives no rows.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now = saved(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
+    now = saved(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    nodes = now.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     seen = None
     for _ in range(max_rounds):
+        if now.count() <= local_edges:
+            now = now.coalesce(1).mapInPandas(_forest, "u long, v long")
+            break
+        now = now.where("u <> v")
         # large star: neighbours above a node are hung on the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = hung.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: neighbours below a node, and itself, are hung on the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -35,4 +61,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         seen = mark
     else:
         raise RuntimeError(f"no fixed point in {max_rounds} rounds")
-    return loops.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
