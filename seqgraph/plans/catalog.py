@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from seqgraph.plans import align_queries, graph_queries
+
+QUERIES = graph_queries.QUERIES | align_queries.QUERIES
+SQL = graph_queries.SQL | align_queries.SQL
