@@ -36,7 +36,7 @@ def _blocks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
 def _codes(k: int) -> Column:
     """Codes of all k-mers of ``block``."""
     places = F.when(F.length("block") >= k, F.sequence(F.lit(1), F.length("block") - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(F.translate("block", "ACGT", "0123"), i, F.lit(k)), 4, 10).cast("long"))
+    return F.transform(places, lambda i: F.conv(F.translate(F.substring("block", i, F.lit(k)), "ACGT", "0123"), 4, 10).cast("long"))
 
 
 def _hashed(codes: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqgraph.functions.sequences import karlin_altschul
 from seqgraph.operators import clustering, correction, dbg, haplotype, intervals, seeding, selection, stats
 from seqgraph.plans import fixtures as fx
 from seqgraph.plans.fixtures import with_
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def code(x: str) -> str:
-    return f"list_reduce(list_prepend(0::BIGINT, [strpos('ACGT', c) - 1 for c in string_split({x}, '')]), (a, b) -> a * 4 + b)"
+    return f"list_reduce(list_prepend(0::BIGINT, [strpos('ACGT', c) - 1 for c in string_split({x}, '')]), lambda a, b: a * 4 + b)"
 
 
 MASK = "18446744073709551615"
@@ -262,7 +263,7 @@ def a2_min_score(spark, sf):
     return selection.min_score(fx.alignments(spark, sf), 250.0)
 
 
-@query(with_("alns") + "SELECT read_id, aln_id FROM alns WHERE ln({k!r} * 1e6 * 1500.0 * 1.0::DOUBLE) - {l!r} * ((read_end - read_start) + edits * {m!r}) <= ln(1e-30::DOUBLE)".format(k=__import__("seqgraph.functions.sequences", fromlist=["x"]).karlin_altschul()[1], l=__import__("seqgraph.functions.sequences", fromlist=["x"]).karlin_altschul()[0], m=-0.66 / 0.34 - 1))
+@query(with_("alns") + "SELECT read_id, aln_id FROM alns WHERE ln({k!r}::DOUBLE * 1e6::DOUBLE * 1500.0::DOUBLE) - {l!r}::DOUBLE * ((read_end - read_start) + edits * {m!r}::DOUBLE) <= ln(1e-30::DOUBLE)".format(k=karlin_altschul()[1], l=karlin_altschul()[0], m=-0.66 / 0.34 - 1))
 def a3_e_value(spark, sf):
     return selection.max_e_value(fx.alignments(spark, sf).withColumn("len", F.lit(1500)), 1_000_000, 1e-30).select("read_id", "aln_id")
 

@@ -61,11 +61,11 @@ PAGES = "translate(regexp_replace(lower(html), '[^a-z]', 'N', 'g'), 'abcdefghijk
 
 
 @query(f"""WITH p AS (SELECT page_id AS onode_id, {PAGES} AS seq FROM pages),
-c AS (SELECT onode_id, unnest(range(0, length(seq), 64)) AS at, seq FROM p WHERE length(seq) > 0),
-b AS (SELECT onode_id, at, unnest(range(at + 1, least(at + 64, length(seq)) + 1)) AS i, seq FROM c),
-f AS (SELECT onode_id, at, i, substr(seq, i, 1) AS x, substr(seq, i, 1) = 'N' AS amb FROM b),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY onode_id, at, amb ORDER BY i) AS run FROM f)
-SELECT onode_id, 0 AS seg_off, CAST(min(i) - 1 AS INT) AS chunk_off, CAST(count(*) AS INT) AS chunk_len, string_agg(x, '' ORDER BY i) AS seq, amb AS ambiguous FROM g GROUP BY onode_id, at, amb, run""")
+c AS (SELECT onode_id, unnest(range(0, length(seq), 64)) AS a, seq FROM p WHERE length(seq) > 0),
+b AS (SELECT onode_id, a, unnest(range(a + 1, least(a + 64, length(seq)) + 1)) AS i, seq FROM c),
+f AS (SELECT onode_id, a, i, substr(seq, i, 1) AS x, substr(seq, i, 1) = 'N' AS amb FROM b),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY onode_id, a, amb ORDER BY i) AS run FROM f)
+SELECT onode_id, 0 AS seg_off, CAST(min(i) - 1 AS INT) AS chunk_off, CAST(count(*) AS INT) AS chunk_len, string_agg(x, '' ORDER BY i) AS seq, amb AS ambiguous FROM g GROUP BY onode_id, a, amb, run""")
 def g6_chunks(spark, sf):
     html = F.translate(F.regexp_replace(F.lower("html"), "[^a-z]", "N"), fx.LETTERS, fx.BASES)
     pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("onode_id"), F.lit(0).alias("seg_off"), html.alias("seq"))
@@ -248,7 +248,7 @@ def f10_scores(spark, sf):
 LAM, K = fn.karlin_altschul()
 
 
-@query(with_("alns") + f"SELECT read_id, aln_id, round(ln({K!r} * 1000000 * 1500.0::DOUBLE * exp(-{LAM!r} * ((read_end - read_start) + edits * {-0.66 / 0.34 - 1!r}))), 6) AS ln_e FROM alns WHERE edits < 8")
+@query(with_("alns") + f"SELECT read_id, aln_id, round(ln({K!r}::DOUBLE * 1000000 * 1500.0::DOUBLE * exp(-{LAM!r}::DOUBLE * ((read_end - read_start) + edits * {-0.66 / 0.34 - 1!r}::DOUBLE))), 6) AS ln_e FROM alns WHERE edits < 8")
 def f11_e_value(spark, sf):
     a = fx.alignments(spark, sf).where("edits < 8")
     return a.select("read_id", "aln_id", F.round(F.ln(fn.e_value(F.lit(1e6), F.lit(1500.0), F.col("read_end") - F.col("read_start"), F.col("edits"))), 6).alias("ln_e"))
