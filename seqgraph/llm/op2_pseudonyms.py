@@ -133,7 +133,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     swapped = F.zip_with("private values", "private kinds", lambda v, k: pseudonym(v, k, key))
     joined = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), swapped, lambda gap, v: F.array(gap, F.coalesce(v, F.lit(""))))), "")
     text = F.when(F.size(F.array_compact("private kinds")) > 0, joined).otherwise(F.col("text"))
-    counts = [F.size(F.filter("private kinds", lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter("private kinds", lambda x: x == kind))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return docs.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in kept), *counts)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_language_id", "op3_secrets", "op4_chunk_dedup", "op5_licenses", "op6_tiff", "op8_decontaminate", "op9_packing", "op10_ngram_join")
+MODULES = ("op1_language_id", "op2_pseudonyms", "op3_secrets", "op4_chunk_dedup", "op5_licenses", "op6_tiff", "op7_gru_lm", "op8_decontaminate", "op9_packing", "op10_ngram_join")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
