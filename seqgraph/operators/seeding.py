@@ -59,8 +59,8 @@ def minimizers(seqs: DataFrame, key: str, k: int, w: int) -> DataFrame:
     ``pos`` is the end index of the k-mer in the sequence. Runs of ACGT shorter than w give none.
     """
     n = w - k + 1
-    blocks = _blocks(acgt_runs(seqs.select(key, "seq")), w, n - 1, n + k - 2)
-    blocks = blocks.withColumn("codes", _codes(k)).withColumn("h", _hashed(F.col("codes"))).where(F.size("h") >= n)
+    blocks = _blocks(acgt_runs(seqs.select(key, "seq")), w, n - 1, n + k - 2).where(F.length("block") >= w)
+    blocks = blocks.withColumn("codes", _codes(k)).withColumn("h", _hashed(F.col("codes")))
     blocks = blocks.withColumn("low", F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda j: F.array_min(F.slice("h", j, n))))
     first = lambda i: F.greatest(i - n + 2, F.lit(1))  # noqa: E731  windows that hold k-mer i (from 0) begin at i - n + 2 .. i + 1 (from 1)
     chosen = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.element_at("h", i + 1) == F.array_max(F.slice("low", first(i), F.least(i + 1, F.size("low")) - first(i) + 1)))
@@ -83,7 +83,7 @@ def read_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
 
 def syncmers(seqs: DataFrame, key: str, k: int, s: int = 5) -> DataFrame:
     """``(key, pos, kmer)``: k-mers whose leftmost least s-mer is their first or last; ``pos`` is the start index."""
-    blocks = _blocks(acgt_runs(seqs.select(key, "seq")), k, 0, k - 1).withColumn("h", _hashed(_codes(s))).where(F.size("h") >= k - s + 1)
+    blocks = _blocks(acgt_runs(seqs.select(key, "seq")), k, 0, k - 1).where(F.length("block") >= k).withColumn("h", _hashed(_codes(s)))
     window = lambda i: F.slice("h", i + 1, k - s + 1)
     chosen = F.filter(F.sequence(F.lit(0), F.size("h") - (k - s + 1)), lambda i: F.array_position(window(i), F.array_min(window(i))).isin(1, k - s + 1))
     out = blocks.withColumn("i", F.explode_outer(chosen)).where(f"i is not null and i < {BLOCK}")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from seqgraph.checkpoints import saved
 from seqgraph.operators.components import connected_components
 
+UNROLLED = 3  # steps of a loop between two writes of its state
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -29,7 +31,7 @@ def core_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if count == size:
             return now
         size = count
-        for _ in range(2):  # two layers a round
+        for _ in range(UNROLLED):
             now = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         now = saved(now.select("src", "dst"), "peel")
     raise RuntimeError("the graph is too deep")
@@ -62,8 +64,10 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         size = -1
         while (count := reached.count()) != size:
             size = count
-            back = reached.join(inner, (F.col("node") == F.col("dst")) & (F.col("c") == F.col("a"))).select(F.col("src").alias("node"), "c")
-            reached = saved(reached.union(back).distinct(), "scc")
+            for _ in range(UNROLLED):
+                back = reached.join(inner, (F.col("node") == F.col("dst")) & (F.col("c") == F.col("a"))).select(F.col("src").alias("node"), "c")
+                reached = reached.union(back).distinct()
+            reached = saved(reached, "scc")
         done.append(reached.withColumnRenamed("c", "component"))
         gone = reached.select("node")
         live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
@@ -79,8 +83,10 @@ def _least_reaching(labels: DataFrame, edges: DataFrame, max_rounds: int) -> Dat
     now = saved(labels, "label")
     mark = None
     for _ in range(max_rounds):
-        step = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "c")
-        now = saved(now.union(step).groupBy("node").agg(F.min("c").alias("c")), "label")
+        for _ in range(UNROLLED):
+            step = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "c")
+            now = now.union(step).groupBy("node").agg(F.min("c").alias("c"))
+        now = saved(now, "label")
         told = now.agg(F.sum("c")).first()[0]
         if told == mark:
             return now
@@ -96,8 +102,10 @@ def component_order(edges: DataFrame, components: DataFrame, max_rounds: int = 1
     level = saved(components.select(F.col("component").alias("c"), F.lit(0).alias("level")).distinct(), "level")
     mark = None
     for _ in range(max_rounds):
-        step = level.join(dag, F.col("c") == F.col("a")).select(F.col("b").alias("c"), (F.col("level") + 1).alias("level"))
-        level = saved(level.union(step).groupBy("c").agg(F.max("level").alias("level")), "level")
+        for _ in range(UNROLLED):
+            step = level.join(dag, F.col("c") == F.col("a")).select(F.col("b").alias("c"), (F.col("level") + 1).alias("level"))
+            level = level.union(step).groupBy("c").agg(F.max("level").alias("level"))
+        level = saved(level, "level")
         told = level.agg(F.sum("level")).first()[0]
         if told == mark:
             return components.join(level, F.col("component") == F.col("c")).select("node", "component", "level")
