@@ -194,12 +194,15 @@ def chain_positions(edges: DataFrame, chain: DataFrame, lengths: DataFrame, max_
     size = lengths.select("node", "len")
     inner = edges.join(a, "src").join(b, "dst").where("a = b and src <> dst").select("src", "dst").distinct().join(size.withColumnRenamed("node", "src"), "src")
     moves = saved(inner.select("src", "dst", F.col("len").cast("long").alias("d")).union(inner.select("dst", "src", (-F.col("len")).cast("long"))), "moves")
-    now = saved(chain.where("node = chain").select("node", "chain", F.lit(0).cast("long").alias("chain_pos")), "positions")
-    front = now
+    now = chain.where("node = chain").select("node", "chain", F.struct(F.lit(0).alias("hops"), F.lit(0).cast("long").alias("pos")).alias("way"))
+    size = -1
     for _ in range(max_rounds):
-        step = front.join(moves, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "chain", (F.col("chain_pos") + F.col("d")).alias("chain_pos"))
-        front = saved(step.join(now.select("node"), "node", "left_anti").groupBy("node", "chain").agg(F.min("chain_pos").alias("chain_pos")), "positions")
-        if not front.head(1):
-            return now
-        now = saved(now.union(front), "positions")
+        for _ in range(2 * UNROLLED):
+            step = now.join(moves, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "chain", F.struct((F.col("way.hops") + 1).alias("hops"), (F.col("way.pos") + F.col("d")).alias("pos")).alias("way"))
+            now = now.union(step).groupBy("node", "chain").agg(F.min("way").alias("way"))
+        now = saved(now, "positions")
+        count = now.count()
+        if count == size:
+            return now.select("node", "chain", F.col("way.pos").alias("chain_pos"))
+        size = count
     raise RuntimeError("the chains are too long")
