@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved, shared_dir
 from seqgraph.functions.sequences import trim_name
-from seqgraph.operators import extension, seeding
+from seqgraph.operators import correction, extension, graph, seeding
 from seqgraph.params import AlignParams
-from seqgraph.plans import align
 from seqgraph.plans import fixtures as fx
 from seqgraph.plans.align_queries import IGNORE, INDEX, K, READ_KMERS, WIN
 from seqgraph.plans.fixtures import with_
@@ -165,19 +165,26 @@ def w4_stream_sink(spark, sf):
 
 
 #: A short X-drop: reads are long and share only passages with the graph.
-PARAMS = AlignParams(k=K, w=WIN, ignore_frequent=IGNORE, x_drop=1500, bandwidth=5, min_score=15.0)
-
-
-def alignments(spark, sf) -> DataFrame:
-    edges = fx.edges(spark, sf).withColumn("overlap", F.lit(0))
-    return align.align(fx.reads(spark, sf), fx.nodes(spark, sf), edges, PARAMS)
-
-
-@query()
-def x2_alignments(spark, sf):
-    return alignments(spark, sf).select("read_id", "read_start", "read_end", "path_text", "path_len", "path_start", "path_end", "matches", "block_len", "edits", "xscore", "mapq", "cigar")
+PARAMS = AlignParams(k=K, w=WIN, ignore_frequent=IGNORE, x_drop=600, bandwidth=5)
 
 
 @query()
+def x2_extension(spark, sf):
+    """Both sides of each read's best seed, merged, cleaned and described."""
+    nodes, edges = fx.nodes(spark, sf), fx.edges(spark, sf).withColumn("overlap", F.lit(0))
+    onodes, oedges = saved(graph.orient_nodes(nodes), "onodes"), saved(graph.orient_edges(edges), "oedges")
+    found = seeding.seed_hits(fx.reads(spark, sf), onodes, K, WIN, PARAMS.density, IGNORE)
+    order = W.partitionBy("read_id").orderBy(F.desc("goodness"), "read_pos", "onode_id", "off")
+    best = found.withColumn("r", F.row_number().over(order)).where("r = 1")
+    anchor = best.select(F.col("read_id").cast("string").alias("aln_id"), "read_id", "onode_id", (F.col("off") - K + 1).alias("off"), (F.col("read_pos") - K + 1).alias("read_pos"), "match_len")
+    anchor = saved(anchor.join(onodes.select("onode_id", F.col("len").alias("onode_len")), "onode_id").join(fx.reads(spark, sf).select("read_id", "seq"), "read_id"), "anchors")
+    sides = extension.extend(extension.anchor_starts(anchor), onodes, oedges, PARAMS)
+    alns = extension.cancelled(extension.merged(sides, anchor, onodes, PARAMS.identity), PARAMS.identity)
+    told = extension.described(alns, fx.reads(spark, sf), onodes, oedges)
+    return told.select("read_id", "read_start", "read_end", "path_text", "path_len", "path_start", "path_end", "matches", "block_len", "edits", "xscore")
+
+
+@query(with_("nodes") + "SELECT node_id AS aln_id, seq AS corrected FROM nodes")
 def r1_corrected_segments(spark, sf):
-    return extension.corrected(alignments(spark, sf))
+    steps = fx.nodes(spark, sf).select(F.col("node_id").alias("aln_id"), F.posexplode(F.split("seq", "")).alias("step", "graph_char"))
+    return correction.corrected_segments(steps)
