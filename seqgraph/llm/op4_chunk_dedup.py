@@ -99,7 +99,8 @@ def repeated_runs(docs: DataFrame, least_bytes: int = 100, map_log2: int = 26) -
     twice = docs.select("text").mapInArrow(_halves, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     bits = sc.broadcast(bit_map(twice, "h", map_log2))
     rows = saved(docs.mapInArrow(partial(_repeated, bits=bits), "doc_id long, start long, stop long, h long, h2 long"), "op4-chunks")
-    shared = rows.groupBy("h", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").drop("last_doc_id")
+    # written, so that the join below has an exchange on both sides and a very common chunk can be split
+    shared = saved(rows.groupBy("h", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").drop("last_doc_id"), "op4-shared")
     there = rows.join(shared, ["h", "h2"]).select("doc_id", "start", "stop", "first_doc_id").distinct()
     order = W.partitionBy("doc_id").orderBy("start", "stop")
     opens = F.when(F.col("start") <= F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
