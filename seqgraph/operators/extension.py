@@ -54,10 +54,14 @@ def furthest(states: DataFrame) -> DataFrame:
 
 
 def slide(states: DataFrame, queries: DataFrame, onodes: DataFrame, oedges: DataFrame, max_hops: int = 256) -> DataFrame:
-    """Advances states over equal bases, across node ends, until none moves; where all rest, at no cost."""
+    """Advances states over equal bases, across node ends, until none moves; where all rest, at no cost.
+
+    After each ``max_hops`` hops it is checked that they are no more than bases and nodes allow, else an error tells of
+    a cycle of nodes that their overlaps cover.
+    """
     nodes = onodes.select("onode_id", F.col("seq").alias("nseq"), F.col("len").alias("nlen"))
-    rest, now = None, states
-    for _ in range(max_hops):
+    rest, now, hops = None, states, 0
+    while True:
         both = now.join(nodes, "onode_id").join(queries, ["aln_id", "side"])
         run = equal_run(F.expr(f"substring(query, int(rpos + 1), {WINDOW})"), F.expr(f"substring(nseq, int(off + 1), {WINDOW})"))
         moved = both.withColumn("run", run)
@@ -70,8 +74,9 @@ def slide(states: DataFrame, queries: DataFrame, onodes: DataFrame, oedges: Data
         now = moved.where("more = 2").drop("more").select(*STATE).union(over)
         if not now.head(1):
             return rest
-        now = furthest(now)
-    return rest.union(now)
+        now, hops = furthest(now), hops + 1
+        if hops % max_hops == 0 and hops > queries.agg(F.max(F.length("query"))).first()[0] + onodes.count():
+            raise RuntimeError("states run round a cycle of nodes without bases of their own")
 
 
 def stepped(states: DataFrame, queries: DataFrame, onodes: DataFrame) -> DataFrame:
@@ -106,7 +111,7 @@ def scored(states: DataFrame, identity: float) -> DataFrame:
     return states.withColumn("x", F.col("rpos") - F.col("e") * F.lit(error_cost(identity) / 100))
 
 
-def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, max_edits: int = 200) -> DataFrame:
+def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params) -> DataFrame:
     """``(aln_id, side, onode_id, off, rpos, e, ops, path, x)``: the end of best score of each side, at least its start.
 
     States fall out when they are out of the band, over the budget, more than the X-drop below the side's best score,
@@ -117,7 +122,7 @@ def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, max_
     front = saved(starts.select("aln_id", "side", "onode_id", "off", F.lit(0).cast("long").alias("rpos"), F.lit(0).alias("e"), F.lit("").alias("ops"), F.array("onode_id").alias("path")), "front")
     best = None
     order = W.partitionBy("aln_id", "side").orderBy(F.desc("x"), "e", F.desc("rpos"), "onode_id", "off", "ops")
-    for _ in range(max_edits + 1):
+    while True:  # as edits cost more than a perfect rest can gain, no state lives for ever
         reached = scored(furthest(slide(front, queries, onodes, oedges)), params.identity)
         reached = saved(within_budget(within_band(reached, params.bandwidth), params.cells_per_slice), "reached")
         both = reached if best is None else best.unionByName(reached)
@@ -127,8 +132,7 @@ def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, max_
         lives = lives.where((F.col("x") >= F.col("top") - params.drop) & (F.col("qlen") - (F.col("e") + 1) * cost > F.col("top")))
         front = saved(furthest(stepped(lives.select(*STATE), queries, onodes)), "front")
         if not front.head(1):
-            break
-    return best
+            return best
 
 
 def merged(sides: DataFrame, anchors: DataFrame, onodes: DataFrame, identity: float) -> DataFrame:

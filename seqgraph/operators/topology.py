@@ -138,20 +138,19 @@ def cycle_spurs(edges: DataFrame, tip: DataFrame) -> DataFrame:
     return ahead.join(behind, "node").where("a = b").select("node", F.col("a").alias("neighbor"))
 
 
-def superbubbles(edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def superbubbles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(start, finish)`` of sub-graphs with one way in and one way out, and ``(start, node)`` of what lies inside.
 
     All starts walk at once. A seen node is visited when all that leads to it has been; a start ends where one single
-    node is open, and fails at a dead end or back at itself. Bubbles of more than ``max_rounds`` layers are not found.
+    node is open, and fails at a dead end or back at itself. Each round visits
+    a node more of each live start, so the loop ends.
     """
     edges = saved(edges.select("src", "dst").distinct(), "bubble-edges")
     fan = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("parents"))
     branching = edges.groupBy("src").agg(F.count("*").alias("k")).where("k > 1")
     state = saved(branching.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(True).alias("visited")), "bubble")
     found, inside = [], []
-    for _ in range(max_rounds):
-        if not state.head(1):
-            break
+    while state.head(1):
         steps = state.where("visited").join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
         failed = state.where("visited").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("start").union(steps.where("node = start").select("start")).distinct()
         seen = steps.groupBy("start", "node").agg(F.count("*").alias("k")).join(state.where("visited").select("start", "node"), ["start", "node"], "left_anti").join(failed, "start", "left_anti")

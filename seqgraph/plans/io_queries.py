@@ -12,6 +12,7 @@ from seqgraph.checkpoints import saved, shared_dir
 from seqgraph.functions.sequences import trim_name
 from seqgraph.operators import correction, extension, graph, seeding
 from seqgraph.params import AlignParams
+from seqgraph.plans import align
 from seqgraph.plans import fixtures as fx
 from seqgraph.plans.align_queries import IGNORE, INDEX, K, READ_KMERS, WIN
 from seqgraph.plans.fixtures import with_
@@ -168,6 +169,26 @@ def w4_stream_sink(spark, sf):
 PARAMS = AlignParams(k=K, w=WIN, ignore_frequent=IGNORE, x_drop=600, bandwidth=5)
 
 
+#: The whole plan goes on through longer poor stretches.
+WHOLE = AlignParams(k=K, w=WIN, ignore_frequent=IGNORE, x_drop=1500, bandwidth=5, min_score=15.0)
+
+
+def alignments(spark, sf) -> DataFrame:
+    edges = fx.edges(spark, sf).withColumn("overlap", F.lit(0))
+    return align.align(fx.reads(spark, sf), fx.nodes(spark, sf), edges, WHOLE)
+
+
+@query()
+def x2_alignments(spark, sf):
+    """All selected alignments of each read, by the whole plan."""
+    return alignments(spark, sf).select("read_id", "read_start", "read_end", "path_text", "path_len", "path_start", "path_end", "matches", "block_len", "edits", "xscore", "mapq", "cigar")
+
+
+@query()
+def r1_corrected_alignments(spark, sf):
+    return extension.corrected(alignments(spark, sf))
+
+
 @query()
 def x2_extension(spark, sf):
     """Both sides of each read's best seed, merged, cleaned and described."""

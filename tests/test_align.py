@@ -117,3 +117,26 @@ def test_strands_mirror(example):
     nodes, edges, _ = example
     e = graph.orient_edges(edges).collect()
     assert {(r.src, r.dst) for r in e} == {(r.dst ^ 1, r.src ^ 1) for r in e}
+
+
+def test_slide_goes_on_to_the_last_node(spark):
+    n = 9
+    onodes = spark.createDataFrame([(2 * i, "A", 1) for i in range(n)], "onode_id long, seq string, len int")
+    oedges = spark.createDataFrame([(2 * i, 2 * i + 2, 0) for i in range(n - 1)], "src long, dst long, overlap int")
+    queries = spark.createDataFrame([("a", 1, "A" * n)], "aln_id string, side int, query string")
+    start = spark.createDataFrame([("a", 1, 0, 0, 0, 0, "", [0])], "aln_id string, side int, onode_id long, off long, rpos long, e int, ops string, path array<long>")
+    assert extension.slide(start, queries, onodes, oedges, max_hops=3).agg({"rpos": "max"}).first()[0] == n
+
+
+def test_whole_plan_is_registered():
+    from seqgraph.plans import catalog
+
+    assert {"x2_alignments", "r1_corrected_alignments"} <= set(catalog.QUERIES)
+
+
+def test_superbubble_of_many_layers(spark):
+    from seqgraph.operators import topology
+
+    n = 66
+    edges = [(0, 1), (0, 1000), (1000, n + 1), *[(i, i + 1) for i in range(1, n + 1)]]
+    assert [tuple(r) for r in topology.superbubbles(spark.createDataFrame(edges, "src long, dst long"))[0].collect()] == [(0, n + 1)]
