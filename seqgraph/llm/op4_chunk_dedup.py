@@ -6,7 +6,7 @@ an insertion moves only the chunks around it. Chunks are compared by a 128-bit d
 
 A first pass counts the digests' first halves, pre-aggregated for each task; those that occur twice set a bit in a map
 of fixed size. A second pass emits only the marked chunks, which are counted exactly by both halves: a full map filters
-less but changes nothing. Neighbouring repeated chunks make a run; runs of ``least_bytes`` or more are told.
+less but changes nothing. Neighbouring repeated chunks make a stretch; those of ``least_bytes`` or more are told.
 """
 
 from __future__ import annotations
@@ -87,12 +87,14 @@ def _repeated(batches, bits):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows[k])), *(pa.array(x[k]) for x in (starts, ends, one, two))], ["doc_id", "start", "stop", "h", "h2"])
 
 
-def repeated_runs(docs: DataFrame, least_bytes: int = 100, map_log2: int = 26) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_bytes: int = 100, map_log2: int = 26, within: bool = False) -> DataFrame:
     """``(doc_id, start, stop, first_doc_id, n_chunks)``: runs of bytes of a text that other documents hold too.
 
     ``start`` and ``stop`` are byte places in the UTF-8 text; ``first_doc_id`` is the smallest id that holds the run's
-    first chunk. Null and empty texts have no chunk, rows of a null id are ignored, rows of one id are one document:
-    what is repeated only within it is not told. Other columns are ignored; no rows give no runs.
+    first chunk. Null and empty texts have no chunk, rows of a null id are ignored, rows of one id are one document.
+    With ``within``, what is repeated only within one document is told too, a stretch is broken into runs where its
+    chunks' first holder changes, and ``again`` tells whether the run's chunks occurred before, in a smaller id or
+    further ahead. Other columns are ignored; no rows give no runs.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -100,13 +102,22 @@ def repeated_runs(docs: DataFrame, least_bytes: int = 100, map_log2: int = 26) -
     bits = sc.broadcast(bit_map(twice, "h", map_log2))
     rows = saved(docs.mapInArrow(partial(_repeated, bits=bits), "doc_id long, start long, stop long, h long, h2 long"), "op4-chunks")
     # written, so that the join below has an exchange on both sides and a very common chunk can be split
-    shared = saved(rows.groupBy("h", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").drop("last_doc_id"), "op4-shared")
-    there = rows.join(shared, ["h", "h2"]).select("doc_id", "start", "stop", "first_doc_id").distinct()
+    place = F.struct("doc_id", "start")
+    shared = rows.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    shared = saved(shared.where("first < last" if within else "first.doc_id < last.doc_id").select("h", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "op4-shared")
+    again = F.col("first_doc_id") < F.col("doc_id")
+    again = again | (F.col("first_start") < F.col("start")) if within else again
+    there = rows.join(shared, ["h", "h2"]).select("doc_id", "start", "stop", "first_doc_id", again.alias("again")).distinct()
     order = W.partitionBy("doc_id").orderBy("start", "stop")
-    opens = F.when(F.col("start") <= F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
-    runs = there.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.count("*").alias("n_chunks"))
-    return runs.where(F.col("stop") - F.col("start") >= least_bytes).select("doc_id", "start", "stop", "first_doc_id", "n_chunks")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True))
+    other = (F.lag("first_doc_id").over(order) != F.col("first_doc_id")) | (F.lag("again").over(order) != F.col("again"))
+    there = there.withColumn("apart", apart.cast("int")).withColumn("opens", (apart | other if within else apart).cast("int"))
+    there = there.withColumn("stretch", F.sum("apart").over(order)).withColumn("run", F.sum("opens").over(order))
+    runs = there.groupBy("doc_id", "stretch", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min_by("again", "start").alias("again"), F.count("*").alias("n_chunks"))
+    whole = W.partitionBy("doc_id", "stretch")
+    runs = runs.withColumn("bytes", F.max("stop").over(whole) - F.min("start").over(whole)).where(F.col("bytes") >= least_bytes)
+    return runs.select("doc_id", "start", "stop", "first_doc_id", "n_chunks", *["again"] * within)
 
 
 def _cut(batches):
@@ -124,13 +135,16 @@ def _cut(batches):
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """Removes repeated runs from all texts but those of the smallest id that holds them; other columns stay."""
-    runs = repeated_runs(docs, **how).where("first_doc_id < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("repeats"))
+    """Removes each repeated chunk of the told runs but for its first occurrence, by id and place; other columns stay.
+
+    A chunk in a stretch of repeats shorter than ``least_bytes`` stays where it is.
+    """
+    runs = repeated_runs(docs, **how, within=True).where("again").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("repeats"))
     return docs.join(runs, "doc_id", "left").select(*docs.columns, "repeats").mapInArrow(_cut, docs.schema)
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_runs(table(spark, sf_dir, "documents"))
+    return repeated_runs(table(spark, sf_dir, "documents"), within=True).drop("again")
 
 
 QUERIES = {"op4_chunk_dedup": op4_chunk_dedup}

@@ -82,3 +82,16 @@ def test_edges(spark):
     assert {x.doc_id for x in repeated_runs(df.union(spark.createDataFrame([(9, "intro. " + t)], df.schema))).collect()} == {3, 9}
     assert repeated_runs(df.limit(0)).count() == 0
     assert deduplicated(df).count() == len(rows)
+
+
+def test_every_repeated_passage_survives_exactly_once(spark):
+    r = random.Random(4)
+    a, b, c = (prose(r, 80) for _ in range(3))
+    gap = lambda: " " + prose(r, 40) + " "
+    docs = [(1, gap() + a + gap()), (5, gap() + a + b + gap()), (7, gap() + c + gap() + c + gap()), (9, gap() + b + a + gap()), (11, gap() + c + a + gap())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = "\n".join(x.text for x in deduplicated(df).collect())
+    for passage in (a, b, c):  # chunks at its edges differ with their surroundings
+        raw = passage.encode()
+        inner = [raw[i:j].decode("utf-8", "ignore") for i, j in zip(brute_cuts(raw)[2:-3], brute_cuts(raw)[3:-2], strict=True)]
+        assert inner and [texts.count(x) for x in inner] == [1] * len(inner)
