@@ -474,3 +474,14 @@ def f12_cigar(spark, sf):
 @query(with_("onodes") + "SELECT node_id % 7 AS aln_id, string_agg(CASE WHEN is_rev THEN '<' ELSE '>' END || name, '' ORDER BY onode_id) AS path FROM onodes GROUP BY 1")
 def f13_path_text(spark, sf):
     return writers.path_text(fx.oriented(spark, sf)[0].select((F.col("node_id") % 7).alias("aln_id"), F.col("onode_id").alias("step"), "name", "is_rev"))
+
+
+@query()
+def r2_patched_whole(spark, sf):
+    return correction.patched(short_reads(spark, sf), corrections(spark, sf))
+
+
+@query()
+def t1_summary_whole(spark, sf):
+    rd = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("read_id"), (700 + F.col("o_orderkey") % 900).alias("len"))
+    return stats.summary(rd, fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id")), fx.alignments(spark, sf))

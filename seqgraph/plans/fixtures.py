@@ -38,10 +38,10 @@ def oriented(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return graph.orient_nodes(nodes(spark, sf_dir)), graph.orient_edges(edges(spark, sf_dir))
 
 
-def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A general directed graph of customers, with tips, cycles and a core."""
+def directed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A general directed graph of customers, with tips, cycles and a core; of every eighth order unless ``whole``."""
     n = table(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").select("o_custkey", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").where(F.lit(whole) | (F.col("o_orderkey") % 8 == 0)).select("o_custkey", "o_orderkey")
     return orders.join(F.broadcast(n), F.lit(True)).selectExpr("o_custkey % n as src", "(o_orderkey * 13 + o_custkey) % n as dst").distinct()
 
 

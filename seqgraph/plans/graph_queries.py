@@ -257,3 +257,30 @@ def f11_e_value(spark, sf):
 @query(with_("reads") + "SELECT read_id, len FROM reads WHERE len >= 500")
 def f14_min_length(spark, sf):
     return fx.reads(spark, sf).where("len >= 500").select("read_id", "len")
+
+
+def on_whole(name: str, f) -> None:
+    """A query over all orders, for which the recursive SQL of its namesake is too slow."""
+    QUERIES[f"{name}_whole"] = lambda spark, sf: f(fx.directed(spark, sf, whole=True))
+
+
+on_whole("g8_neighbors", graph.neighbors)
+on_whole("g11_strong_components", topology.strong_components)
+on_whole("g11_component_order", lambda e: topology.component_order(e, topology.strong_components(e)))
+on_whole("g12_in_cycle", lambda e: topology.in_cycle(e, topology.strong_components(e)))
+on_whole("g13_tips", topology.tips)
+on_whole("g14_tip_neighbors", lambda e: topology.unique_neighbors(e, topology.tips(e)))
+on_whole("g15_cycle_spurs", lambda e: topology.cycle_spurs(e, topology.tips(e)))
+on_whole("g16_superbubbles", lambda e: topology.superbubbles(e)[0])
+on_whole("g17_bubble_insides", lambda e: topology.superbubbles(e)[1])
+
+
+@query()
+def f3_is_nucleotides_whole(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", fn.is_nucleotides(F.col("text")).alias("legal"))
+
+
+@query()
+def f11_e_value_whole(spark, sf):
+    a = fx.alignments(spark, sf)
+    return a.select("read_id", "aln_id", F.round(F.ln(fn.e_value(F.lit(1e6), F.lit(1500.0), F.col("read_end") - F.col("read_start"), F.col("edits"))), 6).alias("ln_e"))
