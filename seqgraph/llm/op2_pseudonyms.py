@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from seqgraph.llm.common import table
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 SLASHED = r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
+NATIONAL = r"(?<![\d+(-])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!-?\d)"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
-PATTERN = "|".join((EMAIL, ADDRESS, ISO, SLASHED, SOCIAL, PHONE, CARD))
+PATTERN = "|".join((EMAIL, ADDRESS, ISO, SLASHED, SOCIAL, PHONE, NATIONAL, CARD))
 KINDS = ("email", "address", "date", "social", "phone", "card")
 CYCLE, PARTS, FIRST_DAY = 146097, (189, 773), "1800-01-01"
 
@@ -73,7 +74,7 @@ def luhn_sum(symbols: Column) -> Column:
 
 def day(value: Column) -> Column:
     """The date that value is, or null."""
-    return F.when(F.rlike(value, F.lit(f"^{ISO}$")), F.try_to_date(value, "yyyy-MM-dd")).when(F.rlike(value, F.lit(f"^{SLASHED}$")), F.try_to_date(value, "dd/MM/yyyy"))
+    return F.when(F.rlike(value, F.lit(f"^{ISO}$")), F.try_to_date(value, "yyyy-MM-dd")).when(F.rlike(value, F.lit(f"^{SLASHED}$")), F.coalesce(F.try_to_date(value, "dd/MM/yyyy"), F.try_to_date(value, "MM/dd/yyyy")))
 
 
 def kind_of(value: Column) -> Column:
@@ -86,10 +87,22 @@ def kind_of(value: Column) -> Column:
         .when(found(ISO) | found(SLASHED), F.when(day(value).isNotNull(), "date"))
         .when(found(SOCIAL), F.when(~F.rlike(value, F.lit(r"^(?:000|666|9)|-00-|-0000$")), "social"))
         .when(F.startswith(value, F.lit("+")), F.when(F.size(digits(value)).between(8, 15), "phone"))
+        .when(found(NATIONAL), "phone")
         .when(luhn_sum(digits(value)) % 10 == 0, "card")
     )
 
 
+def card_within(value: Column) -> Column:
+    """``(before, card, behind)`` of the first run of digit groups that is a valid card number, the longest there; or null."""
+    at = F.sequence(F.lit(1), F.length(value))
+    gap = lambda i: ~F.rlike(F.substring(value, i, F.lit(1)), F.lit(r"^\d$"))
+    starts = F.filter(at, lambda i: ~gap(i) & ((i == 1) | gap(i - 1)))
+    ends = F.reverse(F.filter(at, lambda i: ~gap(i) & ((i == F.length(value)) | gap(i + 1))))
+    part = lambda i, j: F.struct(F.substring(value, F.lit(1), i - 1).alias("before"), F.substring(value, i, j - i + 1).alias("card"), F.substring(value, j + 1, F.length(value)).alias("behind"))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j - i >= 12), lambda j: part(i, j))))
+    return F.get(F.filter(parts, lambda p: (F.size(digits(p["card"])) >= 13) & (luhn_sum(digits(p["card"])) % 10 == 0)), F.lit(0))
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
@@ -107,7 +120,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     step = lambda acc, r: F.when(r % 2 == 0, mixed(acc, r)).otherwise(other(acc, r))
     moved = F.aggregate(turns, F.struct((index % PARTS[0]).cast("int").alias("a"), (index / PARTS[0]).cast("int").alias("b")), step, lambda acc: acc["a"] + PARTS[0] * acc["b"])
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), moved)
-    date = F.when(F.contains(value, F.lit("/")), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "yyyy-MM-dd"))
+    date = F.when(F.contains(value, F.lit("/")), F.when(F.try_to_date(value, "dd/MM/yyyy").isNotNull(), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))).otherwise(F.date_format(moved, "yyyy-MM-dd"))
     return (
         F.when(kind == "email", F.concat(refilled(local, permuted(alnum, 36, key, "email"), "[A-Za-z0-9]"), F.lit("@"), domain))
         .when(kind == "address", F.array_join(F.transform(permuted(octets, 256, key, "address"), lambda x: x.cast("string")), "."))
@@ -123,7 +136,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Replaces ``text`` and adds ``n_<kind>`` for each kind; a column of docs of that name is replaced.
 
     Null, empty and clean texts stay as they are, with counts of 0; repeated rows stay. A number that is not valid (a
-    failed check digit, an octet over 255, no real day) is left alone. A social security number's pseudonym has the
+    failed check digit, an octet over 255, no real day) is left alone, but for a card number that is some of its digit groups. A slashed date is dd/MM/yyyy, or
+    MM/dd/yyyy where only that is a day; pseudonyms of the two may coincide. A social security number's pseudonym has the
     format of one but need not be in use.
     """
     kept = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
@@ -131,7 +145,12 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     values = F.when(F.rlike("text", F.lit("[@0-9]")) & F.rlike("text", F.lit(PATTERN)), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("private values", values)
     docs = docs.withColumn("private kinds", F.transform("private values", kind_of))
-    swapped = F.zip_with("private values", "private kinds", lambda v, k: pseudonym(v, k, key))
+    inner = F.zip_with("private values", "private kinds", lambda v, k: F.when(k.isNull() & F.rlike(v, F.lit(f"^{CARD}$")), card_within(v)))
+    docs = docs.withColumn("private cards", inner)
+    docs = docs.withColumn("private kinds", F.zip_with("private kinds", "private cards", lambda k, c: F.coalesce(k, F.when(c.isNotNull(), "card"))))
+    docs = docs.withColumn("private pairs", F.zip_with("private values", "private cards", lambda v, c: F.struct(v.alias("v"), c.alias("c"))))
+    told = lambda p, k: F.concat(F.coalesce(p["c"]["before"], F.lit("")), pseudonym(F.coalesce(p["c"]["card"], p["v"]), k, key), F.coalesce(p["c"]["behind"], F.lit("")))
+    swapped = F.zip_with("private pairs", "private kinds", told)
     joined = F.array_join(F.flatten(F.zip_with(F.split("text", PATTERN, -1), swapped, lambda gap, v: F.array(gap, F.coalesce(v, F.lit(""))))), "")
     text = F.when(F.size(F.array_compact("private kinds")) > 0, joined).otherwise(F.col("text"))
     of = lambda kind: F.size(F.filter("private kinds", lambda x: x == kind))

@@ -45,3 +45,16 @@ def test_is_a_permutation(spark):
     days = spark.range(0, 146097, 7).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     swapped = pseudonymised(days.withColumn("doc_id", F.lit(1)), "k")
     assert swapped.select("text").distinct().count() == days.count() and swapped.where("n_date = 1").count() == days.count()
+
+
+def test_national_phones_both_day_orders_and_cards_beside_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 123", f"order 7 {card}", "4111111111111111 12", "call (555) 123-4567", "call 555-123-4567 now", "on 12/31/2024", "x" * 80 + "@b.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonymised(df, "key").collect()}
+    assert all(got[d].text != t for d, t in enumerate(texts))
+    assert [got[d].n_card for d in range(3)] == [1, 1, 1] and [got[3].n_phone, got[4].n_phone, got[5].n_date, got[6].n_email] == [1, 1, 1, 1]
+    beside = re.match(r"(.*) 123$", got[0].text)[1], re.match(r"order 7 (.*)$", got[1].text)[1], re.match(r"(\d{16}) 12$", got[2].text)[1]
+    assert len({re.sub(" ", "", x) for x in beside}) == 1 and luhn(beside[0]) % 10 == 0
+    assert re.match(r"call \(\d{3}\) \d{3}-\d{4}$", got[3].text) and re.match(r"call \d{3}-\d{3}-\d{4} now$", got[4].text)
+    assert re.match(r"on (0\d|1[0-2])/\d\d/\d{4}$", got[5].text)
