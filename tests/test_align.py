@@ -132,11 +132,3 @@ def test_whole_plan_is_registered():
     from seqgraph.plans import catalog
 
     assert {"x2_alignments", "r1_corrected_alignments"} <= set(catalog.QUERIES)
-
-
-def test_superbubble_of_many_layers(spark):
-    from seqgraph.operators import topology
-
-    n = 66
-    edges = [(0, 1), (0, 1000), (1000, n + 1), *[(i, i + 1) for i in range(1, n + 1)]]
-    assert [tuple(r) for r in topology.superbubbles(spark.createDataFrame(edges, "src long, dst long"))[0].collect()] == [(0, n + 1)]
