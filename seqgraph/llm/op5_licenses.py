@@ -5,8 +5,11 @@ their places is kept, and the gaps between anchors, where more words are unique,
 of a template's words that are aligned is its coverage.
 
 A text is first aligned whole. Where a notice is repeated, no word of it is unique; then the surroundings of each place
-of the template's rarest word are aligned on their own and the best is taken. Rows are independent: there is no shuffle.
-A text is left out early only if it lacks so many template words that no coverage over the bound is possible.
+of the template's rarest word are aligned on their own and the best is taken. Licenses differ in single words, so those
+that tell one from another (its name, a clause, its version) must be among the aligned ones, and a template of fewer than
+``SHORT`` words must be there in full, word after word. Of templates found in overlapping places the one with the most
+aligned words is told. Rows are independent: there is no shuffle. A text is left out early only if it lacks so many
+template words that no coverage over the bound is possible.
 """
 
 from __future__ import annotations
@@ -31,9 +34,30 @@ TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mit-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
+# Words of a template that tell its license from others. Short templates are there in full anyway.
+TELLING = {
+    "apache-2.0-header": "apache license version 2 0",
+    "gpl-header": "gnu general public license version 3",
+    "lgpl-header": "gnu lesser general public license version 3",
+    "bsd-3-clause": "neither name endorse promote",
+    "isc": "fee granted",
+    "mit-text": "free charge",
+    "mit-full": "free charge noninfringement",
+    "mpl-2.0-header": "mozilla public license 2 0",
+}
+SHORT = 16
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
 
@@ -93,7 +117,7 @@ def compact(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
     best: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []
     for p in pairs:
-        if run and p[0] - run[-1][0] > slack:
+        if run and p[0] - run[-1][0] - 1 > slack:
             run = []
         run.append(p)
         if len(run) > len(best):
@@ -101,47 +125,75 @@ def compact(pairs: list[tuple[int, int]], slack: int) -> list[tuple[int, int]]:
     return best
 
 
-def coverage(text: list[str], template: list[str], least: float, slack: int = 12) -> tuple[float, int, int]:
-    """Best coverage, and the first and end word of the text that it spans."""
+def covered(text: list[str], template: list[str], least: float, slack: int = 12) -> list[tuple[int, int]]:
+    """The best run of aligned places: of the whole text, or around a place of the template's rarest word."""
     found = compact(align(text, template), slack)
     if len(found) < least * len(template):
         counts = Counter(w for w in text if w in set(template))
         rare = min((w for w in set(template) if counts[w]), key=lambda w: (counts[w], w), default=None)
         for i in [i for i, w in enumerate(text) if w == rare]:
-            a = max(0, i - len(template) - slack)
-            here = compact(align(text[a : i + len(template) + slack], template), slack)
-            if len(here) > len(found):
-                found = [(x + a, y) for x, y in here]
+            for j in [j for j, w in enumerate(template) if w == rare]:
+                a = max(0, i - j - slack)
+                here = compact(align(text[a : i - j + len(template) + slack], template), slack)
+                if len(here) > len(found):
+                    found = [(x + a, y) for x, y in here]
             if len(found) == len(template):
                 break
-    return (len(found) / len(template), found[0][0], found[-1][0] + 1) if found else (0.0, 0, 0)
-
-
-def _scan(batches, templates: dict[str, list[str]], least: float):
-    vocabulary = {w for t in templates.values() for w in t}
+    return found
+
+
+class Template:
+    """The words of a notice, the share of them that must align, and places of which each word needs one aligned."""
+
+    def __init__(self, text: str, least: float, telling: str = ""):
+        self.words = words(text)
+        self.short = len(self.words) < SHORT
+        self.least = 1.0 if self.short else least
+        self.telling = [{j for j, w in enumerate(self.words) if w == t} for t in words(telling)]
+
+    def find(self, text: list[str]) -> tuple[int, int, int] | None:
+        """Aligned words, first and end word in the text."""
+        found = covered(text, self.words, self.least, 0 if self.short else 12)
+        there = {j for _, j in found}
+        if not found or len(found) < self.least * len(self.words) or not all(t & there for t in self.telling):
+            return None
+        return len(found), found[0][0], found[-1][0] + 1
+
+
+def told(text: list[str], templates: dict[str, Template]) -> list[tuple[str, float, int, int]]:
+    """(name, coverage, first word, end word) of the templates found, by place."""
+    have = set(text)
+    found = []
+    for name, t in templates.items():
+        if sum(w in have for w in t.words) >= t.least * len(t.words) and (got := t.find(text)):
+            found.append((-got[0], name, got[1], got[2]))
+    kept: list[tuple[str, float, int, int]] = []
+    for n, name, a, b in sorted(found):
+        if all(b <= c or d <= a for _, _, c, d in kept):
+            kept.append((name, -n / len(templates[name].words), a, b))
+    return sorted(kept, key=lambda k: k[2])
+
+
+def _scan(batches, templates: dict[str, Template]):
     for batch in batches:
-        out = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            w = words(text)
-            have = vocabulary.intersection(w)
-            for name, t in templates.items():
-                if sum(x in have for x in t) >= least * len(t):
-                    share, a, b = coverage(w, t, least)
-                    if share >= least:
-                        out.append((i, name, share, a, b))
+        out = [(i, *x) for i, text in enumerate(batch.column("text").to_pylist()) for x in told(words(text), templates)]
         cols = list(zip(*out, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "license", "coverage", "first_word", "end_word"])
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, telling: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, license, coverage, first_word, end_word)`` for each template covered by ``least`` or more.
 
-    Words are runs of letters and digits in lower case, and places count words. Null and empty texts, and templates
-    without words, give no row; repeated rows are told each; other columns are ignored.
+    Words are runs of letters and digits in lower case, and places count words. A template's words in ``telling`` must be
+    among the aligned ones; one of fewer than ``SHORT`` words is covered in full, without words between. Of overlapping
+    finds the one with the most aligned words stays, then the first by name; of several places of one template the best,
+    then the first. Null and empty texts, and templates without words, give no row; repeated rows and rows of a null id
+    are told each; other columns are ignored.
     """
-    parts = {k: words(t) for k, t in (TEMPLATES if templates is None else templates).items()}
+    telling = TELLING if templates is None else telling or {}
+    parts = {k: Template(t, least, telling.get(k, "")) for k, t in (TEMPLATES if templates is None else templates).items()}
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(partial(_scan, templates={k: t for k, t in parts.items() if t}, least=least), f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, first_word long, end_word long")
+    return docs.mapInArrow(partial(_scan, templates={k: t for k, t in parts.items() if t.words}), f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, first_word long, end_word long")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

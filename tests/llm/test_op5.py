@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqgraph.llm.op5_licenses import TEMPLATES, align, increasing, licenses, words
+from seqgraph.llm.op5_licenses import SHORT, TEMPLATES, Template, align, covered, increasing, licenses, told, words
 
 
 @settings(max_examples=200, deadline=None)
@@ -39,13 +39,42 @@ def test_notices(spark):
     docs = [(i, prose(60)) for i in range(30)]
     names = list(TEMPLATES)
     docs += [(100 + k, prose(40) + " " + TEMPLATES[n] + " " + prose(40)) for k, n in enumerate(names)]
+    docs += [(None, prose(9) + " " + TEMPLATES["mit"])] * 2
     docs += [(200, "\n".join([TEMPLATES["mit"]] * 3)), (201, None), (202, ""), (203, "w " * 50_000), (204, TEMPLATES["mit-text"].replace("Software", "work product")), (205, "license the under mit released")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, license string")
     got = {}
     for x in licenses(df).collect():
         got.setdefault(x.doc_id, {})[x.license] = x
+    assert licenses(df.where("doc_id is null")).count() == 2
+    got.pop(None)
     assert not any(d < 100 or d in (201, 202, 203, 205) for d in got)
     for k, n in enumerate(names):
         assert got[100 + k][n].coverage == 1 and got[100 + k][n].first_word == 40 and got[100 + k][n].end_word == 40 + len(words(TEMPLATES[n]))
     assert got[200]["mit"].coverage == 1 and 0.8 <= got[204]["mit-text"].coverage < 1
     assert licenses(df.limit(0)).count() == 0 and licenses(df, {}).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=30), st.lists(st.sampled_from("abcdefghij"), min_size=1, max_size=6))
+def test_short_templates_are_found_word_after_word(text, template):
+    """Against plain search."""
+    there = any(text[i : i + len(template)] == template for i in range(len(text)))
+    assert (len(covered(text, template, 1.0, 0)) == len(template)) == there
+
+
+def test_licenses_that_differ_in_a_word():
+    parts = {k: Template(t, 0.8) for k, t in TEMPLATES.items()}
+    names = lambda text: {n for n, *_ in told(words(text), parts)}
+    assert names("Code released under the GPL license") == set()
+    assert names("Licensed under CC BY 4.0") == {"cc-by-4.0"}
+    assert names("This work is licensed under the GNU General Public License, version 2") == {"gpl-2.0"}
+    assert names("All people have rights and seats may be reserved") == set()
+    assert names(TEMPLATES["gpl-header"].replace("version 3", "version 2")) <= {"gpl-header"}  # nothing tells them apart here
+
+
+def test_telling_words(spark):
+    other = {1: TEMPLATES["gpl-header"].replace("version 3", "version 2"), 2: TEMPLATES["apache-2.0-header"].replace("Apache", "Other").replace("apache", "other"), 3: TEMPLATES["lgpl-header"], 4: TEMPLATES["gpl-header"], 5: TEMPLATES["bsd-2-clause"], 6: TEMPLATES["bsd-3-clause"], 7: TEMPLATES["mit-full"].replace("Software", "work product"), 8: TEMPLATES["apache-2.0-header"]}
+    df = spark.createDataFrame(list(other.items()), "doc_id long, text string")
+    got = {x.doc_id: x.license for x in licenses(df).collect()}
+    assert got == {3: "lgpl-header", 4: "gpl-header", 5: "bsd-2-clause", 6: "bsd-3-clause", 7: "mit-full", 8: "apache-2.0-header"}
+    assert SHORT == 16
