@@ -2,7 +2,8 @@
 
 Base spans come from three fixed patterns. The method adds spans: two first-order character models, one of random
 strings and one of ordinary identifiers, are trained from labelled samples (values of base spans against plain words of
-texts without any), and each long token that touches no base span is scored by the log-likelihood ratio of the two.
+texts without any, alone and joined in the ways that names in programs, paths, dates and rulers are written), and each
+long token that touches no base span is scored by the log-likelihood ratio of the two.
 
 Each text is scanned in its row: there is no shuffle, and what is sent to the tasks is one table of 128 x 128 numbers.
 Training reads a hash sample of at most about ``train_rows`` documents, a documented bound.
@@ -25,6 +26,7 @@ HEX = r"[0-9a-f]+"
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (ACCESS, 0, 18), "hex": (r"[0-9a-f]{16,}", 0, 16)}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"[A-Za-z_][A-Za-z0-9_]{5,}"
+RULES = "=-_/+"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 BASE, ADDED, CANDIDATES = "secret spans: base", "secret spans: added", "secret spans: candidates"
 NAMES = ["assign", "access", "hex", "markov"]
@@ -47,6 +49,27 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn(BASE, F.array_sort(F.concat(*(found(text, p, group, least, k) for k, (p, group, least) in enumerate(KINDS.values())))))
 
 
+def joined(words: DataFrame, groups: int = 1024) -> DataFrame:
+    """``(label, v, c)``: identifiers as programs write them, made of three words each of ``(v, c)``.
+
+    A word's neighbours are the next ones of its hash group, and its hash gives the numbers. An identifier counts a ninth
+    of its words' counts, so that the forms weigh in proportion to the words.
+    """
+    held = words.groupBy(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held"))
+    of = lambda i: F.element_at("held", (F.pmod(i, F.size("held")) + 1).cast("int"))
+    three = held.select(F.explode(F.transform("held", lambda _, i: F.struct(of(i).alias("a"), of(i + 1).alias("b"), of(i + 2).alias("d")))).alias("t"))
+    a, b, d = (F.col(f"t.{x}.v") for x in "abd")
+    number = lambda seed, below: F.pmod(F.xxhash64(a, F.lit(seed)), F.lit(below))
+    two = lambda seed, below: F.lpad(number(seed, below).cast("string"), 2, "0")
+    day = F.date_format(F.date_add(F.to_date(F.lit("1990-01-01")), number(1, 16_000).cast("int")), "yyyy-MM-dd")
+    forms = [
+        F.lower(F.concat_ws("_", a, b, d)), F.upper(F.concat_ws("_", a, b, d)), F.lower(F.concat_ws("-", a, b, d)), F.concat_ws("/", a, b, d), F.concat(F.initcap(a), F.initcap(b), F.initcap(d)),
+        F.concat(F.lower(a), F.lit("_"), F.lower(b), F.lit("_v"), number(2, 100).cast("string")), F.concat(F.lower(a), number(3, 2_000).cast("string"), F.lit("/"), b, F.lit("-"), number(4, 100).cast("string")),
+        F.concat(day, F.lit("T"), two(5, 24), F.lit("-"), two(6, 60), F.lit("-"), two(7, 60), F.lit("Z")),
+    ]
+    return three.select(F.lit(0).alias("label"), F.explode(F.array(*forms)).alias("v"), F.ceil((F.col("t.a.c") + F.col("t.b.c") + F.col("t.d.c")) / 9).alias("c"))
+
+
 def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
     """Log-likelihood ratio of each pair of ASCII characters, random over ordinary, as 128 * first + second.
 
@@ -56,6 +79,7 @@ def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
     positive = docs.select(F.lit(1).alias("label"), F.explode(F.transform(BASE, lambda b: b["value"])).alias("v"))
     negative = docs.where(F.size(BASE) == 0).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("v"))
     words = positive.union(negative).groupBy("label", "v").agg(F.count("*").alias("c"))
+    words = words.union(joined(words.where("label = 0").select("v", "c")))
     codes = words.select("label", "c", F.transform(F.split("v", ""), lambda x: F.ascii(x)).alias("a")).where("size(a) > 1")
     pair = F.explode(F.zip_with(F.slice("a", 1, F.size("a") - 1), F.slice("a", 2, F.size("a") - 1), lambda x, y: x * 128 + y))
     counts = {(r.label, r.p): r.c for r in codes.select("label", "c", pair.alias("p")).groupBy("label", "p").agg(F.sum("c").alias("c")).collect()}
@@ -64,9 +88,14 @@ def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
 
 def ratios(counts: dict[tuple[int, int], int]) -> list[float]:
     """From counts by (label, pair). Pairs that a label lacks fall back on its single characters: those of random
-    strings are taken as half even over the 96 printable ones, so characters that the sample lacks cost little."""
+    strings are taken as half even over the 96 printable ones, so characters that the sample lacks cost little. Rulers
+    of one sign are ordinary."""
     if {k for k, _ in counts} != {0, 1}:
         return [0.0] * 128 * 128
+    counts = counts | {}
+    plain = sum(c for (label, _), c in counts.items() if label == 0)
+    for x in map(ord, RULES):
+        counts[0, x * 129] = counts.get((0, x * 129), 0) + plain // 200
     rows, after, total = ([0] * 128, [0] * 128), ([0] * 128, [0] * 128), [0, 0]
     for (label, pair), c in counts.items():
         rows[label][pair // 128] += c
@@ -81,7 +110,7 @@ def ratios(counts: dict[tuple[int, int], int]) -> list[float]:
     return [round(math.log(p(1, x) / p(0, x)), 6) for x in range(128 * 128)]
 
 
-def scan(docs: DataFrame, model: list[float], least_mean: float = 0.7, least_sum: float = 15.0) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], least_mean: float = 2.0, least_sum: float = 25.0) -> DataFrame:
     """Adds the columns BASE and ADDED: spans of the patterns, and of tokens that the models find random.
 
     A token is added if its ratio is at least ``least_sum`` in total and ``least_mean`` a pair, and it overlaps no base
