@@ -24,7 +24,7 @@ def test_verbatim_and_reparameterised(spark):
     d, b = tables(spark, docs, items)
     got = contaminated(d, b).collect()
     assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(20)} | {(50, 0)}
-    assert next(x for x in got if x.doc_id == 50).n_changed == 3 - 1
+    assert next(x for x in got if x.doc_id == 50).n_changed == 3
     assert next(x for x in got if x.doc_id == 0).n_changed == 0
     shuffled = contaminated(d, b, broadcast_rows=0).collect()
     assert sorted(shuffled) == sorted(got)
@@ -44,19 +44,31 @@ def test_windows_equal_brute_force(spark):
     want = set()
     for d, t in docs:
         w = t.split()
-        have = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
         for k, x in items:
             v = x.split()
-            if any(tuple(v[i : i + 8]) in have for i in range(len(v) - 7)):
+            m = min(8, len(v))
+            have = {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}
+            if any(tuple(v[i : i + m]) in have for i in range(len(v) - m + 1)):
                 want.add((d, k))
     assert {(x.doc_id, x.item_id) for x in contaminated(*tables(spark, docs, items)).collect()} == want
     assert want
 
 
+def test_short_and_dense_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "What is 12 times 7 plus 9?"), (3, "Add 3 km, 4 km, 5 km and 6 km"), (4, "Name it"), (5, "12 15 18 21 24 27 30 33 36 40")]
+    docs = [(1, "he asked: What is the capital of France? and left"), (2, "so, What is 12 times 7 plus 9? he said"), (3, "now Add 3 km, 4 km, 5 km and 6 km to it"), (4, "please Name it now"), (5, "row 12 15 18 21 24 27 30 33 36 40 end"), (12, "so, What is 13 times 7 plus 9? he said"), (13, "now Add 3 km, 4 km, 5 km and 7 km to it"), (23, "now Add 3 miles, 4 miles, 5 miles and 6 miles to it"), (14, "please Name that"), (15, "row 12 15 18 21 24 27 30 33 36 41 end"), (11, "What is the colour of France?")]
+    d, b = tables(spark, docs, items)
+    got = contaminated(d, b).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(1, 6)}
+    assert sorted(contaminated(d, b, broadcast_rows=0).collect()) == sorted(got)
+    assert sorted(contaminated(d, b, broadcast_rows=0, map_log2=7).collect()) == sorted(got)
+
+
 def test_edges(spark):
     d, b = tables(spark, [(1, None), (None, "x"), (2, ""), (3, "1 2 3 4 5 6 7 8 9 10"), (4, "w " * 50_000), (4, "w " * 9)], [(1, None), (None, "w w w w w w w w"), (2, "1 2 3 4 5 6 7 8 9"), (3, "short")])
     d = d.selectExpr("*", "1 as item_id", "2 as h", "3 as pos")
     got = contaminated(d, b).collect()
-    assert {(x.doc_id, x.item_id) for x in got} <= {(4, None)}
+    assert {(x.doc_id, x.item_id) for x in got} == {(4, None), (3, 2)}
+    assert sorted(contaminated(d, b, broadcast_rows=0).collect(), key=str) == sorted(got, key=str)
     assert contaminated(d.limit(0), b).count() == 0
     assert contaminated(d, b.limit(0)).count() == 0
