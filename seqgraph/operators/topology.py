@@ -121,11 +121,12 @@ def in_cycle(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def unique_neighbors(edges: DataFrame, tip: DataFrame) -> DataFrame:
-    """``(tip, neighbor)`` of tips whose neighbours that are no tips are one single node, in their direction."""
+    """``(tip, neighbor)`` of tips that have one single neighbour, other than themselves, in their direction."""
     flags = tip.select(F.col("node").alias("n"), "forward_tip", "backward_tip")
+    plain = edges.where("src <> dst")
     # a forward tip hangs on what leads to it, a backward tip on what it leads to
-    fore = edges.join(flags.where("forward_tip").select(F.col("n").alias("dst")), "dst").join(flags.where("not forward_tip").select(F.col("n").alias("src")), "src").select(F.col("dst").alias("tip"), F.col("src").alias("nb"))
-    back = edges.join(flags.where("backward_tip").select(F.col("n").alias("src")), "src").join(flags.where("not backward_tip").select(F.col("n").alias("dst")), "dst").select(F.col("src").alias("tip"), F.col("dst").alias("nb"))
+    fore = plain.join(flags.where("forward_tip").select(F.col("n").alias("dst")), "dst").select(F.col("dst").alias("tip"), F.col("src").alias("nb"))
+    back = plain.join(flags.where("backward_tip").select(F.col("n").alias("src")), "src").select(F.col("src").alias("tip"), F.col("dst").alias("nb"))
     return fore.union(back).groupBy("tip").agg(F.count_distinct("nb").alias("k"), F.min("nb").alias("neighbor")).where("k = 1").drop("k")
 
 
@@ -138,30 +139,35 @@ def cycle_spurs(edges: DataFrame, tip: DataFrame) -> DataFrame:
     return ahead.join(behind, "node").where("a = b").select("node", F.col("a").alias("neighbor"))
 
 
-def superbubbles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def superbubbles(edges: DataFrame, ignorable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(start, finish)`` of sub-graphs with one way in and one way out, and ``(start, node)`` of what lies inside.
 
-    All starts walk at once. A seen node is visited when all that leads to it has been; a start ends where one single
-    node is open, and fails at a dead end or back at itself. Each round visits
-    a node more of each live start, so the loop ends.
+    All nodes start a walk at once; a lone successor without other parents is a bubble with nothing inside. A seen node
+    is visited when all that leads to it has been; a start ends where one single node is open, and fails at a dead end
+    or back at itself. Edges from a node to itself are left out. Nodes of ``ignorable`` are not walked to and do not
+    count as parents; where they start, their bubble has no inside. A node that leads only to itself or to such nodes is
+    a dead end, so that no result depends on the order of visits. Each round visits a node more of each live start, so
+    the loop ends.
     """
-    edges = saved(edges.select("src", "dst").distinct(), "bubble-edges")
-    fan = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("parents"))
-    branching = edges.groupBy("src").agg(F.count("*").alias("k")).where("k > 1")
-    state = saved(branching.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(True).alias("visited")), "bubble")
+    every = saved(edges.select("src", "dst").distinct(), "bubble-edges")
+    none = ignorable.select("node").distinct() if ignorable is not None else every.limit(0).select(F.col("src").alias("node"))
+    walk = every.where("src <> dst").join(none.withColumnRenamed("node", "dst"), "dst", "left_anti").join(none.select(F.col("node").alias("src"), F.lit(0).alias("own")), "src", "left").select("src", "dst", F.coalesce("own", F.lit(1)).alias("own"))
+    walk = saved(walk, "bubble-edges")
+    out = walk.select(F.col("src").alias("node")).distinct()
+    fan = walk.groupBy(F.col("dst").alias("node")).agg(F.sum("own").alias("parents"))
+    state = saved(walk.select(F.col("src").alias("start"), F.col("src").alias("node")).distinct(), "bubble")
     found, inside = [], []
     while state.head(1):
-        steps = state.where("visited").join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-        failed = state.where("visited").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("start").union(steps.where("node = start").select("start")).distinct()
-        seen = steps.groupBy("start", "node").agg(F.count("*").alias("k")).join(state.where("visited").select("start", "node"), ["start", "node"], "left_anti").join(failed, "start", "left_anti")
+        steps = state.join(walk, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), "own")
+        failed = state.join(out, "node", "left_anti").select("start").union(steps.where("node = start").select("start")).distinct()
+        seen = steps.groupBy("start", "node").agg(F.sum("own").alias("k")).join(state, ["start", "node"], "left_anti").join(failed, "start", "left_anti")
         open_ = saved(seen.join(fan, "node").withColumn("ready", F.col("k") == F.col("parents")), "bubble")
         sizes = open_.groupBy("start").agg(F.count("*").alias("open"), F.sum(F.col("ready").cast("int")).alias("ready_n"), F.min("node").alias("finish"))
-        ends = saved(sizes.where("open = 1 and ready_n = 1").select("start", "finish").join(edges.select(F.col("src").alias("finish"), F.col("dst").alias("start")), ["start", "finish"], "left_anti"), "bubble")
+        ends = saved(sizes.where("open = 1 and ready_n = 1").select("start", "finish").join(every.select(F.col("src").alias("finish"), F.col("dst").alias("start")), ["start", "finish"], "left_anti"), "bubble")
         found.append(ends)
-        inside.append(state.join(ends, "start", "left_semi").where("node <> start").select("start", "node"))
+        inside.append(state.join(ends, "start", "left_semi").where("node <> start").join(none.withColumnRenamed("node", "start"), "start", "left_anti").select("start", "node"))
         go = sizes.where("ready_n > 0 and open > 1").select("start")
-        kept = state.join(go, "start", "left_semi")
-        state = saved(kept.union(open_.where("ready").join(go, "start", "left_semi").select("start", "node", F.lit(True))), "bubble")
+        state = saved(state.join(go, "start", "left_semi").union(open_.where("ready").join(go, "start", "left_semi").select("start", "node")), "bubble")
     bubbles, inner = found[0] if found else edges.limit(0).toDF("start", "finish"), inside[0] if inside else edges.limit(0).toDF("start", "node")
     for f, i in zip(found[1:], inside[1:], strict=True):
         bubbles, inner = bubbles.union(f), inner.union(i)
@@ -169,18 +175,20 @@ def superbubbles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """``(node, chain)``: nodes joined by edges of tips, lone neighbours, cycle spurs and insides of bubbles."""
+    """``(node, chain)``: nodes joined by edges of tips, lone neighbours, cycle spurs, and bubbles with their insides.
+
+    Tips and spurs, all found before any bubble, stand aside when bubbles are looked for.
+    """
     edges = saved(edges.select("src", "dst").distinct(), "chain-edges")
     tip = saved(tips(edges), "chain-tips")
-    some = tip.where("forward_tip or backward_tip").select("node")
-    both = edges.join(some.withColumnRenamed("node", "src"), "src", "left_semi").join(some.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    links = both.union(unique_neighbors(edges, tip)).union(cycle_spurs(edges, tip))
-    core = edges.join(some.withColumnRenamed("node", "src"), "src", "left_anti").join(some.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-    if core.head(1):
-        bubbles, inner = superbubbles(core)
-        links = links.union(bubbles).union(inner)
+    spurs = saved(cycle_spurs(edges, tip), "chain-spurs")
+    fore, back = tip.where("forward_tip").select(F.col("node").alias("src")), tip.where("backward_tip").select(F.col("node").alias("dst"))
+    links = edges.join(fore, "src", "left_semi").select("src", "dst").union(edges.join(back, "dst", "left_semi").select("src", "dst"))
+    links = links.union(unique_neighbors(edges, tip)).union(spurs)
+    aside = tip.where("forward_tip or backward_tip").select("node").union(spurs.select("node"))
+    bubbles, inner = superbubbles(edges, aside)
     own = nodes_of(edges).select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    return connected_components(links.union(own)).withColumnRenamed("component", "chain")
+    return connected_components(links.union(bubbles).union(inner).union(own)).withColumnRenamed("component", "chain")
 
 
 def chain_positions(edges: DataFrame, chain: DataFrame, lengths: DataFrame, max_rounds: int = 10_000) -> DataFrame:

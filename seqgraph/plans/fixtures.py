@@ -45,6 +45,12 @@ def directed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
     return orders.join(F.broadcast(n), F.lit(True)).selectExpr("o_custkey % n as src", "(o_orderkey * 13 + o_custkey) % n as dst").distinct()
 
 
+def knots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small graph of at most 16 nodes for each customer, by its orders: rings, bubbles in bubbles, tips, self-loops."""
+    to = "o_custkey * 16 + case o_orderkey % 7 when 0 then a when 1 then (a + 2) % 7 when 2 then (a + 3) % 7 when 3 then a + 7 else (a + 1) % 7 end as dst"
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "(o_orderkey div 7) % 7 as a").selectExpr("o_custkey * 16 + a as src", to).distinct()
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select("*", F.row_number().over(order).alias("aln_id"))
@@ -60,6 +66,7 @@ SQL = {
     "onodes": "onodes AS (SELECT 2 * node_id AS onode_id, node_id, false AS is_rev, name, seq, CAST(length(seq) AS INT) AS len FROM nodes UNION ALL SELECT 2 * node_id + 1, node_id, true, name, reverse(translate(seq, 'ACGT', 'TGCA')), CAST(length(seq) AS INT) FROM nodes)",
     "oedges": "oedges AS (SELECT DISTINCT src, dst, overlap FROM (SELECT 2 * from_id AS src, 2 * to_id AS dst, overlap FROM edges UNION ALL SELECT 2 * to_id + 1, 2 * from_id + 1, overlap FROM edges))",
     "directed": "directed AS (SELECT DISTINCT o_custkey % n AS src, (o_orderkey * 13 + o_custkey) % n AS dst FROM orders, (SELECT count(*) AS n FROM customer) WHERE o_orderkey % 8 = 0)",
+    "knots": "knots AS (SELECT DISTINCT o_custkey * 16 + a AS src, o_custkey * 16 + CASE o_orderkey % 7 WHEN 0 THEN a WHEN 1 THEN (a + 2) % 7 WHEN 2 THEN (a + 3) % 7 WHEN 3 THEN a + 7 ELSE (a + 1) % 7 END AS dst FROM (SELECT o_custkey, o_orderkey, (o_orderkey // 7) % 7 AS a FROM orders))",
     "alns": "alns AS (SELECT *, (100 * (read_end - read_start) - 294 * edits) / 100.0::DOUBLE AS xscore FROM (SELECT l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS aln_id, (l_partkey * 37) % 900 AS read_start, (l_partkey * 37) % 900 + 60 + 10 * CAST(l_quantity AS INT) AS read_end, CAST(round(l_discount * 100) AS INT) AS edits, l_suppkey % 5 AS path FROM lineitem))",
     "segs": """cuts AS (SELECT onode_id, 0 AS cut FROM onodes UNION SELECT onode_id, len FROM onodes UNION SELECT dst, overlap FROM oedges WHERE overlap > 0
   UNION SELECT src, len - overlap FROM oedges JOIN onodes ON onode_id = src WHERE overlap > 0),

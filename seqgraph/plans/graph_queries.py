@@ -142,8 +142,8 @@ def g13_tips(spark, sf):
     return topology.tips(fx.directed(spark, sf))
 
 
-@query(TIPS + """SELECT tip, min(nb) AS neighbor FROM (SELECT dst AS tip, src AS nb FROM directed JOIN tips t ON t.node = dst AND t.forward_tip JOIN tips u ON u.node = src AND NOT u.forward_tip
-UNION SELECT src, dst FROM directed JOIN tips t ON t.node = src AND t.backward_tip JOIN tips u ON u.node = dst AND NOT u.backward_tip) GROUP BY tip HAVING count(DISTINCT nb) = 1""")
+@query(TIPS + """SELECT tip, min(nb) AS neighbor FROM (SELECT dst AS tip, src AS nb FROM directed JOIN tips t ON t.node = dst AND t.forward_tip WHERE src <> dst
+UNION SELECT src, dst FROM directed JOIN tips t ON t.node = src AND t.backward_tip WHERE src <> dst) GROUP BY tip HAVING count(DISTINCT nb) = 1""")
 def g14_tip_neighbors(spark, sf):
     e = fx.directed(spark, sf)
     return topology.unique_neighbors(e, topology.tips(e))
@@ -156,27 +156,75 @@ def g15_cycle_spurs(spark, sf):
     return topology.cycle_spurs(e, topology.tips(e))
 
 
-@query()
-def g16_superbubbles(spark, sf):
-    e = fx.oriented(spark, sf)[1].select("src", "dst").union(fx.directed(spark, sf).select(*(F.col(c) + 1_000_000 for c in ("src", "dst"))))
-    return topology.superbubbles(e)[0]
+def bubble_sql(edges: str, aside: str) -> str:
+    """Tables bub (s, t) and ins (s, u) of a graph of many small parts, by all pairs within a part (node // 16).
 
+    in_ is what s reaches without passing t. All that leads into it, and to t, comes from it; nothing leads back to s; it
+    has no cycle and no dead end. Of several ends the nearest counts.
+    """
+    return f"""part AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges}),
+w AS (SELECT DISTINCT src, dst FROM {edges} WHERE src <> dst AND dst NOT IN (SELECT node FROM {aside})),
+par AS (SELECT src, dst FROM w WHERE src NOT IN (SELECT node FROM {aside})),
+in_ AS (SELECT a.node AS s, b.node AS t, a.node AS u FROM part a JOIN part b ON a.node // 16 = b.node // 16 AND a.node <> b.node WHERE a.node IN (SELECT src FROM w)
+  UNION SELECT in_.s, in_.t, w.dst FROM in_ JOIN w ON w.src = in_.u WHERE w.dst <> in_.t),
+led AS (SELECT DISTINCT in_.s, in_.t FROM in_ JOIN w ON w.src = in_.u AND w.dst = in_.t),
+bad AS (SELECT l.s, l.t FROM led l JOIN par p ON p.dst = l.t LEFT JOIN in_ ON in_.s = l.s AND in_.t = l.t AND in_.u = p.src WHERE in_.u IS NULL
+  UNION SELECT i.s, i.t FROM in_ i JOIN par p ON p.dst = i.u AND i.u <> i.s LEFT JOIN in_ j ON j.s = i.s AND j.t = i.t AND j.u = p.src WHERE j.u IS NULL
+  UNION SELECT i.s, i.t FROM in_ i JOIN w ON w.src = i.u AND w.dst = i.s
+  UNION SELECT l.s, l.t FROM led l JOIN {edges} e ON e.src = l.t AND e.dst = l.s
+  UNION SELECT i.s, i.t FROM in_ i WHERE i.u NOT IN (SELECT src FROM w)),
+maybe AS (SELECT s, t FROM led EXCEPT SELECT s, t FROM bad),
+lo AS (SELECT i.s, i.t, i.u AS a, w.dst AS b FROM maybe m JOIN in_ i ON i.s = m.s AND i.t = m.t JOIN w ON w.src = i.u AND w.dst <> i.t
+  UNION SELECT lo.s, lo.t, lo.a, w.dst FROM lo JOIN w ON w.src = lo.b AND w.dst <> lo.t),
+fine AS (SELECT s, t FROM maybe EXCEPT SELECT s, t FROM lo WHERE a = b),
+bub AS (SELECT f.s, arg_min(f.t, n) AS t FROM fine f JOIN (SELECT s, t, count(*) AS n FROM in_ GROUP BY s, t) c ON c.s = f.s AND c.t = f.t GROUP BY f.s),
+ins AS (SELECT i.s, i.u FROM in_ i JOIN bub ON bub.s = i.s AND bub.t = i.t WHERE i.u <> i.s AND i.s NOT IN (SELECT node FROM {aside}))"""
 
-@query()
-def g17_bubble_insides(spark, sf):
-    return topology.superbubbles(fx.directed(spark, sf))[1]
+
+NOBODY = "nobody AS (SELECT src AS node FROM knots WHERE false)"
 
 
-@query(with_("oedges", recursive=True) + """, e AS (SELECT src AS a, dst AS b FROM oedges UNION SELECT dst, src FROM oedges), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
-SELECT node, min(c) AS chain FROM r GROUP BY node""")
+@query(with_("knots", recursive=True) + f", {NOBODY}, {bubble_sql('knots', 'nobody')} SELECT s AS start, t AS finish FROM bub")
+def g16_superbubbles(spark, sf):
+    return topology.superbubbles(fx.knots(spark, sf))[0]
+
+
+@query(with_("knots", recursive=True) + f", {NOBODY}, {bubble_sql('knots', 'nobody')} SELECT s AS start, u AS node FROM ins")
+def g17_bubble_insides(spark, sf):
+    return topology.superbubbles(fx.knots(spark, sf))[1]
+
+
+# tips, spurs and bubbles of the small parts, then what they hold together
+CHAINS = with_("knots", recursive=True) + """, rea AS (SELECT src AS a, dst AS b FROM knots UNION SELECT r.a, k.dst FROM rea r JOIN knots k ON k.src = r.b),
+cyc AS (SELECT a AS node FROM rea WHERE a = b),
+fore AS (SELECT src AS node FROM knots UNION SELECT dst FROM knots EXCEPT (SELECT node FROM cyc UNION SELECT a FROM rea WHERE b IN (SELECT node FROM cyc))),
+back AS (SELECT src AS node FROM knots UNION SELECT dst FROM knots EXCEPT (SELECT node FROM cyc UNION SELECT b FROM rea WHERE a IN (SELECT node FROM cyc))),
+tip AS (SELECT node FROM fore UNION SELECT node FROM back),
+near AS (SELECT dst AS node, src AS nb FROM knots WHERE src <> dst AND dst IN (SELECT node FROM fore) UNION SELECT src, dst FROM knots WHERE src <> dst AND src IN (SELECT node FROM back)),
+core AS (SELECT src, dst FROM knots WHERE src <> dst AND src NOT IN (SELECT node FROM tip) AND dst NOT IN (SELECT node FROM tip)),
+spur AS (SELECT f.node, a AS nb FROM (SELECT src AS node, min(dst) AS a FROM core GROUP BY 1 HAVING count(DISTINCT dst) = 1) f JOIN (SELECT dst AS node, min(src) AS b FROM core GROUP BY 1 HAVING count(DISTINCT src) = 1) g ON f.node = g.node AND a = b),
+aside AS (SELECT node FROM tip UNION SELECT node FROM spur), """ + bubble_sql("knots", "aside") + """,
+held AS (SELECT src AS a, dst AS b FROM knots WHERE src IN (SELECT node FROM fore) OR dst IN (SELECT node FROM back) UNION SELECT node, min(nb) FROM near GROUP BY node HAVING count(DISTINCT nb) = 1
+  UNION SELECT node, nb FROM spur UNION SELECT s, t FROM bub UNION SELECT s, u FROM ins),
+two AS (SELECT a, b FROM held UNION SELECT b, a FROM held),
+touch AS (SELECT node, node AS c FROM part UNION SELECT two.b, touch.c FROM touch JOIN two ON two.a = touch.node),
+chain AS (SELECT node, min(c) AS chain FROM touch GROUP BY node)"""
+
+
+@query(CHAINS + " SELECT node, chain FROM chain")
 def g18_chains(spark, sf):
-    return topology.chains(fx.oriented(spark, sf)[1])
+    return topology.chains(fx.knots(spark, sf))
 
 
-@query()
+@query(CHAINS + """, mv AS (SELECT DISTINCT k.src AS a, k.dst AS b, 5 + k.src % 16 AS d FROM knots k JOIN chain x ON x.node = k.src JOIN chain y ON y.node = k.dst WHERE x.chain = y.chain AND k.src <> k.dst),
+mo AS (SELECT a, b, d FROM mv UNION SELECT b, a, -d FROM mv),
+hops AS (SELECT node, 0 AS h FROM chain WHERE node = chain UNION SELECT mo.b, h + 1 FROM hops JOIN mo ON mo.a = hops.node WHERE h < 16),
+lay AS (SELECT node, min(h) AS h FROM hops GROUP BY node),
+pos AS (SELECT node, h, CAST(0 AS BIGINT) AS p FROM lay WHERE h = 0 UNION ALL (SELECT y.node, y.h, CAST(min(pos.p + mo.d) AS BIGINT) FROM pos JOIN mo ON mo.a = pos.node JOIN lay y ON y.node = mo.b AND y.h = pos.h + 1 GROUP BY y.node, y.h))
+SELECT pos.node, chain, p AS chain_pos FROM pos JOIN chain ON chain.node = pos.node""")
 def g19_chain_positions(spark, sf):
-    onodes, oedges = fx.oriented(spark, sf)
-    return topology.chain_positions(oedges, topology.chains(oedges), onodes.select(F.col("onode_id").alias("node"), "len"))
+    knots = fx.knots(spark, sf)
+    return topology.chain_positions(knots, topology.chains(knots), topology.nodes_of(knots).withColumn("len", (5 + F.col("node") % 16).cast("int")))
 
 
 @query(with_("nodes") + "SELECT CAST(sum(length(seq)) AS BIGINT) AS bp, count(*) AS n_nodes, bool_and(regexp_matches(name, '^[1-9][0-9]*$')) AS all_numeric FROM nodes")
@@ -273,6 +321,7 @@ on_whole("g14_tip_neighbors", lambda e: topology.unique_neighbors(e, topology.ti
 on_whole("g15_cycle_spurs", lambda e: topology.cycle_spurs(e, topology.tips(e)))
 on_whole("g16_superbubbles", lambda e: topology.superbubbles(e)[0])
 on_whole("g17_bubble_insides", lambda e: topology.superbubbles(e)[1])
+on_whole("g18_chains", topology.chains)
 
 
 @query()
