@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seqgraph.functions.sequences import revcomp
 
 CHUNK = 64
-PARTS = 64
+PART_ROWS, MOST_PARTS = 1 << 18, 4096
 
 
 def assign_ids(mentions: DataFrame, start: int = 0) -> DataFrame:
@@ -19,7 +19,8 @@ def assign_ids(mentions: DataFrame, start: int = 0) -> DataFrame:
     the offsets, so no task holds all names. A null name has no id.
     """
     first = mentions.where("name is not null").groupBy("name").agg(F.min("place").alias("place"))
-    bounds = sorted(set(first.approxQuantile("place", [i / PARTS for i in range(1, PARTS)], 0.002)))
+    parts = min(MOST_PARTS, first.count() // PART_ROWS + 1)
+    bounds = sorted(set(first.approxQuantile("place", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     dealt = first.withColumn("part", F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<double>"), lambda b: b < F.col("place"))))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))

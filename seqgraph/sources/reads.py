@@ -23,14 +23,21 @@ def read_fasta(spark: SparkSession, *paths: str, keep_tags: bool = False) -> Dat
     return _reads(rows.select(F.rtrim(F.regexp_extract(body, r"^([^\r\n]*)", 1)).alias("name"), F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"[ \t\r]*(\n|$)", "").alias("seq"), F.lit(None).cast("string").alias("qual")), keep_tags)
 
 
-def read_fastq(spark: SparkSession, *paths: str, keep_tags: bool = False) -> DataFrame:
-    """Records of four lines. Lines are numbered within each file; what stands before the first @ is skipped.
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``n``, the line's number in its file from 1, to ``(file, block, place)``: within each block of the file, and
+    then the lines of the blocks before, so a large file is many tasks."""
+    own = lines.withColumn("k", F.row_number().over(W.partitionBy("file", "block").orderBy("place")))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    return own.join(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("size"), ["file", "block"]).withColumn("n", F.col("before") + F.col("k")).drop("before", "k")
+
 
-    A text file is split in tasks, so numbers come from a window over one file's lines: files bound the task.
-    """
-    lines = spark.read.text(list(paths)).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + 0).alias("block"), F.monotonically_increasing_id().alias("place"))
-    order = W.partitionBy("file").orderBy("block", "place")
-    rows = lines.withColumn("n", F.row_number().over(order)).withColumn("skip", F.min(F.when(F.startswith("line", F.lit("@")), F.col("n"))).over(W.partitionBy("file"))).where("n >= skip")
+def read_fastq(spark: SparkSession, *paths: str, keep_tags: bool = False) -> DataFrame:
+    """Records of four lines. Lines are numbered within each file; what stands before the first @ is skipped."""
+    lines = spark.read.text(list(paths)).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    rows = numbered(lines)
+    skip = rows.where(F.startswith("line", F.lit("@"))).groupBy("file").agg(F.min("n").alias("skip"))
+    rows = rows.join(skip, "file").where("n >= skip")
     rows = rows.withColumn("i", (F.col("n") - F.col("skip")) % 4).groupBy("file", F.floor((F.col("n") - F.col("skip")) / 4).alias("record")).agg(*(F.max(F.when(F.col("i") == k, F.col("line"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))))
     return _reads(rows.where("head like '@%' and seq is not null").select(F.expr("substring(head, 2)").alias("name"), "seq", "qual"), keep_tags)
 

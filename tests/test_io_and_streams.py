@@ -7,6 +7,7 @@ import pytest
 
 from seqgraph.operators import correction, dbg, haplotype
 from seqgraph.operators.components import connected_components
+from seqgraph.operators import graph
 from seqgraph.operators.graph import assign_ids
 from seqgraph.sinks import writers
 from seqgraph.sources import gfa, reads, seeds
@@ -122,3 +123,28 @@ def test_streams_equal_the_batch(spark, tmp_path):
 def test_ids_follow_first_mention(spark):
     df = spark.createDataFrame([("b", 5), ("a", 9), ("b", 1), ("c", 3), (None, 0)], "name string, place long")
     assert {r.name: r.node_id for r in assign_ids(df, 1).collect()} == {"b": 1, "c": 2, "a": 3}
+
+
+def test_fastq_of_many_blocks(spark, tmp_path):
+    """One file in some twenty splits: records run over their edges."""
+    path = tmp_path / "many.fq"
+    path.write_text("comment\n" + "".join(f"@r{i} tag\n{'ACGT' * (i % 30 + 1)}\n+\n{'I' * 4 * (i % 30 + 1)}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 << 10))
+    try:
+        got = reads.read_reads(spark, str(path))
+        assert got.count() == 3000
+        assert {(r.read_id, r.seq, len(r.qual)) for r in got.collect()} == {(f"r{i}", "ACGT" * (i % 30 + 1), 4 * (i % 30 + 1)) for i in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ids_by_first_mention_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 100)
+    rows = [(f"n{i % 1500}", (i * 7919) % 100_003) for i in range(4000)]
+    first = {}
+    for name, place in rows:
+        first[name] = min(place, first.get(name, place))
+    want = {n: i for i, n in enumerate(sorted(first, key=lambda n: (first[n], n)))}
+    got = {r.name: r.node_id for r in graph.assign_ids(spark.createDataFrame(rows, "name string, place long")).collect()}
+    assert got == want
