@@ -1,6 +1,6 @@
 """Vectorised text helpers shared by the operators of this subpackage.
 
-Texts stay in their Arrow buffers: words and windows are hashed with numpy over blocks of about 2 MB, so memory in a
+Texts stay in their Arrow buffers: words and windows are hashed with numpy over blocks of about half a MB, so memory in a
 task is bounded by one block (or one text, where that is longer).
 """
 
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -128,6 +128,14 @@ def predicted(docs: DataFrame, profiles) -> DataFrame:
     return docs.mapInArrow(partial(_predict, profiles=profiles), schema)
 
 
+def least_scores(labelled: DataFrame, profiles, quantile: float = 0.01, slack: float = 0.8, train_rows: int = 20_000) -> dict[str, float]:
+    """For each language the score under which a text is not taken for it: ``slack`` times a low quantile of the scores
+    of right predictions, over the same bounded sample of labelled rows that `fit` takes. Without any there is none."""
+    sample = sampled(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), train_rows, "doc_id")
+    right = predicted(sample, profiles).where("lang_pred = lang")
+    return {r.lang: r.q * slack for r in right.groupBy("lang").agg(F.percentile_approx("score", quantile, 10_000).alias("q")).collect()}
+
+
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, a row for each row of ``docs``; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
