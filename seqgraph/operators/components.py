@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +14,18 @@ from seqgraph.checkpoints import saved
 
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every node of the task's edges with the smallest node it reaches there."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    for frame in frames:
-        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
-            top.setdefault(u, u)
-            top.setdefault(v, v)
-            a, b = root(u), root(v)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"u": list(top), "v": [root(x) for x in list(top)]}, dtype="int64")
+    edges = np.concatenate([np.zeros((0, 2), np.int64), *(f[["u", "v"]].to_numpy(np.int64) for f in frames)])
+    names, ends = np.unique(edges, return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    top = np.arange(len(names))
+    while len(u):
+        a, b = top[u], top[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top[top] != top).any():
+            top = top[top]
+    yield pd.DataFrame({"u": names, "v": names[top]}, dtype="int64")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = 1 << 19) -> DataFrame:

@@ -33,11 +33,17 @@ def anchor_starts(anchors: DataFrame) -> DataFrame:
     return fore.union(back).select("aln_id", "side", "onode_id", F.col("off").cast("long").alias("off"), "query")
 
 
-def free_starts(reads: DataFrame, onodes: DataFrame) -> DataFrame:
-    """Start states without seeds: every place of the graph that equals a read's first 3 bases (an equi-join on them)."""
-    places = F.explode(F.expr("sequence(0, len - 3)"))
-    index = onodes.where("len >= 3").select("onode_id", places.alias("off"), "seq").select("onode_id", F.col("off").cast("long").alias("off"), F.expr("substring(seq, off + 1, 3)").alias("b"))
-    return reads.where("len >= 3").select("read_id", "seq", F.expr("left(seq, 3)").alias("b")).join(index, "b").select(F.concat_ws(":", "read_id", "onode_id", "off").alias("aln_id"), "read_id", F.lit(FORWARD).alias("side"), "onode_id", "off", F.col("seq").alias("query"))
+def free_anchors(reads: DataFrame, onodes: DataFrame, stride: int = 0, errors: int = 2, base: int = 3) -> DataFrame:
+    """Anchors without seeds: every place of the graph that equals one of the first ``errors + 1`` blocks of ``base``
+    bases (an equi-join on them), so a read with a wrong first base has anchors too. With ``stride`` the same again at
+    each multiple of it, for reads that no alignment spans. Reads shorter than a block have none.
+    """
+    places = onodes.where(F.col("len") >= base).select("onode_id", F.col("len").alias("onode_len"), F.explode(F.sequence(F.lit(0), F.col("len") - base)).alias("off"), "seq")
+    index = places.select("onode_id", "onode_len", F.col("off").cast("long").alias("off"), F.expr(f"substring(seq, off + 1, {base})").alias("b"))
+    first = F.sequence(F.lit(0), F.col("len") - base, F.lit(stride)) if stride > 0 else F.array(F.lit(0))
+    blocks = reads.where(F.col("len") >= base).select("read_id", "seq", F.explode(first).alias("w")).select("read_id", "seq", F.explode(F.array(*(F.col("w") + base * i for i in range(errors + 1)))).alias("p"))
+    blocks = blocks.where(F.col("p") + base <= F.length("seq")).distinct().withColumn("b", F.expr(f"substring(seq, p + 1, {base})"))
+    return blocks.join(index, "b").select(F.concat_ws(":", "read_id", "p", "onode_id", "off").alias("aln_id"), "read_id", "onode_id", "off", F.col("p").cast("long").alias("read_pos"), F.lit(base).alias("match_len"), "onode_len", "seq")
 
 
 def equal_run(a: Column, b: Column) -> Column:
@@ -102,18 +108,30 @@ def within_budget(states: DataFrame, cells: int) -> DataFrame:
 
 
 def allowed(states: DataFrame, slices: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Drops states on nodes that ``(read_id, onode_id, slice)`` forbids; ``offsets`` is ``(aln_id, side, read_id, shift)``."""
-    told = states.join(offsets, ["aln_id", "side"]).withColumn("slice", F.floor((F.col("rpos") + F.col("shift")) / SLICE) * SLICE)
-    return told.join(slices, ["read_id", "onode_id", "slice"], "left_anti").select(*states.columns)
+    """Drops states on nodes that ``(read_id, onode_id, slice)`` forbids; ``offsets`` is ``(aln_id, side, read_id, shift)``.
+
+    The forward side goes up from ``shift`` in the read; the backward side goes down from it, on the nodes' other strand.
+    """
+    fore = F.col("side") == FORWARD
+    told = states.join(offsets, ["aln_id", "side"]).withColumn("place", F.col("shift") + F.when(fore, F.col("rpos")).otherwise(-F.col("rpos") - 1)).withColumn("slice", F.floor(F.col("place") / SLICE) * SLICE)
+    told = told.withColumn("strand", F.when(fore, F.col("onode_id")).otherwise(F.col("onode_id").bitwiseXOR(F.lit(1))))
+    return told.join(slices.withColumnRenamed("onode_id", "strand"), ["read_id", "strand", "slice"], "left_anti").select(*states.columns)
+
+
+def alive(states: DataFrame, drop: float, cost: float) -> DataFrame:
+    """States at most ``drop`` below their side's best score ``top`` that a perfect rest of the query could lift over it."""
+    return states.where((F.col("x") >= F.col("top") - drop) & (F.col("qlen") - (F.col("e") + 1) * F.lit(cost) > F.col("top")))
 
 
 def scored(states: DataFrame, identity: float) -> DataFrame:
     return states.withColumn("x", F.col("rpos") - F.col("e") * F.lit(error_cost(identity) / 100))
 
 
-def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params) -> DataFrame:
+def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, closed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(aln_id, side, onode_id, off, rpos, e, ops, path, x)``: the end of best score of each side, at least its start.
 
+    ``closed`` are the slices and offsets of `allowed`.
+
     States fall out when they are out of the band, over the budget, more than the X-drop below the side's best score,
     or when even a perfect rest could not beat it. Ties take fewer edits, then more of the read.
     """
@@ -124,13 +142,13 @@ def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params) -> D
     order = W.partitionBy("aln_id", "side").orderBy(F.desc("x"), "e", F.desc("rpos"), "onode_id", "off", "ops")
     while True:  # as edits cost more than a perfect rest can gain, no state lives for ever
         reached = scored(furthest(slide(front, queries, onodes, oedges)), params.identity)
+        reached = allowed(reached, *closed) if closed else reached
         reached = saved(within_budget(within_band(reached, params.bandwidth), params.cells_per_slice), "reached")
         both = reached if best is None else best.unionByName(reached)
         best = saved(both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r"), "best")
         top = best.select("aln_id", "side", F.col("x").alias("top"))
         lives = reached.join(top, ["aln_id", "side"]).join(queries.select("aln_id", "side", F.length("query").alias("qlen")), ["aln_id", "side"])
-        lives = lives.where((F.col("x") >= F.col("top") - params.drop) & (F.col("qlen") - (F.col("e") + 1) * cost > F.col("top")))
-        front = saved(furthest(stepped(lives.select(*STATE), queries, onodes)), "front")
+        front = saved(furthest(stepped(alive(lives, params.drop, cost).select(*STATE), queries, onodes)), "front")
         if not front.head(1):
             return best
 
@@ -180,6 +198,24 @@ def start_clip(alns: DataFrame, identity: float) -> DataFrame:
     return alns.join(first, "aln_id", "left").withColumn("clip_steps", F.coalesce("clip_steps", F.lit(0)))
 
 
+def trimmed(alns: DataFrame, onodes: DataFrame, oedges: DataFrame, identity: float, first: Column, last: Column) -> DataFrame:
+    """Alignments cut to their steps from ``first`` (from 0) up to ``last``, with places, path, edits and score of the rest.
+
+    Alignments of which no base of the graph is left are dropped. Columns beside those of an alignment stay as they are.
+    """
+    bases = lambda ops, no: F.length(F.regexp_replace(ops, no, "")).cast("long")
+    cut = alns.withColumn("_gone", F.col("ops").substr(F.lit(1), first.cast("int"))).withColumn("ops", F.col("ops").substr((first + 1).cast("int"), (last - first).cast("int")))
+    cut = cut.withColumn("read_start", F.col("read_start") + bases(F.col("_gone"), "D")).withColumn("read_end", F.col("read_start") + bases(F.col("ops"), "D")).withColumn("edits", F.length(F.regexp_replace("ops", "=", "")))
+    cut = cut.withColumn("xscore", (100 * (F.col("read_end") - F.col("read_start")) - error_cost(identity) * F.col("edits")) / F.lit(100.0)).withColumn("_from", F.col("path_start") + bases(F.col("_gone"), "I"))
+    steps = cut.select("aln_id", "_from", (F.col("_from") + bases(F.col("ops"), "I")).alias("_to"), F.posexplode("path").alias("at", "onode_id"))
+    least = oedges.groupBy(F.col("src").alias("prev"), F.col("dst").alias("onode_id")).agg(F.min("overlap").alias("overlap"))
+    order = W.partitionBy("aln_id").orderBy("at")
+    told = steps.withColumn("prev", F.lag("onode_id").over(order)).join(onodes.select("onode_id", "len"), "onode_id").join(least, ["prev", "onode_id"], "left").withColumn("o", F.coalesce("overlap", F.lit(0)))
+    told = told.withColumn("upto", F.sum(F.col("len") - F.col("o")).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("base", F.col("upto") - F.col("len") + F.col("o"))
+    kept = told.where("base < _to and upto > _from and _to > _from").groupBy("aln_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "onode_id"))), lambda x: x["onode_id"]).alias("path"), F.min_by(F.col("_from") - F.col("base") + F.col("o"), "at").alias("path_start"), F.max_by(F.col("_to") - F.col("base") + F.col("o"), "at").alias("path_end_off"))
+    return cut.drop("path", "path_start", "path_end_off").join(kept, "aln_id").select(*alns.columns)
+
+
 def ambiguous_end(alns: DataFrame, margin: float) -> DataFrame:
     """Adds ``sure_steps``: steps that an alignment shares with all others of its read from one start whose score lies
     within ``margin``; all of them where there is no such rival, or where the margin is negative."""
@@ -200,7 +236,8 @@ def normalised_ends(alns: DataFrame, onodes: DataFrame, oedges: DataFrame) -> Da
     last, before = F.element_at("path", -1), F.try_element_at("path", F.lit(-2))
     told = alns.withColumn("dst", last).withColumn("src", before).join(oedges.groupBy("src", "dst").agg(F.max("overlap").alias("overlap")), ["src", "dst"], "left").join(onodes.select(F.col("onode_id").alias("src"), F.col("len").alias("src_len")), "src", "left")
     shared = F.coalesce((F.col("overlap") > 0) & (F.col("path_end_off") <= F.col("overlap")), F.lit(False))
-    return told.withColumn("path_end_off", F.when(shared, F.col("src_len") - F.col("overlap") + F.col("path_end_off")).otherwise(F.col("path_end_off"))).withColumn("path", F.when(shared, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))).select(*alns.columns)
+    ends = {"path_end_off": F.when(shared, F.col("src_len") - F.col("overlap") + F.col("path_end_off")).otherwise(F.col("path_end_off")), "path": F.when(shared, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))}
+    return told.withColumns(ends).select(*alns.columns)
 
 
 def described(alns: DataFrame, reads: DataFrame, onodes: DataFrame, oedges: DataFrame) -> DataFrame:

@@ -56,8 +56,10 @@ def homologous(strings: DataFrame) -> DataFrame:
 def informative(kmers: DataFrame, strings: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(kmer, onode_id, pos)`` of the single k-mers inside homologous strings."""
     kept = strings.join(pairs.select("k1", "k2"), ["k1", "k2"], "left_semi").select(F.col("onode_id").alias("o"), "from_pos", "to_pos")
-    # strings of one node do not overlap: each place has one string at most
-    return kmers.join(kept, (F.col("onode_id") == F.col("o")) & (F.col("pos") > F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))).select("kmer", "onode_id", "pos").distinct()
+    # strings of one node do not overlap: each place has one string at most. They are joined by stretches of 64 bases
+    kept = kept.withColumn("b", F.explode(F.sequence(F.floor(F.col("from_pos") / 64), F.floor(F.col("to_pos") / 64))))
+    near = (F.col("onode_id") == F.col("o")) & (F.floor(F.col("pos") / 64) == F.col("b"))
+    return kmers.join(kept, near & (F.col("pos") > F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))).select("kmer", "onode_id", "pos").distinct()
 
 
 def conflicts(pairs: DataFrame) -> DataFrame:

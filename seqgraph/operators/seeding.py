@@ -33,6 +33,13 @@ def _blocks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
     return cut.withColumn("block", F.expr(f"substring(run, from_ + 1, at - from_ + {BLOCK + right})")).drop("run")
 
 
+def spread(seqs: DataFrame, key: str) -> DataFrame:
+    """Deals rows by key where a scan of few row groups would leave most cores idle; large scans stay as they are."""
+    if seqs.isStreaming or seqs.rdd.getNumPartitions() >= seqs.sparkSession.sparkContext.defaultParallelism:
+        return seqs
+    return seqs.repartition(seqs.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _codes(k: int) -> Column:
     """Codes of all k-mers of ``block``."""
     places = F.when(F.length("block") >= k, F.sequence(F.lit(1), F.length("block") - k + 1)).otherwise(F.array().cast("array<int>"))
@@ -71,14 +78,20 @@ def minimizers(seqs: DataFrame, key: str, k: int, w: int) -> DataFrame:
 def read_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """``(read_id, pos, kmer)``: all k-mers, of equal neighbours only each (w - k + 1)-th; ``pos`` is the end index.
 
-    Equal neighbours exist only within runs of one base, whose length before the place gives the count.
+    Equal neighbours exist only within runs of one base, whose length before the place gives the count: within a block,
+    and, where that is one run so far, from the block's lead.
     """
-    blocks = _blocks(acgt_runs(reads.select("read_id", "seq")).withColumn("own", F.col("run")), k, 0, k - 1)
-    cut = blocks.withColumn("codes", _codes(k)).select("read_id", "run_off", "at", "own", F.posexplode_outer("codes").alias("i", "kmer")).where(f"i is not null and i < {BLOCK}")
+    blocks = _blocks(acgt_runs(spread(reads.select("read_id", "seq"), "read_id")).withColumn("own", F.col("run")), k, 0, k - 1)
+    # how many bases like the block's first one lie right before the block
+    before = F.substring(F.col("own"), F.lit(1), F.col("at"))
+    blocks = blocks.withColumn("lead", F.length(before) - F.length(F.rtrim(before, F.substring("block", F.lit(1), F.lit(1))))).drop("own")
+    cut = blocks.withColumn("codes", _codes(k)).select("read_id", "run_off", "at", "block", "lead", F.posexplode_outer("codes").alias("i", "kmer")).where(f"i is not null and i < {BLOCK}")
     ones = (4**k - 1) // 3
     same = F.col("kmer").isin(0, ones, 2 * ones, 3 * ones)
-    before = F.length(F.regexp_extract(F.substring(F.col("own"), F.lit(1), F.col("at") + F.col("i") + k), r"(.)\1*$", 0)) - k
-    return cut.where(~same | (before % (w - k + 1) == 0)).select("read_id", (F.col("run_off") + F.col("at") + F.col("i") + k - 1).cast("long").alias("pos"), "kmer")
+    upto = F.substring(F.col("block"), F.lit(1), F.col("i") + k)
+    here = F.length(upto) - F.length(F.rtrim(upto, F.substring("block", F.col("i") + k, F.lit(1))))
+    earlier = here + F.when(here == F.col("i") + k, F.col("lead")).otherwise(0) - k
+    return cut.where(~same | (earlier % (w - k + 1) == 0)).select("read_id", (F.col("run_off") + F.col("at") + F.col("i") + k - 1).cast("long").alias("pos"), "kmer")
 
 
 def syncmers(seqs: DataFrame, key: str, k: int, s: int = 5) -> DataFrame:
@@ -183,10 +196,21 @@ def mums(matches: DataFrame, reads: DataFrame) -> DataFrame:
     return told.withColumn("in_read", in_read).join(in_graph, "text").where("in_read = 1 and places = 1").drop("in_read", "places", "text")
 
 
+def uniqueness(matches: DataFrame, reads: DataFrame, bonus: float) -> DataFrame:
+    """Adds ``weight``: ``bonus`` for a match whose text has one place in the graph, 1 for others."""
+    told = with_text(matches, reads)
+    places = told.select("onode_id", "off", "text").distinct().groupBy("text").agg(F.count("*").alias("places"))
+    return told.join(places, "text").withColumn("weight", F.when(F.col("places") == 1, F.lit(float(bonus))).otherwise(F.lit(1.0))).drop("places", "text")
+
+
 def longest(matches: DataFrame, count: int, window: int = 0) -> DataFrame:
-    """The ``count`` longest matches of each read, or of each ``window`` bases of it; ties by place."""
+    """The ``count`` longest matches of each read, or of each ``window`` bases of it; ties by place.
+
+    A column ``weight`` multiplies the lengths that are compared.
+    """
     keys = ["read_id", *([F.floor(F.col("read_pos") / window)] if window else [])]
-    order = W.partitionBy(*keys).orderBy(F.desc("match_len"), "read_pos", "onode_id", "off")
+    size = F.col("match_len") * F.col("weight") if "weight" in matches.columns else F.col("match_len")
+    order = W.partitionBy(*keys).orderBy(size.desc(), "read_pos", "onode_id", "off")
     return matches.withColumn("r", F.row_number().over(order)).where(F.col("r") <= count).drop("r")
 
 

@@ -27,7 +27,11 @@ class AlignParams:
     incompatible_overlap: float = 0.3
     mxm_length: int = 20
     mxm_count: int = -1
+    mxm_window: int = 0
+    unique_bonus: float = 1.0
     clip_ambiguous: float = -1.0
+    hpc_reads: bool = False
+    restart_stride: int = 0
     diploid_k: tuple[int, ...] = ()
     cigar_match_mismatch: bool = True
 
@@ -46,6 +50,8 @@ class AlignParams:
             wrong.append("clusters, cluster size, traces and bandwidth are at least 1")
         if self.mxm_length < 2:
             wrong.append("exact matches have 2 bases or more")
+        if self.mxm_window < 0 or self.restart_stride < 0 or self.unique_bonus <= 0:
+            wrong.append("windows and strides are not negative, and a bonus is over 0")
         if any(k % 2 == 0 or not 0 < k <= 63 for k in self.diploid_k):
             wrong.append("diploid k is odd and at most 63")
         if wrong:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
+from seqgraph.functions.sequences import hpc_collapse
 from seqgraph.operators import clustering, correction, extension, graph, haplotype, seeding, selection, topology
 from seqgraph.params import AlignParams
 from seqgraph.sinks import writers
@@ -22,14 +23,20 @@ def chain_table(onodes: DataFrame, oedges: DataFrame) -> DataFrame:
     return place.select(F.col("node").alias("onode_id"), "chain", "chain_pos")
 
 
-def seeds(reads: DataFrame, onodes: DataFrame, params: AlignParams, external: DataFrame | None = None) -> DataFrame:
-    """``(read_id, onode_id, off, read_pos, match_len, goodness)`` with end places, by the chosen method."""
+def seeds(reads: DataFrame, onodes: DataFrame, oedges: DataFrame, params: AlignParams, external: DataFrame | None = None) -> DataFrame:
+    """``(read_id, onode_id, off, read_pos, match_len, goodness)`` with end places, by the chosen method.
+
+    Minimizers that the node before holds too are looked up there only. Alignments of an earlier run are realigned by
+    giving their places (`read_gaf_seeds`) as ``external`` seeds.
+    """
     if params.seeding == "minimizer":
-        return seeding.seed_hits(reads, onodes, params.k, params.w, params.density, params.ignore_frequent)
+        index = seeding.skip_shared(seeding.kmer_index(onodes, params.k, params.w), oedges)
+        return seeding.seed_hits(reads, onodes, params.k, params.w, params.density, params.ignore_frequent, index)
     if params.seeding in ("mem", "mum"):
         found = seeding.mems(reads, onodes, params.mxm_length)
         found = seeding.mums(found, reads) if params.seeding == "mum" else found
-        found = seeding.longest(found, params.mxm_count) if params.mxm_count > 0 else found
+        if params.mxm_count > 0:
+            found = seeding.longest(seeding.uniqueness(found, reads, params.unique_bonus) if params.unique_bonus != 1 else found, params.mxm_count, params.mxm_window)
     elif params.seeding == "file" and external is not None:
         found = seeding.external_seeds(reads, external).select("read_id", (2 * F.col("node_id") + F.when(F.col("is_rev"), 1).otherwise(0)).alias("onode_id"), "off", "read_pos", "match_len").where("match_len > 0")
     else:
@@ -50,29 +57,47 @@ def anchors(hits: DataFrame, onodes: DataFrame, reads: DataFrame, params: AlignP
     return one.join(onodes.select("onode_id", F.col("len").alias("onode_len")), "onode_id").join(reads.select("read_id", "seq"), "read_id")
 
 
+def traced(anchor: DataFrame, onodes: DataFrame, oedges: DataFrame, params: AlignParams, closed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Alignments of both sides of each anchor, cleaned and clipped, one for each place of a read and the graph."""
+    sides = extension.extend(extension.anchor_starts(anchor), onodes, oedges, params, closed)
+    found = saved(extension.cancelled(extension.merged(sides, anchor, onodes, params.identity), params.identity), "merged")
+    if params.clip_ambiguous >= 0:
+        sure = extension.ambiguous_end(found, params.clip_ambiguous).where("sure_steps > 0")
+        found = saved(extension.trimmed(sure, onodes, oedges, params.identity, F.lit(0), F.col("sure_steps")).drop("sure_steps"), "merged")
+    start = saved(extension.start_clip(found, params.identity), "clip")
+    clipped = extension.trimmed(start.where("clip_steps > 0"), onodes, oedges, params.identity, F.col("clip_steps"), F.length("ops"))
+    found = start.where("clip_steps = 0").unionByName(clipped).drop("clip_steps")
+    found = saved(extension.distinct_starts(extension.normalised_ends(found, onodes, oedges)), "found")
+    return selection.deduplicated(found, "path", "path_start", "path_end_off")
+
+
 def align(reads: DataFrame, nodes: DataFrame, edges: DataFrame, params: AlignParams, external: DataFrame | None = None) -> DataFrame:
     """Selected alignments of ``(read_id, seq, len)`` to a graph, with all columns of a GAF line and rank and ops.
 
-    Seedless alignments start at the read's first base; they have no mapping quality, which stays 255.
+    Seedless alignments start near the read's first base, and with ``restart_stride`` at each multiple of it; they have
+    no mapping quality, which stays 255.
     """
     params = params.checked()
     onodes, oedges = saved(graph.orient_nodes(nodes), "onodes"), saved(graph.orient_edges(edges), "oedges")
-    reads = saved(reads.where(F.col("len") >= max(1, params.min_score)).select("read_id", F.upper("seq").alias("seq"), "len"), "reads")
+    reads = reads.select("read_id", F.upper("seq").alias("seq"))
+    reads = reads.withColumn("seq", hpc_collapse("seq")) if params.hpc_reads else reads
+    reads = saved(reads.withColumn("len", F.length("seq")).where(F.col("len") >= max(1, params.min_score)), "reads")
     if params.seeding == "seedless":
-        starts = saved(extension.free_starts(reads, onodes), "starts")
-        best = extension.extend(starts.drop("read_id"), onodes, oedges, params)
-        first = starts.select("aln_id", "read_id", F.col("onode_id").alias("o"), F.col("off").alias("path_start"))
-        found = best.join(first, "aln_id").select("aln_id", "read_id", F.lit(0).cast("long").alias("read_start"), F.col("rpos").alias("read_end"), F.col("e").alias("edits"), F.col("x").alias("xscore"), "ops", "path", "path_start", F.col("off").alias("path_end_off"))
-        kept = selection.ranked(selection.min_score(found.where("read_end > 0"), params.min_score).withColumn("mapq", F.lit(255)))
+        anchor = saved(extension.free_anchors(reads, onodes, params.restart_stride), "anchors")
+        found = traced(anchor, onodes, oedges, params)
+        kept = selection.ranked(selection.min_score(found, params.min_score).withColumn("mapq", F.lit(255)))
         kept = kept.where(F.col("rank") <= params.max_traces)
     else:
-        hits = saved(clustering.diagonals(seeds(reads, onodes, params, external), chain_table(onodes, oedges)), "hits")
-        if params.diploid_k:
-            hits = saved(haplotype.allowed_seeds(hits, diploid_spans(reads, onodes, params)), "hits")
+        hits = saved(clustering.diagonals(seeds(reads, onodes, oedges, params, external), chain_table(onodes, oedges)), "hits")
+        spans = saved(diploid_spans(reads, onodes, params), "spans") if params.diploid_k else None
+        if spans is not None:
+            hits = saved(haplotype.allowed_seeds(hits, spans), "hits")
         anchor = saved(anchors(hits, onodes, reads, params), "anchors")
-        sides = extension.extend(extension.anchor_starts(anchor), onodes, oedges, params)
-        found = saved(extension.distinct_starts(extension.cancelled(extension.merged(sides, anchor, onodes, params.identity), params.identity)), "found")
-        found = selection.deduplicated(found, "path", "path_start", "path_end_off")
+        closed = None
+        if spans is not None:
+            side = lambda s, shift: anchor.select("aln_id", F.lit(s).alias("side"), "read_id", shift.cast("long").alias("shift"))
+            closed = (saved(haplotype.forbidden_slices(spans), "slices"), side(extension.FORWARD, F.col("read_pos") + F.col("match_len")).union(side(extension.BACKWARD, F.col("read_pos"))))
+        found = traced(anchor, onodes, oedges, params, closed)
         kept = selection.select(found.join(reads.select("read_id", "len"), "read_id"), params, nodes.agg(F.sum(F.length("seq"))).first()[0] or 0).drop("len")
     told = extension.described(kept, reads, onodes, oedges)
     return told.join(writers.cigar(extension.trace(kept), params.cigar_match_mismatch), "aln_id", "left")

@@ -209,12 +209,15 @@ good AS (SELECT read_id, chain, session, sum(greatest(read_pos - greatest(beg, c
 """
 
 
-def sessions(spark, sf):
+def chain_table(spark, sf):
     onodes = fx.oriented(spark, sf)[0]
     # the fixture's graph is a line of few nodes: a chain for each strand, laid out by id
     order = W.partitionBy("is_rev").orderBy(F.when(F.col("is_rev"), -F.col("onode_id")).otherwise(F.col("onode_id"))).rowsBetween(W.unboundedPreceding, -1)
-    chains = onodes.select("onode_id", F.col("is_rev").cast("int").alias("chain"), F.coalesce(F.sum("len").over(order), F.lit(0)).alias("chain_pos"))
-    return clustering.sessions(clustering.diagonals(hits(spark, sf), chains))
+    return onodes.select("onode_id", F.col("is_rev").cast("int").alias("chain"), F.coalesce(F.sum("len").over(order), F.lit(0)).alias("chain_pos"))
+
+
+def sessions(spark, sf):
+    return clustering.sessions(clustering.diagonals(hits(spark, sf), chain_table(spark, sf)))
 
 
 @query(SESSIONS + "SELECT read_id, onode_id, chain, CAST(diag AS BIGINT) AS diag, CAST(session AS BIGINT) AS session, count(*) AS n FROM ses GROUP BY ALL")
@@ -362,27 +365,6 @@ def h2_locations(spark, sf):
     return haplotype.locations(k, haplotype.multiplicity(k)).select("kmer", F.array_join(F.transform("onodes", lambda x: x.cast("string")), ",").alias("onodes"))
 
 
-@query()
-def h3_flanked(spark, sf):
-    return haplotype.flanked(node_kmers(spark, sf))
-
-
-@query()
-def h4_homologous(spark, sf):
-    return haplotype.homologous(h3_flanked(spark, sf))
-
-
-@query()
-def h5_informative(spark, sf):
-    s = h3_flanked(spark, sf)
-    return haplotype.informative(node_kmers(spark, sf), s, haplotype.homologous(s))
-
-
-@query()
-def h6_conflicts(spark, sf):
-    return haplotype.conflicts(h4_homologous(spark, sf))
-
-
 VOTES = SEEDED + ", vt AS (SELECT read_id, onode_id, CAST(read_pos - off AS BIGINT) AS diag FROM hits)"
 
 
@@ -396,11 +378,6 @@ def h7_votes(spark, sf):
     return votes(spark, sf).groupBy("read_id", "onode_id", "diag").agg(F.count("*").alias("n"))
 
 
-@query()
-def h8_vote_clusters(spark, sf):
-    return haplotype.vote_clusters(votes(spark, sf))
-
-
 SOLID = with_("alns") + ", sp AS (SELECT read_id, path AS onode_id, read_start AS start, read_end AS \"end\" FROM alns), cf AS (SELECT i AS onode_id, xor(i, 1) AS other FROM range(0, 4) t(i)), rv AS (SELECT DISTINCT read_id, other AS onode_id, start, \"end\" FROM sp JOIN cf ON cf.onode_id = sp.onode_id), fb AS (SELECT * FROM rv WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.read_id = rv.read_id AND sp.onode_id = rv.onode_id AND rv.start < sp.\"end\" AND sp.start < rv.\"end\"))"
 
 
@@ -455,9 +432,9 @@ def r3_unaligned(spark, sf):
     return correction.patched(short_reads(spark, sf), corrections(spark, sf).limit(0))
 
 
-@query(with_("alns") + "SELECT concat_ws('_', read_id, row_number() OVER (PARTITION BY read_id ORDER BY xscore DESC, read_start, aln_id) - 1, read_start, read_end) AS name, 'ACGT' AS corrected FROM alns")
+@query(with_("alns") + "SELECT concat_ws('_', read_id, row_number() OVER (PARTITION BY read_id ORDER BY xscore DESC, read_start, aln_id) - 1, read_start, read_end) AS name, repeat('ACGGT', CAST(edits + 1 AS INT)) AS corrected FROM alns")
 def r4_clipped(spark, sf):
-    ranked = selection.ranked(fx.alignments(spark, sf)).select("read_id", "rank", F.col("read_start").alias("start"), F.col("read_end").alias("end"), F.lit("acgt").alias("corrected"))
+    ranked = selection.ranked(fx.alignments(spark, sf)).select("read_id", "rank", F.col("read_start").alias("start"), F.col("read_end").alias("end"), F.expr("repeat('acggt', int(edits + 1))").alias("corrected"))
     return correction.clipped(ranked)
 
 

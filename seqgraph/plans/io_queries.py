@@ -116,7 +116,16 @@ def s11_trim_name(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", trim_name("text").alias("name"))
 
 
-@query()
+def six(x: str) -> str:
+    """Six digits without closing zeros, seven for numbers under 0.1."""
+    return f"CASE WHEN abs({x}) < 0.1 THEN regexp_replace(printf('%.7f', {x}), '\\.?0+$', '') ELSE regexp_replace(regexp_replace(printf('%.6f', {x}), '0+$', ''), '\\.$', '') END"
+
+
+SPAN = "(read_end - read_start)"
+
+
+@query(with_("alns") + f"""SELECT concat_ws(chr(9), read_id, 1500, read_start, read_end, '+', '>n' || path, 900, 0, {SPAN}, {SPAN} - edits, {SPAN}, 60, 'NM:i:' || edits,
+  CASE WHEN xscore <> -1 THEN 'AS:f:' || regexp_replace(regexp_replace(printf('%.6f', xscore), '0+$', ''), '\\.$', '') END, 'dv:f:' || {six(f'(1 - ({SPAN} - edits) / {SPAN}::DOUBLE)')}, 'id:f:' || {six(f'(({SPAN} - edits) / {SPAN}::DOUBLE)')}, 'cg:Z:' || {SPAN} || 'M') AS value FROM alns""")
 def k1_gaf_lines(spark, sf):
     a = fx.alignments(spark, sf).selectExpr("read_id", "1500 as read_len", "read_start", "read_end", "concat('>n', path) as path", "900 as path_len", "0 as path_start", "read_end - read_start as path_end", "read_end - read_start - edits as matches", "read_end - read_start as block_len", "60 as mapq", "edits", "xscore", "concat(read_end - read_start, 'M') as cigar")
     return writers.gaf_lines(a)

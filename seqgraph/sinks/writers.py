@@ -61,6 +61,10 @@ def write_lines(lines: DataFrame, path: str, compressed: bool = False) -> None:
     lines.write.mode("overwrite").option("compression", "gzip" if compressed else "none").text(path)
 
 
+def write_json(rows: DataFrame, path: str, compressed: bool = False) -> None:
+    rows.write.mode("overwrite").option("compression", "gzip" if compressed else "none").json(path)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 

@@ -132,3 +132,75 @@ def test_whole_plan_is_registered():
     from seqgraph.plans import catalog
 
     assert {"x2_alignments", "r1_corrected_alignments"} <= set(catalog.QUERIES)
+
+
+def test_a_wrong_first_base_needs_no_seed(example):
+    nodes, edges, reads = example
+    wrong = reads.selectExpr("read_id", "concat('G', substring(seq, 30)) as seq").selectExpr("*", "length(seq) as len")
+    best = max(align.align(wrong, nodes, edges, AlignParams(seeding="seedless")).collect(), key=lambda r: r.xscore)
+    assert best.read_start <= 1 and best.read_end == 43 and best.path_text == ">1>2>4"
+
+
+def test_kmers_of_a_long_run_of_one_base(spark):
+    from seqgraph.operators import seeding
+
+    rows = [(1, "A" * 100_000), (2, "C" * 700 + "G" * 13 + "T" * 900), (3, "ACGT" * 9)]
+    got = {}
+    for r in seeding.read_kmers(spark.createDataFrame(rows, "read_id long, seq string"), 15, 20).collect():
+        got.setdefault(r.read_id, set()).add(r.pos)
+    want = {}
+    for i, s in rows:
+        n, last = 0, None
+        for p in range(14, len(s)):
+            k = s[p - 14 : p + 1]
+            n = n + 1 if k == last else 0
+            last = k
+            if n % 6 == 0:
+                want.setdefault(i, set()).add(p)
+    assert got == want
+
+
+def test_trimmed_equals_a_walk(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    lens, overlap = {0: 5, 2: 4, 4: 6, 6: 3}, {(0, 2): 0, (2, 4): 2, (4, 6): 1}
+    places = [(0, o) for o in range(5)]
+    for a, b in overlap:
+        places += [(b, o) for o in range(overlap[a, b], lens[b])]
+    rows, want = [], {}
+    for k in range(40):
+        ops = "".join(r.choices("=XID", k=r.randint(3, 14)))
+        start = r.randrange(4)
+        used = [c for c in ops if c != "I"]
+        if start + len(used) > len(places) or not used:
+            continue
+        first = r.randrange(len(ops))
+        last = r.randint(first + 1, len(ops))
+        end = places[start + len(used) - 1]
+        path = [0]
+        for n, _ in places[: start + len(used)]:
+            path += [n] if n != path[-1] else []
+        rows.append((k, 1, 10, 10 + len(ops.replace("D", "")), len(ops.replace("=", "")), 0.0, ops, path, start, end[1] + 1, first, last))
+        gone, kept = ops[:first], ops[first:last]
+        g0, g1 = start + len(gone.replace("I", "")), len(kept.replace("I", ""))
+        if g1:
+            there = places[g0 : g0 + g1]
+            r0 = 10 + len(gone.replace("D", ""))
+            walk = list(dict.fromkeys(n for n, _ in there))
+            want[k] = (r0, r0 + len(kept.replace("D", "")), len(kept.replace("=", "")), kept, walk, there[0][1], there[-1][1] + 1)
+    alns = spark.createDataFrame(rows, "aln_id long, read_id long, read_start long, read_end long, edits int, xscore double, ops string, path array<long>, path_start long, path_end_off long, a int, b int")
+    onodes = spark.createDataFrame(list(lens.items()), "onode_id long, len int")
+    oedges = spark.createDataFrame([(a, b, o) for (a, b), o in overlap.items()], "src long, dst long, overlap int")
+    got = {x.aln_id: (x.read_start, x.read_end, x.edits, x.ops, x.path, x.path_start, x.path_end_off) for x in extension.trimmed(alns, onodes, oedges, 0.66, F.col("a"), F.col("b")).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_options_run_through_the_plan(example):
+    nodes, edges, reads = example
+    changes = [{"clip_ambiguous": 5.0}, {"hpc_reads": True, "min_score": 5.0}, {"diploid_k": (11,)}]
+    for how in changes:
+        alns = align.align(reads, nodes, edges, preset("vg", **how))
+        assert extension.violations(alns).count() == 0
