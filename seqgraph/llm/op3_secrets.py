@@ -49,15 +49,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn(BASE, F.array_sort(F.concat(*(found(text, p, group, least, k) for k, (p, group, least) in enumerate(KINDS.values())))))
 
 
-def joined(words: DataFrame, groups: int = 1024) -> DataFrame:
+def joined(words: DataFrame, groups: int = 1024, at_most: int = 192) -> DataFrame:
     """``(label, v, c)``: identifiers as programs write them, made of three words each of ``(v, c)``.
 
     A word's neighbours are the next ones of its hash group, and its hash gives the numbers. An identifier counts a ninth
-    of its words' counts, so that the forms weigh in proportion to the words.
+    of its words' counts, so that the forms weigh in proportion to the words. Of the forms of a group a hash sample of
+    about ``at_most`` is taken, and counts more in turn.
     """
     held = words.groupBy(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held"))
     of = lambda i: F.element_at("held", (F.pmod(i, F.size("held")) + 1).cast("int"))
-    three = held.select(F.explode(F.transform("held", lambda _, i: F.struct(of(i).alias("a"), of(i + 1).alias("b"), of(i + 2).alias("d")))).alias("t"))
+    three = held.select(F.explode(F.transform("held", lambda _, i: F.struct(of(i).alias("a"), of(i + 1).alias("b"), of(i + 2).alias("d")))).alias("t"), F.size("held").alias("size"))
     a, b, d = (F.col(f"t.{x}.v") for x in "abd")
     number = lambda seed, below: F.pmod(F.xxhash64(a, F.lit(seed)), F.lit(below))
     two = lambda seed, below: F.lpad(number(seed, below).cast("string"), 2, "0")
@@ -67,7 +68,9 @@ def joined(words: DataFrame, groups: int = 1024) -> DataFrame:
         F.concat(F.lower(a), F.lit("_"), F.lower(b), F.lit("_v"), number(2, 100).cast("string")), F.concat(F.lower(a), number(3, 2_000).cast("string"), F.lit("/"), b, F.lit("-"), number(4, 100).cast("string")),
         F.concat(day, F.lit("T"), two(5, 24), F.lit("-"), two(6, 60), F.lit("-"), two(7, 60), F.lit("Z")),
     ]
-    return three.select(F.lit(0).alias("label"), F.explode(F.array(*forms)).alias("v"), F.ceil((F.col("t.a.c") + F.col("t.b.c") + F.col("t.d.c")) / 9).alias("c"))
+    share = F.least(F.lit(1.0), at_most / (F.lit(float(len(forms))) * F.col("size")))
+    made = three.select(F.explode(F.array(*forms)).alias("v"), (F.col("t.a.c") + F.col("t.b.c") + F.col("t.d.c")).alias("sum"), share.alias("share"))
+    return made.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select(F.lit(0).alias("label"), "v", F.ceil(F.col("sum") / 9 / F.col("share")).alias("c"))
 
 
 def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
