@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqgraph.checkpoints import saved
 from seqgraph.llm.common import sampled, table
 
 # The patterns of the base spans and their least lengths.
@@ -81,7 +82,7 @@ def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
     docs = base_spans(sampled(docs.select("doc_id", "text").where("text is not null"), train_rows, "doc_id"))
     positive = docs.select(F.lit(1).alias("label"), F.explode(F.transform(BASE, lambda b: b["value"])).alias("v"))
     negative = docs.where(F.size(BASE) == 0).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("v"))
-    words = positive.union(negative).groupBy("label", "v").agg(F.count("*").alias("c"))
+    words = saved(positive.union(negative).groupBy("label", "v").agg(F.count("*").alias("c")), "op3-words")  # used twice
     words = words.union(joined(words.where("label = 0").select("v", "c")))
     codes = words.select("label", "c", F.transform(F.split("v", ""), lambda x: F.ascii(x)).alias("a")).where("size(a) > 1")
     pair = F.explode(F.zip_with(F.slice("a", 1, F.size("a") - 1), F.slice("a", 2, F.size("a") - 1), lambda x, y: x * 128 + y))
