@@ -24,4 +24,14 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_in = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes what `saved` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_saved_in"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_in)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,23 +1,31 @@
-"""Extension of anchors to scored alignments by an edit wavefront over DataFrames.
+"""Extension of anchors to scored alignments by an edit wavefront over nodes.
 
 A state is ``(aln_id, side, onode_id, off, rpos, e)``: with ``e`` edits, ``rpos`` bases of the side's query are aligned up
-to base ``off`` of a node. All alignments advance in the same round: states slide over equal bases and on through edges,
-the furthest one of each diagonal is kept, hopeless ones are pruned, and the rest take one more edit. The number of
-rounds follows the edits, not the reads or their length. The steps so far travel with a state, so tracing back needs
-no walk.
+to base ``off`` of a node. Nodes are cut in pieces of ``PIECE`` bases. In a round, all alignments take the states that enter a
+piece, as one row a piece, through all edits there (`fronts`); joins come only where a front leaves its piece. What enters
+too far ahead of an alignment's last state waits, so that paths of different depth meet, and a state that others have
+reached as cheaply falls out. The number of rounds follows the pieces on a path, not the edits.
+
+Entries into pieces and the entries before them are a table of pointers. An end is traced back by pointer jumping, and
+the steps within each piece of its path follow from the texts between two pointers: states carry neither steps nor path.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgraph.checkpoints import saved
+from seqgraph.checkpoints import forget, saved
 from seqgraph.functions.sequences import error_cost, iupac_match, revcomp
+from seqgraph.operators import fronts
 
 WINDOW = 256
-SLICE = 64
+PIECE = 1024
+REACH = 256
+SLICE = fronts.SLICE
 STATE = ("aln_id", "side", "onode_id", "off", "rpos", "e", "ops", "path")
 FORWARD, BACKWARD = 1, 0
 
@@ -85,14 +93,6 @@ def slide(states: DataFrame, queries: DataFrame, onodes: DataFrame, oedges: Data
             raise RuntimeError("states run round a cycle of nodes without bases of their own")
 
 
-def stepped(states: DataFrame, queries: DataFrame, onodes: DataFrame) -> DataFrame:
-    """Each state with one edit more: a mismatch, an insertion in the read, a deletion from it."""
-    room = states.join(onodes.select("onode_id", "len"), "onode_id").where("off < len").join(queries.select("aln_id", "side", F.length("query").alias("qlen")), ["aln_id", "side"])
-    move = lambda op, o, r: F.struct((F.col("off") + o).alias("off"), (F.col("rpos") + r).alias("rpos"), F.concat("ops", F.lit(op)).alias("ops"))
-    moves = F.explode(F.array(move("X", 1, 1), move("I", 0, 1), move("D", 1, 0)))
-    return room.withColumn("m", moves).where("m.rpos <= qlen").select("aln_id", "side", "onode_id", "m.off", "m.rpos", (F.col("e") + 1).alias("e"), "m.ops", "path")
-
-
 def within_band(states: DataFrame, bandwidth: int) -> DataFrame:
     """Drops states with over ``bandwidth`` edits more than the least of their read slice."""
     least = F.min("e").over(W.partitionBy("aln_id", "side", F.floor(F.col("rpos") / SLICE)))
@@ -107,50 +107,209 @@ def within_budget(states: DataFrame, cells: int) -> DataFrame:
     return states.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cells).drop("r")
 
 
-def allowed(states: DataFrame, slices: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Drops states on nodes that ``(read_id, onode_id, slice)`` forbids; ``offsets`` is ``(aln_id, side, read_id, shift)``.
+def closed_spans(slices: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``(aln_id, side, onode_id, closed)``: spans of a side's query that ``(read_id, onode_id, slice)`` forbids on a node.
 
-    The forward side goes up from ``shift`` in the read; the backward side goes down from it, on the nodes' other strand.
+    ``offsets`` is ``(aln_id, side, read_id, shift)``: the forward side goes up from ``shift`` in the read, the backward one
+    goes down from it, on the nodes' other strand.
     """
     fore = F.col("side") == FORWARD
-    told = states.join(offsets, ["aln_id", "side"]).withColumn("place", F.col("shift") + F.when(fore, F.col("rpos")).otherwise(-F.col("rpos") - 1)).withColumn("slice", F.floor(F.col("place") / SLICE) * SLICE)
-    told = told.withColumn("strand", F.when(fore, F.col("onode_id")).otherwise(F.col("onode_id").bitwiseXOR(F.lit(1))))
-    return told.join(slices.withColumnRenamed("onode_id", "strand"), ["read_id", "strand", "slice"], "left_anti").select(*states.columns)
+    start = F.when(fore, F.col("slice") - F.col("shift")).otherwise(F.col("shift") - F.col("slice") - SLICE)
+    node = F.when(fore, F.col("onode_id")).otherwise(F.col("onode_id").bitwiseXOR(F.lit(1)))
+    told = offsets.join(slices, "read_id").select("aln_id", "side", node.alias("onode_id"), F.struct(start.cast("long").alias("start"), (start + SLICE).cast("long").alias("end")).alias("s"))
+    return told.where("s.end > 0").groupBy("aln_id", "side", "onode_id").agg(F.sort_array(F.collect_list("s")).alias("closed"))
 
 
-def alive(states: DataFrame, drop: float, cost: float) -> DataFrame:
-    """States at most ``drop`` below their side's best score ``top`` that a perfect rest of the query could lift over it."""
-    return states.where((F.col("x") >= F.col("top") - drop) & (F.col("qlen") - (F.col("e") + 1) * F.lit(cost) > F.col("top")))
+def alive(states: DataFrame, drop: float, cost: float, fraction: float = 1.0, edits: int = 1) -> DataFrame:
+    """States at most ``drop`` below their side's best score ``top`` that a perfect rest of the query could lift over a
+    ``fraction`` of it; to go on takes ``edits``: one behind equal bases, none where a state enters a node."""
+    return states.where((F.col("x") >= F.col("top") - drop) & (F.col("qlen") - (F.col("e") + edits) * F.lit(cost) > F.lit(fraction) * F.col("top")))
 
 
 def scored(states: DataFrame, identity: float) -> DataFrame:
     return states.withColumn("x", F.col("rpos") - F.col("e") * F.lit(error_cost(identity) / 100))
 
 
+def pieces(onodes: DataFrame) -> DataFrame:
+    """``(onode_id, part, nseq, n0, nend)``: each node in pieces of ``PIECE`` bases."""
+    parts = onodes.select("onode_id", "seq", "len", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(len - 1) div {PIECE}")))).alias("part"))
+    return parts.select("onode_id", F.col("part").cast("long").alias("part"), F.expr(f"substring(seq, int(part * {PIECE} + 1), {PIECE})").alias("nseq"), (F.col("part") * PIECE).cast("long").alias("n0"), F.least(F.col("len"), (F.col("part") + 1) * PIECE).cast("long").alias("nend"))
+
+
+def placed(states: DataFrame, onodes: DataFrame) -> DataFrame:
+    """Adds the length of the node and the piece of each state; a state behind the last base is in the last piece."""
+    known = states.join(onodes.select("onode_id", F.col("len").cast("long").alias("nlen")), "onode_id")
+    return known.withColumn("part", F.expr(f"(case when off = nlen and off > 0 then off - 1 else off end) div {PIECE}"))
+
+
+ENTRY = ("aln_id", "side", "onode_id", "off", "rpos", "e", "hop")
+FROM = ("from_node", "from_off", "from_rpos", "from_e", "from_hop", "fresh")
+
+
+def undercut(states: DataFrame, seen: DataFrame) -> DataFrame:
+    """States that no other one at the same place, new or seen, has reached with as few edits or could by insertions."""
+    every = states.withColumn("old", F.lit(0)).unionByName(seen.withColumn("old", F.lit(-1)), allowMissingColumns=True)
+    order = W.partitionBy("aln_id", "side", "onode_id", "off").orderBy("rpos", "e", "old", "hop", *FROM[:-2]).rowsBetween(W.unboundedPreceding, -1)
+    return every.withColumn("low", F.min(F.col("e") - F.col("rpos")).over(order)).where("old = 0 and (low is null or low > e - rpos)").drop("old", "low")
+
+
+def explored(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, closed: tuple[DataFrame, DataFrame] | None = None, fraction: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the starts reach: ``(ends, entries, queries)``.
+
+    ``ends`` is ``(aln_id, side, onode_id, slice, off, rpos, e, x, from_off, from_rpos, from_e, from_hop)``, the state of best
+    score of each piece of a node and slice of the query, and the starts themselves; ``entries`` are the pointers, ``queries``
+    the sides' texts. ``closed`` are the slices and offsets of `closed_spans`: on such a node a front stops at the border.
+
+    States fall out when they are out of the band, over the budget, more than the X-drop below the side's best score, or
+    when even a perfect rest of the query could not reach a ``fraction`` of it.
+    """
+    cost = error_cost(params.identity) / 100
+    queries = saved(starts.groupBy("aln_id", "side").agg(F.first("query").alias("query")).withColumn("qlen", F.length("query")), "query")
+    lengths = onodes.select(F.col("onode_id").alias("dst"))
+    edges = oedges.join(lengths, "dst", "left_semi").select(F.col("src").alias("onode_id"), "dst", F.col("overlap").cast("long").alias("overlap"))
+    texts = saved(pieces(onodes), "pieces")
+    spans = saved(closed_spans(*closed), "closed") if closed else None
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(FROM, ("long", "long", "long", "int", "int", "boolean"), strict=True)]
+    first = starts.select("aln_id", "side", "onode_id", "off", F.lit(0).cast("long").alias("rpos"), F.lit(0).alias("e"), F.lit(0).alias("hop"), *none, F.lit(0.0).alias("top")).distinct()
+    front = saved(placed(first, onodes), "front")
+    ends = [front.select("aln_id", "side", "onode_id", F.lit(0).cast("long").alias("slice"), "off", "rpos", "e", F.lit(0.0).alias("x"), F.col("off").alias("from_off"), F.col("rpos").alias("from_rpos"), F.col("e").alias("from_e"), F.col("hop").alias("from_hop"))]
+    ahead = F.col("rpos") > F.min("rpos").over(W.partitionBy("aln_id", "side")) + REACH
+    entries, seen = [], []
+    while front.head(1):
+        dealt = front.withColumn("ahead", ahead)
+        now = saved(dealt.where("not ahead").drop("ahead"), "entries")
+        row = now.groupBy("aln_id", "side", "onode_id", "part").agg(F.collect_list(F.struct("off", "rpos", "e", "hop")).alias("entries"), F.min("rpos").alias("q0"), F.max("rpos").alias("q1"), F.max("top").alias("top"))
+        row = row.join(texts, ["onode_id", "part"]).join(queries, ["aln_id", "side"])
+        # more insertions than these would be below the X-drop
+        most = F.col("q1") - F.col("q0") + F.col("nend") - F.col("n0") + F.ceil((F.col("nend") - F.col("n0") + F.lit(params.drop)) / F.lit(max(cost - 1, 0.01))) + 8
+        row = row.withColumn("query", F.expr("query").substr((F.col("q0") + 1).cast("int"), most.cast("int")))
+        row = row.join(spans, ["aln_id", "side", "onode_id"], "left") if spans is not None else row
+        points = saved(row.drop("part", "q1").mapInArrow(partial(fronts.advanced, drop=params.drop, cost=cost, band=params.bandwidth, fraction=fraction), f"aln_id {dict(starts.dtypes)['aln_id']}, {fronts.POINT}"), "points")
+        out = points.where(F.col("kind") == fronts.EXIT).drop("kind", "slice", "x")
+        parts = [points.where(F.col("kind") == fronts.END).drop("kind")]
+        tops = now.select("aln_id", "side", F.col("top").alias("x")).union(parts[0].select("aln_id", "side", "x")).groupBy("aln_id", "side").agg(F.max("x").alias("top"))
+        begun = {"from_node": F.col("onode_id"), "hop": F.col("from_hop") + 1}
+        told = placed(out.withColumns(begun), onodes)
+        inner = told.where("off < nlen").withColumn("fresh", F.lit(False))
+        over = told.where("off = nlen").drop("nlen", "part").join(edges, "onode_id").withColumn("onode_id", F.col("dst")).withColumn("off", F.col("overlap")).withColumn("fresh", F.lit(True)).drop("dst", "overlap")
+        new = inner.drop("nlen", "part").unionByName(over).select(*ENTRY, *FROM)
+        waits = dealt.where("ahead").select(*ENTRY, *FROM)
+        seen.append(now.select(*ENTRY, *FROM))
+        more = undercut(waits.unionByName(new), reduce(DataFrame.union, seen)).join(tops, ["aln_id", "side"]).join(queries.select("aln_id", "side", "qlen"), ["aln_id", "side"])
+        more = within_budget(within_band(alive(scored(more, params.identity), params.drop, cost, fraction, 0).drop("x", "qlen"), params.bandwidth), params.cells_per_slice)
+        last, front = front, saved(placed(more, onodes), "front")
+        entries.append(now)
+        ends += parts
+        if len(entries) > 1:
+            forget(last)
+        if len(seen) == 8:
+            # what lies before all of an alignment's states is not met again
+            low = front.groupBy("aln_id", "side").agg(F.min("rpos").alias("low"))
+            seen = [saved(reduce(DataFrame.union, seen).join(low, ["aln_id", "side"]).where("rpos >= low").drop("low"), "seen")]
+    return reduce(DataFrame.unionByName, ends), reduce(DataFrame.unionByName, (e.select(*ENTRY, *FROM) for e in entries)), queries
+
+
+def by_score() -> tuple[Column, ...]:
+    """The better of two ends first: of equal scores fewer edits, then more of the read."""
+    return F.desc("x"), F.asc("e"), F.desc("rpos"), F.asc("onode_id"), F.asc("off")
+
+
+def best_ends(ends: DataFrame) -> DataFrame:
+    """The end of best score of each side; ties take fewer edits, then more of the read."""
+    order = W.partitionBy("aln_id", "side").orderBy(*by_score())
+    return ends.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+
+
+def end_points(ends: DataFrame, oedges: DataFrame, clusters: DataFrame, max_traces: int, fraction: float) -> DataFrame:
+    """Ends to trace, with ``rank`` from 1 within a side: the best one, and local maxima that could be alignments as well.
+
+    ``ends`` holds scores x by ``(aln_id, side, onode_id, slice)``; ``clusters`` is ``(aln_id, side, read_id, cluster, shift,
+    ahead)`` with a cluster's place in its read's order, the side's begin in the read, and whether it goes up. A local
+    maximum is above 0, not below the slice before on its node nor a neighbour's there or in its slice, and above the slice
+    behind on its node. It must reach a fraction of its slice's best, and of half the slice's best over earlier clusters
+    of the read. At most ``max_traces`` stay in a slice, and those go that lie on the way (behind a twentieth of it) to an
+    end of which they do not reach the fraction.
+    """
+    key = ["aln_id", "side", "onode_id", "slice"]
+    order = W.partitionBy(*key).orderBy(*by_score())
+    cells = ends.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    score = cells.where("x > 0").select(*key, "x")
+    beside = oedges.select("src", "dst").distinct()
+    # (node, slice) whose score is compared with that of (to, to_slice), and whether an equal one is too much
+    near = [score.select("aln_id", "side", F.col("onode_id").alias("to"), (F.col("slice") + d).alias("to_slice"), "x", F.lit(d < 0).alias("tie")) for d in (1, -1)]
+    for mine, other, d in (("src", "dst", 0), ("src", "dst", 1), ("dst", "src", 0), ("dst", "src", -1)):
+        near.append(score.join(beside.select(F.col(mine).alias("onode_id"), F.col(other).alias("to")), "onode_id").select("aln_id", "side", "to", (F.col("slice") + d).alias("to_slice"), "x", F.lit(False)))
+    higher = reduce(DataFrame.union, near).groupBy("aln_id", "side", F.col("to").alias("onode_id"), F.col("to_slice").alias("slice")).agg(F.max("x").alias("above"), F.max(F.when(F.col("tie"), F.col("x"))).alias("level"))
+    best = cells.where("x > 0").join(clusters, ["aln_id", "side"])
+    best = best.withColumn("top", F.max("x").over(W.partitionBy("aln_id", "side", "slice")))
+    base = F.col("slice") * SLICE
+    best = best.withColumn("place", F.floor(F.when(F.col("ahead"), F.col("shift") + base).otherwise(F.col("shift") - base - 1) / SLICE))
+    before = F.max("top").over(W.partitionBy("read_id", "side", "place").orderBy("cluster").rangeBetween(W.unboundedPreceding, -1))
+    tops = best.withColumn("before", F.coalesce(before, F.lit(0.0)))
+    some = tops.where((F.col("x") >= fraction * F.col("top")) & (F.col("x") >= fraction * 0.5 * F.col("before")))
+    some = some.join(higher, key, "left").where("coalesce(above <= x, true) and coalesce(level < x, true)").drop("above", "level")
+    some = some.withColumn("r", F.row_number().over(W.partitionBy("aln_id", "side", "slice").orderBy(*by_score()))).where(F.col("r") <= max_traces)
+    way = some.select("aln_id", "side", F.col("x").alias("way_x"), F.col("slice").alias("to"), (F.ceil(F.col("rpos") * 0.05 / SLICE) + 1).alias("from"))
+    on_way = (F.col("s.aln_id") == F.col("w.aln_id")) & (F.col("s.side") == F.col("w.side")) & (F.col("s.slice") >= F.col("w.from")) & (F.col("s.slice") < F.col("w.to")) & (F.col("s.x") < fraction * F.col("w.way_x"))
+    some = some.alias("s").join(way.alias("w"), on_way, "left_anti").select(*cells.columns)
+    every = some.unionByName(best_ends(cells).drop("rank")).dropDuplicates(key)
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("aln_id", "side").orderBy(*by_score())))
+
+
+def traced_ends(ends: DataFrame, entries: DataFrame, queries: DataFrame, onodes: DataFrame) -> DataFrame:
+    """Adds ``ops`` and ``path`` to ends with a ``rank``.
+
+    The entries on each end's path are found by pointer jumping: after n joins, all up to 2**n - 1 before the end.
+    """
+    at = lambda *c: F.struct(*(F.col(x).alias(n) for x, n in zip(c, ("node", "off", "rpos", "e", "hop"), strict=True)))
+    own = ["aln_id", "side"]
+    jump = saved(entries.where("from_node is not null").select(*own, at("onode_id", "off", "rpos", "e", "hop").alias("at"), at("from_node", "from_off", "from_rpos", "from_e", "from_hop").alias("to")).distinct(), "jump")
+    met = saved(ends.select(*own, "rank", at("onode_id", "from_off", "from_rpos", "from_e", "from_hop").alias("at")), "met")
+    while True:
+        more = met.join(jump, [*own, "at"]).select(*own, "rank", F.col("to").alias("at"))
+        grown = saved(met.union(more).distinct(), "met")
+        if grown.count() == met.count():
+            break
+        ahead = saved(jump.join(jump.select(*own, F.col("at").alias("to"), F.col("to").alias("next")), [*own, "to"]).select(*own, "at", F.col("next").alias("to")), "jump")
+        forget(met, jump)
+        met, jump = grown, ahead
+    how = entries.select(*own, at("onode_id", "off", "rpos", "e", "hop").alias("at"), F.coalesce("fresh", F.lit(True)).alias("fresh")).groupBy(*own, "at").agg(F.max("fresh").alias("fresh"))
+    order = W.partitionBy(*own, "rank").orderBy("at.hop")
+    last = ends.select(*own, "rank", F.col("off").alias("end_off"), F.col("rpos").alias("end_rpos"))
+    path = met.join(how, [*own, "at"]).join(last, [*own, "rank"]).withColumn("next", F.lead("at").over(order)).withColumn("next_fresh", F.lead("fresh").over(order))
+    path = path.join(onodes.select(F.col("onode_id").alias("node"), "seq", "len"), path["at.node"] == F.col("node")).join(queries, own)
+    # a piece ends where the next one begins, and a node's last piece with the node
+    to_off = F.when(F.col("next").isNull(), F.col("end_off")).when(F.col("next_fresh"), F.col("len")).otherwise(F.col("next.off"))
+    to_rpos = F.coalesce("next.rpos", "end_rpos")
+    cut = lambda text, a, b: F.col(text).substr((F.col(a) + 1).cast("int"), (b - F.col(a)).cast("int"))
+    parts = path.select(*own, "rank", F.col("at.hop").alias("hop"), F.when(F.col("fresh") | (F.col("at.hop") == 0), F.col("node")).alias("node"), cut("query", "at.rpos", to_rpos).alias("query"), cut("seq", "at.off", to_off).alias("nseq"))
+    kind = dict(ends.dtypes)["aln_id"]
+    told = parts.mapInArrow(fronts.stepped, f"aln_id {kind}, side int, rank int, hop int, node long, ops string")
+    held = F.array_sort(F.collect_list(F.struct("hop", "ops", "node")))
+    whole = told.groupBy(*own, "rank").agg(held.alias("h")).select(*own, "rank", F.array_join(F.transform("h", lambda x: x["ops"]), "").alias("ops"), F.filter(F.transform("h", lambda x: x["node"]), lambda n: n.isNotNull()).alias("path"))
+    return ends.join(whole, [*own, "rank"])
+
+
 def extend(starts: DataFrame, onodes: DataFrame, oedges: DataFrame, params, closed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(aln_id, side, onode_id, off, rpos, e, ops, path, x)``: the end of best score of each side, at least its start.
 
-    ``closed`` are the slices and offsets of `allowed`.
+    ``closed`` are the slices and offsets of `closed_spans`.
+    """
+    ends, entries, queries = explored(starts, onodes, oedges, params, closed)
+    return traced_ends(saved(best_ends(ends), "ends"), entries, queries, onodes).select(*STATE, "x")
+
+
+def variants(sides: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sides and anchors for an alignment of both best sides, and one for each other end with the best side across.
 
-    States fall out when they are out of the band, over the budget, more than the X-drop below the side's best score,
-    or when even a perfect rest could not beat it. Ties take fewer edits, then more of the read.
+    The others get an ``aln_id`` of their own: that of the anchor, the side (- or +) and the end's rank.
     """
-    queries = saved(starts.groupBy("aln_id", "side").agg(F.first("query").alias("query")), "query")
-    cost = error_cost(params.identity) / 100
-    front = saved(starts.select("aln_id", "side", "onode_id", "off", F.lit(0).cast("long").alias("rpos"), F.lit(0).alias("e"), F.lit("").alias("ops"), F.array("onode_id").alias("path")), "front")
-    best = None
-    order = W.partitionBy("aln_id", "side").orderBy(F.desc("x"), "e", F.desc("rpos"), "onode_id", "off", "ops")
-    while True:  # as edits cost more than a perfect rest can gain, no state lives for ever
-        reached = scored(furthest(slide(front, queries, onodes, oedges)), params.identity)
-        reached = allowed(reached, *closed) if closed else reached
-        reached = saved(within_budget(within_band(reached, params.bandwidth), params.cells_per_slice), "reached")
-        both = reached if best is None else best.unionByName(reached)
-        best = saved(both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r"), "best")
-        top = best.select("aln_id", "side", F.col("x").alias("top"))
-        lives = reached.join(top, ["aln_id", "side"]).join(queries.select("aln_id", "side", F.length("query").alias("qlen")), ["aln_id", "side"])
-        front = saved(furthest(stepped(alive(lives, params.drop, cost).select(*STATE), queries, onodes)), "front")
-        if not front.head(1):
-            return best
+    name = F.concat_ws("", F.col("aln_id").cast("string"), F.when(F.col("side") == FORWARD, "+").otherwise("-"), "rank")
+    others = sides.where("rank > 1").withColumn("own", name)
+    across = sides.where("rank = 1").join(others.select("aln_id", (1 - F.col("side")).alias("side"), "own"), ["aln_id", "side"])
+    every = sides.where("rank = 1").unionByName(others.withColumn("aln_id", F.col("own")).drop("own")).unionByName(across.withColumn("aln_id", F.col("own")).drop("own"))
+    more = anchors.join(others.select("aln_id", "own"), "aln_id").withColumn("aln_id", F.col("own")).drop("own")
+    return every, anchors.unionByName(more)
 
 
 def merged(sides: DataFrame, anchors: DataFrame, onodes: DataFrame, identity: float) -> DataFrame:

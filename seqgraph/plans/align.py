@@ -46,20 +46,34 @@ def seeds(reads: DataFrame, onodes: DataFrame, oedges: DataFrame, params: AlignP
 
 
 def anchors(hits: DataFrame, onodes: DataFrame, reads: DataFrame, params: AlignParams) -> DataFrame:
-    """One anchor for each cluster of a read: its longest, best and most central exact hit."""
+    """One anchor for each cluster of a read: of the longest hits one of the diagonal of a node that holds most of them,
+    the best and most central one. So of two ways through a bubble the one with more hits has the anchor."""
     found = clustering.large_enough(clustering.sessions(hits), params.min_cluster_size)
     ranks = clustering.ranked(clustering.goodness(found), params.max_clusters).where("rank = cluster").select("read_id", "chain", "session", "cluster")
     keys = ["read_id", "chain", "session"]
     mid = F.abs(F.col("read_pos") - F.avg("read_pos").over(W.partitionBy(*keys)))
-    order = W.partitionBy(*keys).orderBy(F.desc("match_len"), F.desc("goodness"), "mid", "read_pos", "onode_id", "off")
-    one = found.join(ranks, keys).withColumn("mid", mid).withColumn("r", F.row_number().over(order)).where("r = 1")
-    one = one.select(F.concat_ws(":", "read_id", "cluster").alias("aln_id"), "read_id", "onode_id", (F.col("off") - F.col("match_len") + 1).alias("off"), (F.col("read_pos") - F.col("match_len") + 1).alias("read_pos"), "match_len")
+    held = F.count("*").over(W.partitionBy(*keys, "onode_id", F.col("off") - F.col("read_pos")))
+    order = W.partitionBy(*keys).orderBy(F.desc("match_len"), F.desc("held"), F.desc("goodness"), "mid", "read_pos", "onode_id", "off")
+    one = found.join(ranks, keys).withColumn("mid", mid).withColumn("held", held).withColumn("r", F.row_number().over(order)).where("r = 1")
+    one = one.select(F.concat_ws(":", "read_id", "cluster").alias("aln_id"), "read_id", "cluster", "onode_id", (F.col("off") - F.col("match_len") + 1).alias("off"), (F.col("read_pos") - F.col("match_len") + 1).alias("read_pos"), "match_len")
     return one.join(onodes.select("onode_id", F.col("len").alias("onode_len")), "onode_id").join(reads.select("read_id", "seq"), "read_id")
 
 
 def traced(anchor: DataFrame, onodes: DataFrame, oedges: DataFrame, params: AlignParams, closed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Alignments of both sides of each anchor, cleaned and clipped, one for each place of a read and the graph."""
-    sides = extension.extend(extension.anchor_starts(anchor), onodes, oedges, params, closed)
+    """Alignments of both sides of each anchor, cleaned and clipped, one for each place of a read and the graph.
+
+    Anchors with a ``cluster`` give up to ``max_traces`` ends a slice of a side, where those could be alignments as well.
+    """
+    several = "cluster" in anchor.columns
+    ends, entries, queries = extension.explored(extension.anchor_starts(anchor), onodes, oedges, params, closed, params.multimap_fraction if several else 1.0)
+    if several:
+        side = lambda s, shift: anchor.select("aln_id", F.lit(s).alias("side"), "read_id", "cluster", shift.cast("long").alias("shift"), F.lit(s == extension.FORWARD).alias("ahead"))
+        clusters = side(extension.FORWARD, F.col("read_pos") + F.col("match_len")).union(side(extension.BACKWARD, F.col("read_pos")))
+        chosen = extension.end_points(saved(ends, "cells"), oedges, clusters, params.max_traces, params.multimap_fraction)
+    else:
+        chosen = extension.best_ends(ends)
+    sides = saved(extension.traced_ends(saved(chosen, "ends"), entries, queries, onodes), "sides")
+    sides, anchor = extension.variants(sides, anchor)
     found = saved(extension.cancelled(extension.merged(sides, anchor, onodes, params.identity), params.identity), "merged")
     if params.clip_ambiguous >= 0:
         sure = extension.ambiguous_end(found, params.clip_ambiguous).where("sure_steps > 0")

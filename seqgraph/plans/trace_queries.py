@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import shared_dir
 from seqgraph.operators import clustering, correction, extension, haplotype, seeding, selection, stats
+from seqgraph.params import AlignParams
 from seqgraph.plans import fixtures as fx
 from seqgraph.plans.align_queries import CHAINS, K, SEEDED, VOTES, WIN, chain_table, hits, minimizer_cte, votes
 from seqgraph.plans.fixtures import with_
@@ -129,6 +130,64 @@ def x5_within_budget(spark, sf):
     return extension.within_budget(states(spark, sf), 1).select("aln_id", "e", "rpos")
 
 
+# sides of 5 to 35 bases of each node and what follows it, with a mismatch, a deletion and an insertion
+SIDES = with_("onodes", "oedges") + """, st AS (SELECT onode_id, onode_id * 100 + back AS aln_id, len - back AS off, substr(seq, CAST(len - back + 1 AS INT)) AS here, back FROM (SELECT *, unnest([5, 15, 25, 35]) AS back FROM onodes)),
+wk AS (SELECT aln_id, here AS w FROM st UNION SELECT aln_id, here || substr(seq, CAST(overlap + 1 AS INT), 60) FROM st JOIN oedges ON src = st.onode_id JOIN onodes o ON o.onode_id = dst),
+qu AS (SELECT aln_id, substr(w, 1, 10) || 'A' || substr(w, 12, 9) || substr(w, 22, 7) || 'GC' || substr(w, 29, 18) AS q FROM (SELECT aln_id, max(w) AS w FROM wk GROUP BY aln_id)),
+ce AS (SELECT aln_id, r, levenshtein(substr(q, 1, CAST(r AS INT)), substr(w, 1, CAST(o AS INT))) AS e FROM (SELECT aln_id, q, w, r, unnest(range(0, least(length(w), 60) + 1)) AS o FROM (SELECT qu.aln_id, q, w, unnest(range(0, length(q) + 1)) AS r FROM qu JOIN wk USING (aln_id)))),
+be AS (SELECT *, row_number() OVER (PARTITION BY aln_id ORDER BY round(r - e * 2.94::DOUBLE, 6) DESC, e, r DESC) AS k FROM ce)
+"""
+
+
+def sides(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    onodes, oedges = fx.oriented(spark, sf)
+    st = onodes.withColumn("back", F.explode(F.array(*map(F.lit, (5, 15, 25, 35))))).selectExpr("onode_id", "onode_id * 100 + back as aln_id", "bigint(len - back) as off", "substring(seq, len - back + 1) as here")
+    on = st.join(oedges, st["onode_id"] == oedges["src"]).join(onodes.select(F.col("onode_id").alias("dst"), "seq"), "dst").selectExpr("aln_id", "concat(here, substring(seq, overlap + 1, 60)) as w")
+    walk = st.selectExpr("aln_id", "here as w").union(on).groupBy("aln_id").agg(F.max("w").alias("w"))
+    query = walk.selectExpr("aln_id", "concat(substring(w, 1, 10), 'A', substring(w, 12, 9), substring(w, 22, 7), 'GC', substring(w, 29, 18)) as query")
+    return st.join(query, "aln_id").select("aln_id", F.lit(extension.FORWARD).alias("side"), "onode_id", "off", "query"), onodes, oedges
+
+
+def extended(spark, sf) -> DataFrame:
+    return extension.extend(*sides(spark, sf), AlignParams(bandwidth=100))
+
+
+@query(SIDES + "SELECT aln_id, round(r - e * 2.94::DOUBLE, 6) AS x, CAST(e AS INT) AS e, r AS rpos FROM be WHERE k = 1")
+def x2_sides(spark, sf):
+    """The best end of each side, over all that a full search finds."""
+    return extended(spark, sf).select("aln_id", F.round("x", 6).alias("x"), "e", "rpos")
+
+
+@query(SIDES + "SELECT aln_id, CAST(e AS INT) AS edits, r AS read_bases FROM be WHERE k = 1")
+def x7_steps(spark, sf):
+    """The steps traced back over the pointers take the edits and the bases of the best end."""
+    return extended(spark, sf).select("aln_id", F.length(F.regexp_replace("ops", "=", "")).alias("edits"), F.length(F.regexp_replace("ops", "D", "")).cast("long").alias("read_bases"))
+
+
+CELLS = with_("oedges") + """, ce AS (SELECT l_orderkey AS aln_id, CAST(l_suppkey % 2 AS INT) AS side, CAST(2 * (l_partkey % 40) AS BIGINT) AS onode_id, CAST(l_linenumber // 2 + l_suppkey % 3 AS BIGINT) AS slice, ((l_partkey * 37 + l_suppkey) % 900 + l_linenumber * 100) / 5.0::DOUBLE - 60 AS x, CAST(l_partkey % 7 AS INT) AS e, CAST((l_linenumber // 2 + l_suppkey % 3) * 64 + l_partkey % 64 AS BIGINT) AS rpos, CAST(l_suppkey % 11 AS BIGINT) AS off FROM lineitem),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY aln_id, side, onode_id, slice ORDER BY x DESC, e, rpos DESC, off) AS k FROM ce), c2 AS (SELECT * EXCLUDE (k) FROM c1 WHERE k = 1), po AS (SELECT * FROM c2 WHERE x > 0),
+be AS (SELECT DISTINCT src, dst FROM oedges),
+ne AS (SELECT aln_id, side, onode_id, slice + 1 AS slice, x, false AS tie FROM po UNION ALL SELECT aln_id, side, onode_id, slice - 1, x, true FROM po
+  UNION ALL SELECT aln_id, side, dst, slice, x, false FROM po JOIN be ON src = onode_id UNION ALL SELECT aln_id, side, dst, slice + 1, x, false FROM po JOIN be ON src = onode_id
+  UNION ALL SELECT aln_id, side, src, slice, x, false FROM po JOIN be ON dst = onode_id UNION ALL SELECT aln_id, side, src, slice - 1, x, false FROM po JOIN be ON dst = onode_id),
+hi AS (SELECT aln_id, side, onode_id, slice, max(x) AS above, max(CASE WHEN tie THEN x END) AS level FROM ne GROUP BY ALL),
+t1 AS (SELECT *, max(x) OVER (PARTITION BY aln_id, side, slice) AS top, aln_id // 4 AS read_id, aln_id % 4 AS cluster, CAST(floor((CASE WHEN side = 1 THEN aln_id % 9 * 50 + slice * 64 ELSE aln_id % 9 * 50 - slice * 64 - 1 END) / 64.0) AS BIGINT) AS place FROM po),
+t2 AS (SELECT *, coalesce(max(top) OVER (PARTITION BY read_id, side, place ORDER BY cluster RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t1),
+s1 AS (SELECT t2.* FROM t2 LEFT JOIN hi USING (aln_id, side, onode_id, slice) WHERE t2.x >= 0.9::DOUBLE * top AND t2.x >= 0.9::DOUBLE * 0.5::DOUBLE * before AND coalesce(above <= t2.x, true) AND coalesce(level < t2.x, true)),
+s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aln_id, side, slice ORDER BY x DESC, e, rpos DESC, onode_id, off) AS k FROM s1) WHERE k <= 3),
+s3 AS (SELECT * FROM s2 s WHERE NOT EXISTS (SELECT 1 FROM s2 w WHERE w.aln_id = s.aln_id AND w.side = s.side AND s.slice >= ceil(w.rpos * 0.05::DOUBLE / 64) + 1 AND s.slice < w.slice AND s.x < 0.9::DOUBLE * w.x)),
+b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aln_id, side ORDER BY x DESC, e, rpos DESC, onode_id, off) AS k FROM c2) WHERE k = 1),
+al AS (SELECT aln_id, side, onode_id, slice, x, e, rpos, off FROM s3 UNION SELECT aln_id, side, onode_id, slice, x, e, rpos, off FROM b1)
+SELECT aln_id, side, onode_id, slice, x, CAST(row_number() OVER (PARTITION BY aln_id, side ORDER BY x DESC, e, rpos DESC, onode_id, off) AS INT) AS rank FROM al"""
+
+
+@query(CELLS)
+def x6_end_points(spark, sf):
+    ends = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey as aln_id", "int(l_suppkey % 2) as side", "bigint(2 * (l_partkey % 40)) as onode_id", "bigint(l_linenumber div 2 + l_suppkey % 3) as slice", "((l_partkey * 37 + l_suppkey) % 900 + l_linenumber * 100) / 5.0D - 60 as x", "int(l_partkey % 7) as e", "bigint((l_linenumber div 2 + l_suppkey % 3) * 64 + l_partkey % 64) as rpos", "bigint(l_suppkey % 11) as off")
+    clusters = ends.select("aln_id", "side").distinct().selectExpr("aln_id", "side", "aln_id div 4 as read_id", "aln_id % 4 as cluster", "aln_id % 9 * 50 as shift", "side = 1 as ahead")
+    return extension.end_points(ends, fx.oriented(spark, sf)[1], clusters, 3, 0.9).select("aln_id", "side", "onode_id", "slice", "x", "rank")
+
+
 @query(SEEDED + f", {CHAINS} SELECT h.read_id, h.onode_id, chain, CAST(chain_pos + off - read_pos AS BIGINT) AS diag, count(*) AS n FROM hits h JOIN chains c ON c.onode_id = h.onode_id GROUP BY ALL")
 def c1_diagonals(spark, sf):
     return clustering.diagonals(hits(spark, sf), chain_table(spark, sf)).groupBy("read_id", "onode_id", "chain", "diag").agg(F.count("*").alias("n"))
