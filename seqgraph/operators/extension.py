@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from seqgraph.checkpoints import forget, saved
 from seqgraph.functions.sequences import error_cost, iupac_match, revcomp
 from seqgraph.operators import fronts
+from seqgraph.operators.intervals import merged as merged_spans
 
 WINDOW = 256
 PIECE = 1024
@@ -41,15 +42,30 @@ def anchor_starts(anchors: DataFrame) -> DataFrame:
     return fore.union(back).select("aln_id", "side", "onode_id", F.col("off").cast("long").alias("off"), "query")
 
 
-def free_anchors(reads: DataFrame, onodes: DataFrame, stride: int = 0, errors: int = 2, base: int = 3) -> DataFrame:
+def restarts(reads: DataFrame, spans: DataFrame, stride: int) -> DataFrame:
+    """``(read_id, start, end, point)``: what no span ``(read_id, start, end)`` of a read covers, and where to try again there.
+
+    The point lies ``stride`` bases behind the last covered one; intervals that end before it, and the read's last base,
+    are left out. A read without a span has none: its first try begins at its first base.
+    """
+    one = merged_spans(spans.where("start < end or start = 0").select("read_id", "start", "end"), ["read_id"])
+    behind = F.lead("start").over(W.partitionBy("read_id").orderBy("start"))
+    gaps = one.withColumn("next", behind).join(reads.select("read_id", "len"), "read_id").select("read_id", F.col("end").alias("start"), F.coalesce("next", "len").cast("long").alias("end"), "len")
+    return gaps.withColumn("point", F.col("start") + stride).where("point < end and point < len - 1").drop("len")
+
+
+def free_anchors(reads: DataFrame, onodes: DataFrame, stride: int = 0, errors: int = 2, base: int = 3, points: DataFrame | None = None) -> DataFrame:
     """Anchors without seeds: every place of the graph that equals one of the first ``errors + 1`` blocks of ``base``
     bases (an equi-join on them), so a read with a wrong first base has anchors too. With ``stride`` the same again at
-    each multiple of it, for reads that no alignment spans. Reads shorter than a block have none.
+    each multiple of it, with ``points`` ``(read_id, point)`` there instead. Reads shorter than a block have none.
     """
     places = onodes.where(F.col("len") >= base).select("onode_id", F.col("len").alias("onode_len"), F.explode(F.sequence(F.lit(0), F.col("len") - base)).alias("off"), "seq")
     index = places.select("onode_id", "onode_len", F.col("off").cast("long").alias("off"), F.expr(f"substring(seq, off + 1, {base})").alias("b"))
     first = F.sequence(F.lit(0), F.col("len") - base, F.lit(stride)) if stride > 0 else F.array(F.lit(0))
-    blocks = reads.where(F.col("len") >= base).select("read_id", "seq", F.explode(first).alias("w")).select("read_id", "seq", F.explode(F.array(*(F.col("w") + base * i for i in range(errors + 1)))).alias("p"))
+    begun = reads.where(F.col("len") >= base).select("read_id", "seq", F.explode(first).alias("w"))
+    if points is not None:
+        begun = reads.join(points, "read_id").select("read_id", "seq", F.col("point").alias("w"))
+    blocks = begun.select("read_id", "seq", F.explode(F.array(*(F.col("w") + base * i for i in range(errors + 1)))).alias("p"))
     blocks = blocks.where(F.col("p") + base <= F.length("seq")).distinct().withColumn("b", F.expr(f"substring(seq, p + 1, {base})"))
     return blocks.join(index, "b").select(F.concat_ws(":", "read_id", "p", "onode_id", "off").alias("aln_id"), "read_id", "onode_id", "off", F.col("p").cast("long").alias("read_pos"), F.lit(base).alias("match_len"), "onode_len", "seq")
 
@@ -390,13 +406,41 @@ def equal_steps(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("long")
 
 
+def agreement(onodes: DataFrame, oedges: DataFrame) -> DataFrame:
+    """``(src, dst, overlap, src_len, head, tail)``: how many of an overlap's bases are equal in both nodes, from its first
+    base on and from its last one back."""
+    seqs = lambda name: onodes.select(F.col("onode_id").alias(name), F.col("seq").alias(f"{name}_seq"), F.col("len").alias(f"{name}_len"))
+    both = oedges.where("overlap > 0").groupBy("src", "dst").agg(F.max("overlap").alias("overlap")).join(seqs("src"), "src").join(seqs("dst"), "dst")
+    a, b = F.expr("right(src_seq, overlap)"), F.expr("left(dst_seq, overlap)")
+    return both.select("src", "dst", "overlap", "src_len", equal_run(a, b).alias("head"), equal_run(F.reverse(a), F.reverse(b)).alias("tail"))
+
+
 def normalised_ends(alns: DataFrame, onodes: DataFrame, oedges: DataFrame) -> DataFrame:
-    """Ends that lie within an overlap's first bases of the last node move to the node before, when that has them."""
-    last, before = F.element_at("path", -1), F.try_element_at("path", F.lit(-2))
-    told = alns.withColumn("dst", last).withColumn("src", before).join(oedges.groupBy("src", "dst").agg(F.max("overlap").alias("overlap")), ["src", "dst"], "left").join(onodes.select(F.col("onode_id").alias("src"), F.col("len").alias("src_len")), "src", "left")
-    shared = F.coalesce((F.col("overlap") > 0) & (F.col("path_end_off") <= F.col("overlap")), F.lit(False))
-    ends = {"path_end_off": F.when(shared, F.col("src_len") - F.col("overlap") + F.col("path_end_off")).otherwise(F.col("path_end_off")), "path": F.when(shared, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))}
-    return told.withColumns(ends).select(*alns.columns)
+    """Ends within bases that two nodes share move to the node that has more of the path, over chains of overlaps.
+
+    An end no further than its node's overlap with the node before moves there where the bases up to it are equal, and
+    again from there; then likewise a start that only reaches into the overlap with the node behind. One node stays.
+    """
+    order = W.partitionBy("aln_id").orderBy("at")
+    steps = alns.select("aln_id", F.posexplode("path").alias("at", "dst")).withColumn("src", F.lag("dst").over(order))
+    told = steps.join(agreement(onodes, oedges), ["src", "dst"], "left").where("at > 0")
+    held = told.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("overlap", F.lit(0)).cast("long").alias("o"), F.col("src_len").cast("long").alias("l"), "head", "tail"))).alias("h"))
+    both = alns.join(held, "aln_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<at:int,o:bigint,l:bigint,head:bigint,tail:bigint>>")))
+
+    def moved(first: Column, rows: Column, shared, place) -> Column:
+        start = F.struct(F.lit(0).alias("n"), first.cast("long").alias("at"), F.lit(True).alias("go"))
+
+        def step(s, x):
+            on = F.coalesce(s["go"] & (x["o"] > 0) & shared(s["at"], x), F.lit(False))
+            return F.struct((s["n"] + on.cast("int")).alias("n"), F.when(on, place(s["at"], x)).otherwise(s["at"]).alias("at"), on.alias("go"))
+
+        return F.aggregate(rows, start, step)
+
+    both = both.withColumn("_end", moved(F.col("path_end_off"), F.reverse("h"), lambda at, x: (at <= x["o"]) & (at <= x["head"]), lambda at, x: x["l"] - x["o"] + at))
+    both = both.withColumn("path", F.expr("slice(path, 1, size(path) - _end.n)")).withColumn("path_end_off", F.col("_end.at").cast(alns.schema["path_end_off"].dataType))
+    both = both.withColumn("_start", moved(F.col("path_start"), F.expr("slice(h, 1, size(path) - 1)"), lambda at, x: (at >= x["l"] - x["o"]) & (x["l"] - at <= x["tail"]), lambda at, x: at - x["l"] + x["o"]))
+    both = both.withColumn("path", F.expr("slice(path, _start.n + 1, size(path))")).withColumn("path_start", F.col("_start.at").cast(alns.schema["path_start"].dataType))
+    return both.select(*alns.columns)
 
 
 def described(alns: DataFrame, reads: DataFrame, onodes: DataFrame, oedges: DataFrame) -> DataFrame:

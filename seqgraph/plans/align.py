@@ -88,8 +88,8 @@ def traced(anchor: DataFrame, onodes: DataFrame, oedges: DataFrame, params: Alig
 def align(reads: DataFrame, nodes: DataFrame, edges: DataFrame, params: AlignParams, external: DataFrame | None = None) -> DataFrame:
     """Selected alignments of ``(read_id, seq, len)`` to a graph, with all columns of a GAF line and rank and ops.
 
-    Seedless alignments start near the read's first base, and with ``restart_stride`` at each multiple of it; they have
-    no mapping quality, which stays 255.
+    Seedless alignments start near the read's first base, and with ``restart_stride`` again so many bases behind each
+    alignment or failed try; they have no mapping quality, which stays 255.
     """
     params = params.checked()
     onodes, oedges = saved(graph.orient_nodes(nodes), "onodes"), saved(graph.orient_edges(edges), "oedges")
@@ -97,8 +97,7 @@ def align(reads: DataFrame, nodes: DataFrame, edges: DataFrame, params: AlignPar
     reads = reads.withColumn("seq", hpc_collapse("seq")) if params.hpc_reads else reads
     reads = saved(reads.withColumn("len", F.length("seq")).where(F.col("len") >= max(1, params.min_score)), "reads")
     if params.seeding == "seedless":
-        anchor = saved(extension.free_anchors(reads, onodes, params.restart_stride), "anchors")
-        found = traced(anchor, onodes, oedges, params)
+        found = free_alignments(reads, onodes, oedges, params)
         kept = selection.ranked(selection.min_score(found, params.min_score).withColumn("mapq", F.lit(255)))
         kept = kept.where(F.col("rank") <= params.max_traces)
     else:
@@ -117,6 +116,25 @@ def align(reads: DataFrame, nodes: DataFrame, edges: DataFrame, params: AlignPar
     return told.join(writers.cigar(extension.trace(kept), params.cigar_match_mismatch), "aln_id", "left")
 
 
+def free_alignments(reads: DataFrame, onodes: DataFrame, oedges: DataFrame, params: AlignParams) -> DataFrame:
+    """Alignments from near the first base of each read and, round by round, from the restart points of what they leave.
+
+    What lies before a point that was tried counts as covered, so each round moves on by a stride at least.
+    """
+    found = traced(saved(extension.free_anchors(reads, onodes), "anchors"), onodes, oedges, params)
+    spans = found.select("read_id", "read_start", "read_end").toDF("read_id", "start", "end").union(reads.selectExpr("read_id", "0l", "0l"))
+    while params.restart_stride > 0:
+        points = saved(extension.restarts(reads, spans, params.restart_stride), "points")
+        if not points.head(1):
+            break
+        anchor = saved(extension.free_anchors(reads, onodes, points=points.select("read_id", "point")), "anchors")
+        more = traced(anchor, onodes, oedges, params)
+        found = found.unionByName(more)
+        tried = points.select("read_id", "start", F.col("point").cast("long").alias("end"))
+        spans = saved(spans.union(tried).union(more.select("read_id", "read_start", "read_end")), "spans")
+    return found
+
+
 def diploid_spans(reads: DataFrame, onodes: DataFrame, params: AlignParams) -> DataFrame:
     """Spans that haplotype evidence over all ``diploid_k`` forbids."""
     parts = []

@@ -71,10 +71,41 @@ def x10_cancelled(spark, sf):
     return extension.cancelled(traced(spark, sf), IDENTITY).select("aln_id", "ops", "edits", "xscore")
 
 
-@query(TRACED + ", " + with_("nodes", "onodes", "edges", "oedges")[5:] + """, m AS (SELECT tr.*, o.overlap, n.len FROM tr LEFT JOIN (SELECT src, dst, max(overlap) AS overlap FROM oedges GROUP BY ALL) o ON o.src = path[1] AND o.dst = path[2] LEFT JOIN onodes n ON n.onode_id = path[1])
-SELECT aln_id, CAST(CASE WHEN overlap > 0 AND path_end_off <= overlap THEN len - overlap + path_end_off ELSE path_end_off END AS BIGINT) AS path_end_off, CASE WHEN overlap > 0 AND path_end_off <= overlap THEN 1 ELSE 2 END AS n_nodes FROM m""")
+# each node (10 i) overlaps a short one (10 i + 2) by 5 bases, of which the first may differ, and that one the next by 6
+LAID = with_("nodes") + """, sh AS (SELECT node_id, seq AS a, CASE WHEN node_id % 4 = 0 THEN translate(right(seq, 5)[1], 'ACGT', 'CGTA') ELSE right(seq, 5)[1] END || right(seq, 4) || 'ACG' AS s FROM nodes WHERE length(seq) > 20),
+al AS (SELECT node_id * 100 + v AS aln_id, node_id, a, s, 3 AS path_start, v + 1 AS path_end_off FROM (SELECT *, unnest(range(0, 10)) AS v FROM sh) UNION ALL SELECT node_id * 100 + 50 + v, node_id, a, s, length(a) - 7 + v, 30 FROM (SELECT *, unnest(range(0, 7)) AS v FROM sh)),
+e1 AS (SELECT *, path_end_off <= 6 AS drop_b FROM al), e2 AS (SELECT *, drop_b AND 2 + path_end_off <= 5 AND left(right(a, 5), 2 + path_end_off) = left(s, 2 + path_end_off) AS drop_s FROM e1),
+s1 AS (SELECT *, path_start >= length(a) - 5 AND substr(a, CAST(path_start + 1 AS INT)) = substr(s, CAST(path_start - length(a) + 6 AS INT), CAST(length(a) - path_start AS INT)) AND NOT drop_s AS lose_a FROM e2),
+s2 AS (SELECT *, lose_a AND path_start - length(a) + 5 >= 2 AND NOT drop_b AS lose_s FROM s1)
+"""
+
+
+def laid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = fx.nodes(spark, sf).where("length(seq) > 20").selectExpr("node_id", "seq as a", "concat(case when node_id % 4 = 0 then translate(left(right(seq, 5), 1), 'ACGT', 'CGTA') else left(right(seq, 5), 1) end, right(seq, 4), 'ACG') as s")
+    node = lambda k, seq: n.selectExpr(f"10 * node_id + {k} as onode_id", f"{seq} as seq").withColumn("len", F.length("seq"))
+    onodes = node(0, "a").union(node(2, "s")).union(node(4, "concat(right(s, 6), left(a, 40))"))
+    oedges = n.selectExpr("10 * node_id as src", "10 * node_id + 2 as dst", "5 as overlap").union(n.selectExpr("10 * node_id + 2", "10 * node_id + 4", "6"))
+    ends = n.selectExpr("node_id", "a", "explode(sequence(0, 9)) as v").selectExpr("node_id * 100 + v as aln_id", "node_id", "bigint(3) as path_start", "bigint(v + 1) as path_end_off")
+    starts = n.selectExpr("node_id", "a", "explode(sequence(0, 6)) as v").selectExpr("node_id * 100 + 50 + v", "node_id", "bigint(length(a) - 7 + v)", "bigint(30)")
+    return ends.union(starts).selectExpr("aln_id", "array(10 * node_id, 10 * node_id + 2, 10 * node_id + 4) as path", "path_start", "path_end_off"), onodes, oedges
+
+
+@query(LAID + """SELECT aln_id, CAST(path_start - CASE WHEN lose_s THEN length(a) - 5 + 2 WHEN lose_a THEN length(a) - 5 ELSE 0 END AS BIGINT) AS path_start, CAST(CASE WHEN drop_s THEN length(a) - 5 + 2 + path_end_off WHEN drop_b THEN 2 + path_end_off ELSE path_end_off END AS BIGINT) AS path_end_off,
+  10 * node_id + CASE WHEN lose_s THEN 4 WHEN lose_a THEN 2 ELSE 0 END AS first, 10 * node_id + CASE WHEN drop_s THEN 0 WHEN drop_b THEN 2 ELSE 4 END AS last FROM s2""")
 def x11_normalised_ends(spark, sf):
-    return extension.normalised_ends(traced(spark, sf), *fx.oriented(spark, sf)).select("aln_id", F.col("path_end_off").cast("long").alias("path_end_off"), F.size("path").alias("n_nodes"))
+    """Ends and starts at each base of two overlaps one behind the other, some of them with a base that differs."""
+    return extension.normalised_ends(*laid(spark, sf)).select("aln_id", "path_start", "path_end_off", F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"))
+
+
+@query(with_("alns") + """, sp AS (SELECT read_id, read_start AS s, read_end AS e FROM alns UNION ALL SELECT DISTINCT read_id, 0, 0 FROM alns),
+iv AS (SELECT read_id, e AS s, coalesce(lead(s) OVER (PARTITION BY read_id ORDER BY s, e), 1500) AS e FROM (SELECT read_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(o) OVER (PARTITION BY read_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g
+  FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY read_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM sp)) GROUP BY read_id, g))
+SELECT read_id, s AS start, CAST(e AS BIGINT) AS end, s + 40 AS point FROM iv WHERE s + 40 < e AND s + 40 < 1499""")
+def x1_restarts(spark, sf):
+    """What a read's alignments leave, and where a seedless alignment begins again there."""
+    spans = fx.alignments(spark, sf).select("read_id", F.col("read_start").cast("long").alias("start"), F.col("read_end").cast("long").alias("end"))
+    reads = spans.select("read_id").distinct().withColumn("len", F.lit(1500))
+    return extension.restarts(reads, spans.union(reads.selectExpr("read_id", "0l", "0l")), 40)
 
 
 @query(TRACED + f""", st AS (SELECT aln_id, step, substr(ops, CAST(step + 1 AS INT), 1) AS op FROM (SELECT aln_id, ops, unnest(range(0, length(ops))) AS step FROM tr)),

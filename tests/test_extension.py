@@ -143,3 +143,23 @@ def test_ends_beside_the_best_one(spark):
     assert got == {(1, (0, 2), 90, 0, "=" * 90), (2, (0, 4), 90, 1, "=" * 60 + "X" + "=" * 29)}
     only = extension.end_points(ends, oedges, clusters, 1, 0.9)
     assert [(x["rank"], x.onode_id) for x in only.collect()] == [(1, 2)]
+
+
+def test_seedless_alignment_begins_again_behind_what_fails(spark):
+    """Two passages of the graph in one read, noise between and behind them: the second is found from a restart only."""
+    from seqgraph.plans import align
+
+    r = random.Random(21)
+    g = [dna(r, 90) for _ in range(2)]
+    noise = "".join(r.choices("AC", k=60))
+    nodes = spark.createDataFrame([(k, f"n{k}", s) for k, s in enumerate(g)], "node_id long, name string, seq string")
+    edges = spark.createDataFrame([], "from_id long, from_end boolean, to_id long, to_end boolean, overlap int")
+    reads = spark.createDataFrame([(1, g[0] + noise + g[1][:80] + "AC" * 15, 260)], "read_id long, seq string, len int")
+    how = dict(seeding="seedless", min_score=40.0, x_drop=1000)
+    found = {}
+    for stride in (0, 30):
+        alns = align.align(reads, nodes, edges, AlignParams(restart_stride=stride, **how))
+        found[stride] = {(x.path_text, x.read_start, x.read_end) for x in alns.where("xscore > 60").collect()}
+    assert {p for p, _, _ in found[0]} == {">n0"}
+    assert {p for p, _, _ in found[30]} == {">n0", ">n1"}
+    assert any(p == ">n1" and a >= 140 and b >= 228 for p, a, b in found[30])
