@@ -1,7 +1,8 @@
 """Graph analytics on directed edges ``(src, dst)``: components, tips, bubbles, chains and chain coordinates.
 
-Each is a loop of joins over DataFrames whose state is written to the shared folder after each round. The loops run as
-often as the graph is deep, not as it is large; ``max_rounds`` stops a loop that does not end.
+Each is a loop of joins over DataFrames whose state is written to the shared folder after each round. Unbranched paths, and
+nodes with one way in and one out, are taken together first (`paths`): the loops run as often as what is left is deep, not
+as it is large; ``max_rounds`` stops a loop that does not end.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
 from seqgraph.operators.components import connected_components
+from seqgraph.operators.paths import list_ranks, reduced
 
 UNROLLED = 3  # steps of a loop between two writes of its state
 
@@ -39,19 +41,46 @@ def core_edges(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 def tips(edges: DataFrame) -> DataFrame:
     """``(node, forward_tip, backward_tip)``: nodes that reach no cycle, and nodes that no cycle reaches."""
-    ahead = core_edges(edges).select(F.col("src").alias("node"), F.lit(False).alias("forward_tip")).distinct()
-    behind = core_edges(_turned(edges)).select(F.col("src").alias("node"), F.lit(False).alias("backward_tip")).distinct()
-    found = nodes_of(edges).join(ahead, "node", "left").join(behind, "node", "left")
-    return found.select("node", F.coalesce("forward_tip", F.lit(True)).alias("forward_tip"), F.coalesce("backward_tip", F.lit(True)).alias("backward_tip"))
+    small, names, layers = reduced(_ones(edges), nodes_of(edges))
+    ahead = core_edges(small).select(F.col("src").alias("node"), F.lit(False).alias("forward_tip")).distinct()
+    behind = core_edges(_turned(small)).select(F.col("src").alias("node"), F.lit(False).alias("backward_tip")).distinct()
+    found = names.join(ahead, "node", "left").join(behind, "node", "left")
+    found = saved(found.select("node", F.coalesce("forward_tip", F.lit(True)).alias("forward_tip"), F.coalesce("backward_tip", F.lit(True)).alias("backward_tip")), "tips")
+    for layer in reversed(layers):
+        # what a passed node reaches, the node behind it does; what reaches it, reaches the one before
+        way = layer.passed.join(found.select(F.col("node").alias("behind"), "forward_tip"), "behind").join(found.select(F.col("node").alias("before"), "backward_tip"), "before")
+        heads = found.union(way.select("node", "forward_tip", "backward_tip"))
+        found = saved(layer.groups.join(heads.withColumnRenamed("node", "head"), "head").select("node", "forward_tip", "backward_tip"), "tips")
+    return found
+
+
+def _ones(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").distinct().withColumn("d", F.lit(1).cast("long"))
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, component)``: the smallest node of each strongly connected component.
 
-    What cannot lie on a cycle is peeled off. Then, again and again, each node takes the smallest node that reaches it;
-    those that the smallest one is reached from in turn, within one such colour, are its component.
+    Unbranched ways are contracted, and what cannot lie on a cycle is peeled off. Then, again and again, each node takes
+    the smallest node that reaches it; those that the smallest one is reached from in turn, within one such colour, are
+    its component.
     """
-    every = saved(nodes_of(edges), "scc-nodes")
+    small, names, layers = reduced(_ones(edges), nodes_of(edges))
+    rough = saved(_strong_components(small, names, max_rounds), "scc-found")
+    found = saved(rough.join(in_cycle(small, rough), "node"), "scc-found")
+    for layer in reversed(layers):
+        # a passed node lies on a cycle where the nodes beside it do so together
+        end = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"), F.col("cyclic").alias(f"{name}_y"))  # noqa: B023, E731
+        on = F.expr("before_c = behind_c and before_y")
+        way = layer.passed.join(end("before"), "before").join(end("behind"), "behind").select("node", F.when(on, F.col("before_c")).otherwise(F.col("node")).alias("component"), on.alias("cyclic"))
+        heads = found.select("node", "component", "cyclic").union(way).withColumnRenamed("node", "head")
+        found = saved(layer.groups.join(heads, "head").select("node", F.when(F.col("cyclic"), F.col("component")).otherwise(F.col("node")).alias("component"), "cyclic"), "scc-found")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _strong_components(edges: DataFrame, names: DataFrame, max_rounds: int) -> DataFrame:
+    every = saved(names, "scc-nodes")
     live = saved(_turned(core_edges(_turned(core_edges(edges)))).select("src", "dst").where("src <> dst"), "scc")
     done = []
     for _ in range(max_rounds):
@@ -98,19 +127,27 @@ def component_order(edges: DataFrame, components: DataFrame, max_rounds: int = 1
     """``(node, component, level)``: the longest way to a component from one without ways in; no edge lowers it."""
     a = components.select(F.col("node").alias("src"), F.col("component").alias("a"))
     b = components.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-    dag = saved(edges.join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct(), "dag")
-    level = saved(components.select(F.col("component").alias("c"), F.lit(0).alias("level")).distinct(), "level")
+    dag = saved(_ones(edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "dag")
+    names = components.select(F.col("component").alias("node")).distinct()
+    small, left, layers = reduced(dag, names)
+    level = saved(left.select("node", F.lit(0).cast("long").alias("level")), "level")
     mark = None
     for _ in range(max_rounds):
         for _ in range(UNROLLED):
-            step = level.join(dag, F.col("c") == F.col("a")).select(F.col("b").alias("c"), (F.col("level") + 1).alias("level"))
-            level = level.union(step).groupBy("c").agg(F.max("level").alias("level"))
+            step = level.join(small, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("level") + F.col("d")).alias("level"))
+            level = level.union(step).groupBy("node").agg(F.max("level").alias("level"))
         level = saved(level, "level")
         told = level.agg(F.sum("level")).first()[0]
         if told == mark:
-            return components.join(level, F.col("component") == F.col("c")).select("node", "component", "level")
+            break
         mark = told
-    raise RuntimeError("the components are not free of cycles")
+    else:
+        raise RuntimeError("the components are not free of cycles")
+    for layer in reversed(layers):
+        way = layer.passed.join(level.withColumnRenamed("node", "before"), "before").select("node", (F.col("level") + F.col("d")).alias("level"))
+        heads = level.union(way).withColumnRenamed("node", "head")
+        level = saved(layer.groups.join(heads, "head").select("node", (F.col("level") + F.col("d")).alias("level")), "level")
+    return components.join(level.withColumnRenamed("node", "component"), "component").select("node", "component", F.col("level").cast("int").alias("level"))
 
 
 def in_cycle(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -200,16 +237,32 @@ def chain_positions(edges: DataFrame, chain: DataFrame, lengths: DataFrame, max_
     b = chain.select(F.col("node").alias("dst"), F.col("chain").alias("b"))
     size = lengths.select("node", "len")
     inner = edges.join(a, "src").join(b, "dst").where("a = b and src <> dst").select("src", "dst").distinct().join(size.withColumnRenamed("node", "src"), "src")
-    moves = saved(inner.select("src", "dst", F.col("len").cast("long").alias("d")).union(inner.select("dst", "src", (-F.col("len")).cast("long"))), "moves")
-    now = chain.where("node = chain").select("node", "chain", F.struct(F.lit(0).alias("hops"), F.lit(0).cast("long").alias("pos")).alias("way"))
-    size = -1
+    moves = inner.select("src", "dst", F.col("len").cast("long").alias("d")).union(inner.select("dst", "src", (-F.col("len")).cast("long")))
+    moves = saved(moves.groupBy("src", "dst").agg(F.min("d").alias("d")), "moves")
+    # nodes with two neighbours lie between stations; an arc out of one comes behind the arc from its other neighbour
+    roots = chain.where("node = chain").select(F.col("node").alias("src"))
+    between = moves.groupBy("src").agg(F.count("*").alias("k")).where("k = 2").drop("k").join(roots, "src", "left_anti")
+    prior = moves.join(between, "src").select("src", F.col("dst").alias("other"))
+    links = moves.join(prior, "src", "left").where("other is null or other <> dst").select(F.struct("src", "dst").alias("node"), F.when(F.col("other").isNotNull(), F.struct(F.col("other").alias("src"), F.col("src").alias("dst"))).alias("to"), "d")
+    ranks, _ = list_ranks(links)
+    first = moves.select(F.struct("src", "dst").alias("end"), F.col("d").alias("first_d"))
+    ways = saved(ranks.join(first, "end").select(F.col("end.src").alias("src"), F.col("node.dst").alias("dst"), F.struct((F.col("n") + 1).alias("hops"), (F.col("d") + F.col("first_d")).alias("d")).alias("w")), "ways")
+    midst = between.withColumnRenamed("src", "dst")
+    leaps = saved(ways.join(midst, "dst", "left_anti").groupBy("src", "dst").agg(F.min("w").alias("w")), "leaps")
+    way = lambda w: F.struct((F.col("way.hops") + F.col(f"{w}.hops")).alias("hops"), (F.col("way.pos") + F.col(f"{w}.d")).alias("pos")).alias("way")
+    now = chain.where("node = chain").select("node", "chain", F.struct(F.lit(0).cast("long").alias("hops"), F.lit(0).cast("long").alias("pos")).alias("way"))
+    mark = None
     for _ in range(max_rounds):
-        for _ in range(2 * UNROLLED):
-            step = now.join(moves, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "chain", F.struct((F.col("way.hops") + 1).alias("hops"), (F.col("way.pos") + F.col("d")).alias("pos")).alias("way"))
+        for _ in range(UNROLLED):
+            step = now.join(leaps, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "chain", way("w"))
             now = now.union(step).groupBy("node", "chain").agg(F.min("way").alias("way"))
         now = saved(now, "positions")
-        count = now.count()
-        if count == size:
-            return now.select("node", "chain", F.col("way.pos").alias("chain_pos"))
-        size = count
-    raise RuntimeError("the chains are too long")
+        told = tuple(now.agg(F.count("*"), F.sum("way.hops"), F.sum("way.pos")).first())
+        if told == mark:
+            break
+        mark = told
+    else:
+        raise RuntimeError("the chains are too long")
+    # what lies between, from the stations on both sides
+    inside = ways.join(midst, "dst").select(F.col("src").alias("node"), F.col("dst").alias("between"), "w")
+    return now.select("node", "chain", "way").union(now.join(inside, "node").select(F.col("between").alias("node"), "chain", way("w"))).groupBy("node", "chain").agg(F.min("way").alias("way")).select("node", "chain", F.col("way.pos").alias("chain_pos"))
