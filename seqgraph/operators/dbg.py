@@ -27,7 +27,7 @@ def unitigs(solid: DataFrame, k: int, max_rounds: int = 64) -> tuple[DataFrame,
 
     Both strands of each k-mer are linked where one is the only way on and the other the only way in. Paths are joined
     by pointer doubling: each k-mer's jump ahead doubles in a round, so rounds grow with the logarithm of a path. A
-    unitig is told once, as the smaller of its strands; on a circle the smallest k-mer comes first.
+    unitig is told once, as the smaller of its strands; a circle once, from the smallest k-mer of both its strands on.
     """
     both = saved(solid.select("kmer").union(solid.select(revcomp("kmer"))).distinct(), "dbg")
     ends = both.select("kmer", F.expr(f"right(kmer, {k - 1})").alias("e"))
@@ -57,7 +57,9 @@ def unitigs(solid: DataFrame, k: int, max_rounds: int = 64) -> tuple[DataFrame,
         while ring.where("jump <> head").head(1):
             ahead = ring.select(F.col("kmer").alias("jump"), F.col("jump").alias("to"), F.col("dist").alias("more"))
             ring = saved(ring.join(ahead, "jump").select("kmer", "head", F.col("to").alias("jump"), (F.col("dist") + F.col("more")).alias("dist")), "dbg")
-        line = line.union(ring.select("kmer", "head", "dist"))
+        # the other strand runs through the head's complement: of the two circles the one with the smaller head is told
+        other = circle.where("kmer = head").select("head", revcomp("head").alias("kmer")).join(circle.select("kmer", F.col("head").alias("other")), "kmer")
+        line = line.union(ring.join(other.where("head <= other").select("head"), "head", "left_semi").select("kmer", "head", "dist"))
     held = F.array_sort(F.collect_list(F.struct("dist", F.expr(f"substring(kmer, {k})").alias("c"))))
     tail = line.groupBy("head").agg(F.concat(F.expr(f"left(head, {k - 1})"), F.array_join(F.transform(held, lambda x: x["c"]), "")).alias("seq"))
     tail = saved(tail.select(F.least("seq", revcomp("seq")).alias("seq")).distinct(), "dbg")

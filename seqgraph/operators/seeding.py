@@ -1,7 +1,8 @@
 """Seeding: k-mers, minimizers, syncmers, the index, lookups, budgets and exact matches.
 
 K-mers and minimizers are computed within a row, over blocks of a sequence that overlap by one window, so they need no
-shuffle; the first exchange is that of the lookup join, by k-mer.
+shuffle; the first exchange is that of the lookup join, by k-mer. A run is cut in chunks in one pass and these in blocks, so
+the cost of a long sequence grows with its length.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from seqgraph.functions.sequences import unsigned_order
 
 BLOCK = 256
+CHUNK = 1 << 13
 ALL = W.unboundedPreceding
 
 
@@ -26,11 +28,46 @@ def acgt_runs(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     return seqs.select(*rest, F.explode_outer(found).alias("r")).where("r is not null").select(*rest, "r.run_off", "r.run")
 
 
-def _blocks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
-    """Adds ``at`` (place of the block's first own base in the run), ``from_`` and ``block``, which has margins."""
-    long = runs.where(F.length("run") >= least)
-    cut = long.withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.length("run") - 1, F.lit(BLOCK)))).withColumn("from_", F.greatest(F.col("at") - left, F.lit(0)))
-    return cut.withColumn("block", F.expr(f"substring(run, from_ + 1, at - from_ + {BLOCK + right})")).drop("run")
+def _chunks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
+    """``c_at``, ``own`` and ``text`` of each chunk of a run: its place, its bases, and these with margins; ``ahead``, how
+    many bases like the last one before the chunk lie there side by side, and ``last``, that base."""
+    rest = [c for c in runs.columns if c != "run"]
+    parts = runs.where(F.length("run") >= least).select(*rest, F.regexp_extract_all("run", F.lit(f".{{1,{CHUNK}}}"), F.lit(0)).alias("parts"))
+    end = lambda x: F.right(x, F.lit(1))
+
+    def tail(acc, x):
+        own = F.length(x) - F.length(F.rtrim(x, end(x)))
+        n = own + F.when((own == F.length(x)) & (acc["last"] == end(x)), acc["n"]).otherwise(0)
+        return F.struct(n.cast("int").alias("n"), end(x).alias("last"), F.concat(acc["out"], F.array(F.struct(acc["n"].alias("n"), acc["last"].alias("last")))).alias("out"))
+
+    none = F.array().cast("array<struct<n:int,last:string>>")
+    tails = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit("").alias("last"), none.alias("out")), tail, lambda acc: acc["out"])
+    side = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
+    told = parts.withColumn("tails", tails)
+    whole = F.transform("parts", lambda x, i: F.struct((i * CHUNK).alias("c_at"), x.alias("own"), F.concat(F.right(side(i - 1), F.lit(left)) if left else F.lit(""), x, F.left(side(i + 1), F.lit(right)) if right else F.lit("")).alias("text"), F.get("tails", i)["n"].alias("ahead"), F.get("tails", i)["last"].alias("last")))
+    return told.select(*rest, F.explode_outer(whole).alias("c")).where("c is not null").select(*rest, "c.*")
+
+
+def _blocks(runs: DataFrame, least: int, left: int, right: int, lead: bool = False) -> DataFrame:
+    """Adds ``at`` (place of the block's first own base in the run), ``from_`` and ``block``, which has margins; margins are
+    shorter than a chunk.
+
+    With ``lead`` also how many bases like the block's first one lie right before it.
+    """
+    rest = [c for c in runs.columns if c != "run"]
+    chunk = _chunks(runs, least, left, right)
+    from_ = lambda a: F.greatest(F.col("c_at") + a - left, F.lit(0))
+    margin = F.least(F.lit(left), F.col("c_at"))
+
+    def before(a):
+        first = F.substring(F.col("own"), a + 1, F.lit(1))
+        mine = F.substring(F.col("own"), F.lit(1), a)
+        same = a - F.length(F.rtrim(mine, first))
+        return (same + F.when((same == a) & (F.col("last") == first), F.col("ahead")).otherwise(0)).cast("int").alias("lead")
+
+    one = lambda a: F.struct((F.col("c_at") + a).alias("at"), from_(a).alias("from_"), F.substring("text", (from_(a) - F.col("c_at") + margin + 1).cast("int"), (F.col("c_at") + a - from_(a) + BLOCK + right).cast("int")).alias("block"), *([before(a)] if lead else []))
+    cut = F.transform(F.sequence(F.lit(0), F.length("own") - 1, F.lit(BLOCK)), one)
+    return chunk.select(*rest, F.explode_outer(cut).alias("b")).where("b is not null").select(*rest, "b.*")
 
 
 def spread(seqs: DataFrame, key: str) -> DataFrame:
@@ -81,10 +118,7 @@ def read_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
     Equal neighbours exist only within runs of one base, whose length before the place gives the count: within a block,
     and, where that is one run so far, from the block's lead.
     """
-    blocks = _blocks(acgt_runs(spread(reads.select("read_id", "seq"), "read_id")).withColumn("own", F.col("run")), k, 0, k - 1)
-    # how many bases like the block's first one lie right before the block
-    before = F.substring(F.col("own"), F.lit(1), F.col("at"))
-    blocks = blocks.withColumn("lead", F.length(before) - F.length(F.rtrim(before, F.substring("block", F.lit(1), F.lit(1))))).drop("own")
+    blocks = _blocks(acgt_runs(spread(reads.select("read_id", "seq"), "read_id")), k, 0, k - 1, lead=True)
     cut = blocks.withColumn("codes", _codes(k)).select("read_id", "run_off", "at", "block", "lead", F.posexplode_outer("codes").alias("i", "kmer")).where(f"i is not null and i < {BLOCK}")
     ones = (4**k - 1) // 3
     same = F.col("kmer").isin(0, ones, 2 * ones, 3 * ones)
@@ -168,20 +202,29 @@ def usable(index: DataFrame) -> bool:
 def mems(reads: DataFrame, onodes: DataFrame, least: int) -> DataFrame:
     """``(read_id, onode_id, read_pos, off, match_len)``: exact matches of ``least`` bases or more that extend no further.
 
-    Start indices. Equal l-mers are joined; neighbours on one diagonal make one match.
+    Start indices. A match begins where l-mers are equal and the bases before them are not (or there is none), and ends
+    likewise; both are equi-joins on the l-mer and that base, whose rows are the matches' own ends, however often an l-mer
+    is repeated. On one diagonal the n-th begin goes with the n-th end.
     """
 
     def lmers(seqs: DataFrame, key: str) -> DataFrame:
-        blocks = _blocks(acgt_runs(seqs.select(key, "seq")), least, 0, least - 1)
-        places = F.when(F.length("block") >= least, F.sequence(F.lit(0), F.length("block") - least)).otherwise(F.array().cast("array<int>"))
-        cut = blocks.withColumn("i", F.explode_outer(places)).where(f"i is not null and i < {BLOCK}")
-        return cut.select(key, (F.col("run_off") + F.col("at") + F.col("i")).alias("p"), F.expr(f"substring(block, i + 1, {least})").alias("lmer"))
-
-    both = lmers(reads, "read_id").withColumnRenamed("p", "read_pos").join(lmers(onodes, "onode_id").withColumnRenamed("p", "off"), "lmer")
-    diag = both.withColumn("diag", F.col("read_pos") - F.col("off"))
-    order = W.partitionBy("read_id", "onode_id", "diag").orderBy("off")
-    runs = diag.withColumn("run", F.col("off") - F.row_number().over(order))
-    return runs.groupBy("read_id", "onode_id", "diag", "run").agg(F.min("read_pos").alias("read_pos"), F.min("off").alias("off"), (F.count("*") + least - 1).alias("match_len")).drop("diag", "run")
+        blocks = _blocks(acgt_runs(seqs.select(key, "seq")), least, 1, least)
+        own = F.col("at") - F.col("from_")
+        places = F.when(F.length("block") >= own + least, F.sequence(own, F.length("block") - least)).otherwise(F.array().cast("array<int>"))
+        cut = blocks.withColumn("i", F.explode_outer(places)).where(f"i is not null and from_ + i < at + {BLOCK}")
+        around = (F.when(F.col("i") > 0, F.substring("block", F.col("i"), F.lit(1))).otherwise("").alias("before"), F.substring("block", F.col("i") + least + 1, F.lit(1)).alias("behind"))
+        return cut.select(key, (F.col("run_off") + F.col("from_") + F.col("i")).alias("p"), F.expr(f"substring(block, i + 1, {least})").alias("lmer"), *around)
+
+    def ends(side: str) -> DataFrame:
+        others = F.filter(F.array(*map(F.lit, ("A", "C", "G", "T", ""))), lambda x: (x != F.col(side)) | (x == ""))
+        read = lmers(reads, "read_id").select("read_id", F.col("p").alias("read_pos"), "lmer", F.explode(others).alias("base"))
+        node = lmers(onodes, "onode_id").select("onode_id", F.col("p").alias("off"), "lmer", F.col(side).alias("base"))
+        met = read.join(node, ["lmer", "base"]).select("read_id", "onode_id", "read_pos", "off", (F.col("read_pos") - F.col("off")).alias("diag"))
+        return met.withColumn("nth", F.row_number().over(W.partitionBy("read_id", "onode_id", "diag").orderBy("off")))
+
+    begun = ends("before")
+    over = ends("behind").select("read_id", "onode_id", "diag", "nth", F.col("off").alias("last"))
+    return begun.join(over, ["read_id", "onode_id", "diag", "nth"]).select("read_id", "onode_id", "read_pos", "off", (F.col("last") - F.col("off") + least).cast("long").alias("match_len"))
 
 
 def with_text(matches: DataFrame, reads: DataFrame) -> DataFrame:
