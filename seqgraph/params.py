@@ -33,6 +33,7 @@ class AlignParams:
     hpc_reads: bool = False
     restart_stride: int = 0
     diploid_k: tuple[int, ...] = ()
+    diploid_cache: str = ""
     cigar_match_mismatch: bool = True
 
     def checked(self) -> AlignParams:

@@ -11,6 +11,7 @@ from seqgraph.functions.sequences import hpc_collapse
 from seqgraph.operators import clustering, correction, extension, graph, haplotype, seeding, selection, topology
 from seqgraph.params import AlignParams
 from seqgraph.sinks import writers
+from seqgraph.sources import seeds as seeds_kept
 
 
 def chain_table(onodes: DataFrame, oedges: DataFrame) -> DataFrame:
@@ -135,15 +136,34 @@ def free_alignments(reads: DataFrame, onodes: DataFrame, oedges: DataFrame, para
     return found
 
 
+def evidence(onodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Informative k-mers and conflicts of nodes for one k."""
+    node = seeding.syncmers(onodes, "onode_id", k)
+    strings = saved(haplotype.flanked(node), "strings")
+    pairs = saved(haplotype.homologous(strings), "pairs")
+    return haplotype.informative(node, strings, pairs), haplotype.conflicts(pairs)
+
+
+def kept_evidence(onodes: DataFrame, params: AlignParams) -> list[tuple[int, DataFrame, DataFrame]]:
+    """The evidence of each ``diploid_k``; with ``diploid_cache``, what that folder holds of this graph is not made again."""
+    if not params.diploid_cache:
+        return [(k, *evidence(onodes, k)) for k in params.diploid_k]
+    out, mark = [], seeds_kept.fingerprint(onodes)
+    for k in params.diploid_k:
+        found = seeds_kept.read_evidence(onodes.sparkSession, params.diploid_cache, k, mark)
+        if found is None:
+            seeds_kept.write_evidence(*evidence(onodes, k), params.diploid_cache, k, mark)
+            found = seeds_kept.read_evidence(onodes.sparkSession, params.diploid_cache, k, mark)
+        out.append((k, *found))
+    return out
+
+
 def diploid_spans(reads: DataFrame, onodes: DataFrame, params: AlignParams) -> DataFrame:
     """Spans that haplotype evidence over all ``diploid_k`` forbids."""
     parts = []
-    for k in params.diploid_k:
-        node = seeding.syncmers(onodes, "onode_id", k)
-        strings = saved(haplotype.flanked(node), "strings")
-        pairs = saved(haplotype.homologous(strings), "pairs")
-        clusters = haplotype.vote_clusters(haplotype.votes(seeding.syncmers(reads, "read_id", k), haplotype.informative(node, strings, pairs)))
-        parts.append(haplotype.forbidden(haplotype.spans(clusters, onodes), haplotype.conflicts(pairs)))
+    for k, informative, conflicts in kept_evidence(onodes, params):
+        clusters = haplotype.vote_clusters(haplotype.votes(seeding.syncmers(reads, "read_id", k), informative))
+        parts.append(haplotype.forbidden(haplotype.spans(clusters, onodes), conflicts))
     return haplotype.merged_spans(haplotype.over_all(*parts))
 
 

@@ -174,6 +174,32 @@ def w4_stream_sink(spark, sf):
     return spark.read.parquet(out)
 
 
+@query(with_("reads") + "SELECT 'r' || read_id AS read_id, seq, len FROM reads UNION ALL SELECT 'f' || read_id, seq, len FROM reads")
+def w1_text_streams(spark, sf):
+    """Reads written as FASTQ and FASTA files, taken in as streams of text a few files at a time."""
+    rows = fx.reads(spark, sf).repartition(10, F.col("read_id") % 10)
+    found = []
+    for suffix, line in ((".fq", "concat('@r', read_id, ' tag\n', seq, '\n+\n', repeat('I', len))"), (".fa", "concat('>f', read_id, '\n', seq)")):
+        path, out = place(spark, "-text"), place(spark, "-out")
+        rows.selectExpr(f"{line} as value").write.text(path)
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f.getPath().getName()}{suffix}"))
+        intake.by_batch(intake.read_text_stream(spark, f"{path}/*{suffix}", 4), out, place(spark, "-mark")).awaitTermination()
+        found.append(spark.read.parquet(out).select("read_id", "seq", "len"))
+    return found[0].union(found[1])
+
+
+@query(with_("reads") + "SELECT read_id, seq, len FROM reads")
+def w4_replayed_sink(spark, sf):
+    """All batches written, then all played again from a lost checkpoint: nothing is there twice."""
+    out, path = place(spark, "-out"), arrived(spark, sf)
+    for _ in range(2):
+        intake.by_batch(intake.read_stream(spark, path, 4), out, place(spark, "-mark")).awaitTermination()
+    return spark.read.parquet(out).select("read_id", "seq", "len")
+
+
 #: A short X-drop: reads are long and share only passages with the graph.
 PARAMS = AlignParams(k=K, w=WIN, ignore_frequent=IGNORE, x_drop=600, bandwidth=5)
 

@@ -14,6 +14,7 @@ from seqgraph.plans import fixtures as fx
 from seqgraph.plans.align_queries import CHAINS, K, SEEDED, VOTES, WIN, chain_table, hits, minimizer_cte, votes
 from seqgraph.plans.fixtures import with_
 from seqgraph.sinks import writers
+from seqgraph.sources import seeds
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -311,6 +312,15 @@ def h5_informative(spark, sf):
     return haplotype.informative(diploid_kmers(spark, sf), s, haplotype.homologous(s))
 
 
+@query(DIPLOID + "SELECT DISTINCT CAST(h.kmer AS BIGINT) AS kmer, h.onode_id, CAST(h.pos AS BIGINT) AS pos FROM hm h JOIN str s ON s.onode_id = h.onode_id AND h.pos > s.from_pos AND h.pos < s.to_pos JOIN hom ON hom.k1 = s.k1 AND hom.k2 = s.k2")
+def s10_kept_evidence(spark, sf):
+    """Evidence of two k kept side by side, and that of one read back."""
+    path, mark = place(spark, "-evidence"), seeds.fingerprint(fx.oriented(spark, sf)[0])
+    for k in (K, K + 2):
+        seeds.write_evidence(h5_informative(spark, sf), h6_conflicts(spark, sf), path, k, mark)
+    return seeds.read_evidence(spark, path, K, mark)[0]
+
+
 @query(DIPLOID + "SELECT DISTINCT a AS onode_id, b AS other FROM hom WHERE a <> b UNION SELECT DISTINCT b, a FROM hom WHERE a <> b")
 def h6_conflicts(spark, sf):
     return haplotype.conflicts(h4_homologous(spark, sf))

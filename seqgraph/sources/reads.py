@@ -18,7 +18,12 @@ def _reads(rows: DataFrame, keep_tags: bool) -> DataFrame:
 
 def read_fasta(spark: SparkSession, *paths: str, keep_tags: bool = False) -> DataFrame:
     """Records begin with > and may take several lines; carriage returns and blanks at line ends are cut off."""
-    rows = spark.read.option("lineSep", "\n>").text(list(paths)).where("trim(value) <> ''")
+    return fasta_records(spark.read.option("lineSep", "\n>").text(list(paths)), keep_tags)
+
+
+def fasta_records(parts: DataFrame, keep_tags: bool = False) -> DataFrame:
+    """Reads from the column ``value``, FASTA cut at each > that begins a line."""
+    rows = parts.where("trim(value) <> ''")
     body = F.regexp_replace("value", r"^>", "")
     return _reads(rows.select(F.rtrim(F.regexp_extract(body, r"^([^\r\n]*)", 1)).alias("name"), F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n?", ""), r"[ \t\r]*(\n|$)", "").alias("seq"), F.lit(None).cast("string").alias("qual")), keep_tags)
 
@@ -42,6 +47,16 @@ def read_fastq(spark: SparkSession, *paths: str, keep_tags: bool = False) -> Dat
     return _reads(rows.where("head like '@%' and seq is not null").select(F.expr("substring(head, 2)").alias("name"), "seq", "qual"), keep_tags)
 
 
+def fastq_records(files: DataFrame, keep_tags: bool = False) -> DataFrame:
+    """Reads from the column ``value``, a whole FASTQ file each: for streams, where lines cannot be numbered."""
+    lines = files.select(F.split(F.regexp_replace("value", "[ \t\r]*(\n|$)", "$1"), "\n").alias("l"))
+    lines = lines.withColumn("skip", F.array_position(F.transform("l", lambda x: F.startswith(x, F.lit("@"))), True)).where("skip > 0")
+    count = F.expr("int((size(l) - skip + 1) div 4)")
+    row = lambda i: F.struct(*(F.get("l", (F.col("skip") - 1 + 4 * i + k).cast("int")).alias(c) for c, k in (("head", 0), ("seq", 1), ("qual", 3))))
+    rows = lines.withColumn("n", count).where("n > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row)).alias("r")).select("r.*")
+    return _reads(rows.where("head like '@%'").select(F.expr("substring(head, 2)").alias("name"), "seq", "qual"), keep_tags)
+
+
 def read_sam(spark: SparkSession, *paths: str, keep_tags: bool = False) -> DataFrame:
     """Primary, non-supplementary lines."""
     rows = spark.read.text(list(paths)).where("value not like '@%' and value <> ''").select(F.split("value", "\t").alias("v"))

@@ -1,4 +1,4 @@
-"""External seeds from JSON or GAF alignments, and indexes kept between runs."""
+"""External seeds from JSON or GAF alignments, and indexes and haplotype evidence kept between runs."""
 
 from __future__ import annotations
 
@@ -35,3 +35,27 @@ def read_index(spark: SparkSession, path: str, k: int, w: int) -> DataFrame:
     if not found.head(1):
         raise ValueError(f"no index of k = {k} and w = {w} in {path}")
     return found.drop("k", "w")
+
+
+def fingerprint(onodes: DataFrame) -> str:
+    """What evidence was taken from: the number of nodes and a digest of their ids and bases in any order."""
+    n, mark = onodes.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("onode_id", "seq")), F.lit(0))).first()
+    return f"{n}-{mark}"
+
+
+def write_evidence(informative: DataFrame, conflicts: DataFrame, path: str, k: int, mark: str) -> None:
+    """Keeps the evidence of one k in folders of its own, and last of all the line that says what it was taken from."""
+    informative.write.mode("overwrite").parquet(f"{path}/informative/k={k}")
+    conflicts.write.mode("overwrite").parquet(f"{path}/conflicts/k={k}")
+    informative.sparkSession.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/k={k}")
+
+
+def read_evidence(spark: SparkSession, path: str, k: int, mark: str) -> tuple[DataFrame, DataFrame] | None:
+    """The kept evidence of this k, None if there is none; ValueError if it was taken from another graph."""
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/k={k}/_SUCCESS")
+    if not manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        return None
+    (found,) = spark.read.parquet(f"{path}/manifest/k={k}").first()
+    if found != mark:
+        raise ValueError(f"the evidence of k = {k} in {path} was taken from another graph")
+    return tuple(spark.read.parquet(f"{path}/{name}/k={k}") for name in ("informative", "conflicts"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seqgraph.sources import reads
+
 READS = "read_id long, seq string, len int"
 
 
@@ -16,6 +18,17 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 200, sc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_text_stream(spark: SparkSession, path: str, files_per_trigger: int = 200, keep_tags: bool = False) -> DataFrame:
+    """FASTA or FASTQ files (by the suffix in ``path``, a glob) as they arrive, so many for each micro-batch, as
+    ``(read_id, seq, qual, len)``. A FASTQ file is one row at first, so files should be of a size that fits in a task."""
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    if path.lower().removesuffix(".gz").endswith(reads.SUFFIXES[reads.read_fasta]):
+        return reads.fasta_records(stream.option("lineSep", "\n>").text(path), keep_tags)
+    if path.lower().removesuffix(".gz").endswith(reads.SUFFIXES[reads.read_fastq]):
+        return reads.fastq_records(stream.text(path, wholetext=True), keep_tags)
+    raise ValueError(f"unknown kind of read file: {path}")
+
+
 def _started(writer, available: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available else writer).start()
 
@@ -42,3 +55,8 @@ def kept_totals(stream: DataFrame, name: str, checkpoint: str, available: bool =
 def appended(stream: DataFrame, out: str, checkpoint: str, available: bool = True) -> StreamingQuery:
     """Appends alignments as Parquet, each exactly once."""
     return _started(stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint), available)
+
+
+def by_batch(stream: DataFrame, out: str, checkpoint: str, available: bool = True) -> StreamingQuery:
+    """Writes each micro-batch in a folder of its number; a batch that is played again replaces its own and nothing else."""
+    return seeded(stream, lambda batch: batch, out, checkpoint, available)

@@ -148,3 +148,42 @@ def test_ids_by_first_mention_over_many_parts(spark, monkeypatch):
     want = {n: i for i, n in enumerate(sorted(first, key=lambda n: (first[n], n)))}
     got = {r.name: r.node_id for r in graph.assign_ids(spark.createDataFrame(rows, "name string, place long")).collect()}
     assert got == want
+
+
+def test_text_streams_and_replayed_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.fq").write_text(f"some words\n@a{k} t\r\nACGT\r\n+\r\n@@II\r\n@b{k}\n\n+\n\n" + "@cut\nAC\n")
+        (tmp_path / "in" / f"{k}.fasta").write_text(f">c{k} t\nAC\nGT \r\n\n>d{k}\nA\n")
+    for suffix, want in ((".fq", {(f"a{k}", "ACGT", "@@II", 4) for k in range(3)} | {(f"b{k}", "", "", 0) for k in range(3)}), (".fasta", {(f"c{k}", "ACGT", None, 4) for k in range(3)} | {(f"d{k}", "A", None, 1) for k in range(3)})):
+        for again in range(2):
+            stream = intake.read_text_stream(spark, str(tmp_path / "in" / f"*{suffix}"), 2)
+            intake.by_batch(stream, str(tmp_path / f"out{suffix}"), str(tmp_path / f"mark{suffix}{again}")).awaitTermination()
+        back = spark.read.parquet(str(tmp_path / f"out{suffix}"))
+        assert {tuple(r) for r in back.select("read_id", "seq", "qual", "len").collect()} == want and back.count() == len(want)
+        assert back.select("batch").distinct().count() == 2
+    with pytest.raises(ValueError, match="unknown kind"):
+        intake.read_text_stream(spark, str(tmp_path / "*.bam"))
+
+
+def test_evidence_is_kept_by_k_and_graph(spark, tmp_path):
+    from dataclasses import replace
+
+    from seqgraph.params import AlignParams
+    from seqgraph.plans import align
+
+    import random
+
+    r = random.Random(6)
+    a = "".join(r.choices("ACGT", k=900))
+    b = "".join(c if i % 97 else {"A": "C", "C": "G", "G": "T", "T": "A"}[c] for i, c in enumerate(a))
+    onodes = spark.createDataFrame([(0, a, 900), (2, b, 900)], "onode_id long, seq string, len int")
+    params = AlignParams(diploid_k=(11, 15), diploid_cache=str(tmp_path / "kept"))
+    fresh = {k: (i.count(), c.count()) for k, i, c in align.kept_evidence(onodes, replace(params, diploid_cache=""))}
+    made = {k: (i.count(), c.count()) for k, i, c in align.kept_evidence(onodes, params)}
+    files = {f for f in (tmp_path / "kept").rglob("*.parquet")}
+    again = {k: (i.count(), c.count()) for k, i, c in align.kept_evidence(onodes, params)}
+    assert fresh == made == again and sum(n for n, _ in fresh.values())
+    assert files == {f for f in (tmp_path / "kept").rglob("*.parquet")}
+    with pytest.raises(ValueError, match="another graph"):
+        align.kept_evidence(onodes.where("onode_id = 0"), params)
