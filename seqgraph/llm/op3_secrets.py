@@ -33,15 +33,40 @@ BASE, ADDED, CANDIDATES = "secret spans: base", "secret spans: added", "secret s
 NAMES = ["assign", "access", "hex", "markov"]
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def before(values: Column, op, start: int) -> Column:
+    """For each place of an array of longs, ``op`` over the values before it, from ``start``.
+
+    Arrays grow by one in a copy, so the array is cut in runs of about the root of its length; each is gone through by
+    itself, and then what lies before each run: the cost grows with length to the power of 3/2.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def through(a: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(a, F.struct(F.lit(start).cast("long").alias("at"), none.alias("out")), step)
+
+    def whole(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(a), size), lambda i: through(F.slice(a, i, size)))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, through(F.transform(r, lambda x: x["at"]))["out"], lambda x, first: F.transform(x["out"], lambda v: op(v, first)))))
+
+    return let(values, lambda a: F.when(F.size(a) == 0, none).otherwise(whole(a)))
+
+
 def found(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """All leftmost non-overlapping matches whose ``group`` has ``least`` characters, with code-point places."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     steps = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value")), 1, F.size(whole))
-    one = lambda acc, x: F.struct((acc["pos"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["pos"] + F.length(x["gap"]) + F.length(x["whole"])).alias("end"), x["value"].alias("value"))
-    step = lambda acc, x: F.struct((acc["pos"] + F.length(x["gap"]) + F.length(x["whole"])).alias("pos"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(one(acc, x)))).otherwise(acc["out"]).alias("out"))
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+    length = lambda x: (F.length(x["gap"]) + F.length(x["whole"])).cast("long")
+    one = lambda x, at: F.struct((at + F.length(x["gap"])).cast("int").alias("start"), F.lit(kind).alias("kind"), (at + length(x)).cast("int").alias("end"), x["value"].alias("value"))
+    every = let(steps, lambda s: F.zip_with(F.filter(s, lambda x: x["whole"].isNotNull()), before(F.transform(s, length), lambda a, b: a + b, 0), one))
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(every, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -130,7 +155,13 @@ def scan(docs: DataFrame, model: list[float], least_mean: float = 2.0, least_sum
         total = F.aggregate(F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: F.element_at(ratio, a * 128 + b + 1)), F.lit(0.0), lambda acc, x: acc + x)
         return total >= F.greatest(F.lit(least_sum), least_mean * (n - 1))
 
-    return docs.withColumn(CANDIDATES, found(text, CANDIDATE, 0, 16, 3)).withColumn(ADDED, F.filter(CANDIDATES, lambda c: ~F.exists(F.col(f"`{BASE}`"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & random(c))).drop(CANDIDATES)
+    # by place, base spans before a candidate of the same one: it touches none if those before it have ended, and the next one begins behind it
+    far = 1 << 31
+    ends = lambda m: before(F.transform(m, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0).cast("long")), F.greatest, 0)
+    starts = lambda m: F.reverse(before(F.reverse(F.transform(m, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(far).cast("long"))), F.least, far))
+    free = lambda m: let(ends(m), lambda e: let(starts(m), lambda s: F.filter(m, lambda x, i: (x["kind"] == 3) & (F.get(e, i) <= x["start"]) & (F.get(s, i) >= x["end"]))))
+    apart = F.when(F.size(BASE) == 0, F.col(CANDIDATES)).otherwise(let(F.array_sort(F.concat(BASE, CANDIDATES)), free))
+    return docs.withColumn(CANDIDATES, found(text, CANDIDATE, 0, 16, 3)).withColumn(ADDED, F.filter(apart, random)).drop(CANDIDATES)
 
 
 def told(spans: Column) -> Column:
@@ -150,8 +181,10 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataF
     """Replaces all spans in ``text`` by ``mark``; rows, other columns and texts without spans stay as they are."""
     kept = docs.columns
     docs = scan(docs, model)
-    step = lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
-    masked = F.aggregate(F.array_sort(F.concat(BASE, ADDED)), F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    reach = lambda m: before(F.transform(m, lambda x: x["end"].cast("long")), F.greatest, 0)  # noqa: E731  where the spans before one end
+    gap = lambda x, e: F.when(x["start"] >= e, F.concat(F.substring(F.col("text"), (e + 1).cast("int"), (x["start"] - e).cast("int")), F.lit(mark))).otherwise("")
+    rest = lambda m: F.substring(F.col("text"), F.array_max(F.transform(m, lambda x: x["end"])) + 1, F.length("text"))
+    masked = let(F.array_sort(F.concat(BASE, ADDED)), lambda m: F.concat(F.array_join(F.zip_with(m, reach(m), gap), ""), rest(m)))
     return docs.withColumn("text", F.when(F.size(BASE) + F.size(ADDED) > 0, masked).otherwise(F.col("text"))).select(*kept)
 
 

@@ -85,3 +85,25 @@ def precision_and_recall(spark, path):
 def test_precision_and_recall(spark):
     wrong, recall = precision_and_recall(spark, "/root/testdata/sf0.01/documents.parquet")
     assert wrong == [] and recall >= 0.95
+
+
+def test_a_text_with_very_many_finds(spark):
+    """The cost of a text follows its length, not the square of its finds; candidates beside, in and across base spans."""
+    import time
+
+    r = random.Random(9)
+    token = lambda abc, k: "".join(r.choices(abc, k=k))
+    parts = []
+    for k in range(100_000):
+        h = token("0123456789abcdef", 20)
+        parts.append((h, f"secret={h}", f"{h}_Zq", f"x {h}")[k % 4])
+    docs = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+    model = [1.0] * 128 * 128
+    begin = time.time()
+    (row,) = report(docs, model).collect()
+    assert time.time() - begin < 120
+    want = brute(docs.first().text)
+    assert row.n_hex == 100_000 and row.base_sha256 == hashlib.sha256(told(want).encode()).hexdigest()
+    assert row.n_markov == 0
+    mixed = spark.createDataFrame([(1, "QWERTZUIOPASDFGHJKL= secret: QWERTZUIOPASDFGHJKL YXCVBNMASDFGHJKLQW 0123456789abcdef01 YXCVBNMASDFGHJKLQW")], "doc_id long, text string")
+    assert [s for s in report(mixed, [3.0] * 128 * 128).first().spans.split(",") if s.startswith("markov")] == ["markov:0:20", "markov:49:67", "markov:87:105"]
