@@ -6,7 +6,8 @@ window of its own length. Windows with fewer than ``literals`` ordinary words sa
 an item has no other: then all its windows must be there, with the item's own values. In mid-sentence an opening word may
 look like a name, so such items and those of one window are sought in that form too. Joined windows of one document,
 item and shift form a match. Its slots are then compared: one value of the item must stand for one value in the document
-all along, or the match is dropped as chance.
+all along, and two values for two, or the match is dropped as chance. Items of fewer than ``least_words`` words are too
+short to tell a leak from common speech and are left out.
 
 The benchmark's windows are broadcast only when their count is under ``broadcast_rows``; beyond it both sides are
 shuffled by the window's hash, and a bit map of fixed size keeps most of the documents' other windows out of the shuffle.
@@ -88,16 +89,16 @@ def is_marked(marks: Column, log2: int) -> Column:
     return F.getbit(F.element_at(marks, at), F.col("h").bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 5, least_windows: int = 1, broadcast_rows: int = 1 << 20, map_log2: int = 23) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: int = 5, least_windows: int = 1, broadcast_rows: int = 1 << 20, map_log2: int = 23, least_words: int = 2) -> DataFrame:
     """``(doc_id, item_id, shift, n_windows, coverage, n_slots, n_changed)`` for each consistent match.
 
     ``coverage`` is the share of the item's windows. Null texts and texts without words match nothing. Rows of docs with
-    one id count as one document; rows of a null id are ignored. Two items with one text both match, and an item of a
-    single word matches each document that holds the word. An empty table on either side gives no row.
+    one id count as one document; rows of a null id are ignored. Two items with one text both match; an item of fewer
+    than ``least_words`` words matches none. An empty table on either side gives no row.
     """
     # each step is written: words are used many times over, and the optimizer would compute them as often
     items = benchmark.where("text is not null").select(F.struct("item_id", F.lit(0).alias("form")).alias("item"), "text").withColumn("words", template(F.col("text")))
-    items = saved(items, "op8-items").where("size(words) > 0")
+    items = saved(items, "op8-items").where(F.size("words") >= max(1, least_words))
     items = saved(items.withColumn("plain", literal_windows(n, literals)).withColumn("strict", ~F.exists("plain", lambda x: x)), "op8-items")
     inner = items.where((F.size("words") <= n) | F.col("strict")).select(F.struct("item.item_id", F.lit(1).alias("form")).alias("item"), F.concat(F.lit("x "), "text").alias("text"), F.col("words").alias("usual"))
     inner = saved(inner.withColumn("words", template(F.col("text"))), "op8-items").withColumn("words", F.slice("words", 2, F.size("words"))).where("words <> usual").select("item", "text", "words")
@@ -132,8 +133,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 8, literals: in
     own = slots(wanted, "doc_id").distinct().withColumnRenamed("value", "doc_value").withColumnRenamed("at", "doc_at")
     theirs = slots(items.join(hits.select("item").distinct(), "item", "left_semi"), "item").distinct()
     pairs = hits.join(theirs, "item").where(F.col("at").between(F.col("first"), F.col("last") + F.col("m") - 1)).withColumn("doc_at", F.col("at") + F.col("shift")).join(own, ["doc_id", "doc_at", "kind"])
-    pairs = pairs.groupBy("doc_id", "item", "shift").agg(F.count_distinct("kind", "value").alias("n_slots"), F.count_distinct("kind", "value", "doc_value").alias("n_pairs"), F.count_distinct(F.when(F.col("value") != F.col("doc_value"), F.struct("kind", "value"))).alias("n_changed"))
-    told = hits.join(pairs, ["doc_id", "item", "shift"], "left").where((F.coalesce(F.col("n_pairs") == F.col("n_slots"), F.lit(True))) & (~F.col("strict") | (F.coalesce("n_changed", F.lit(0)) == 0)))
+    pairs = pairs.groupBy("doc_id", "item", "shift").agg(F.count_distinct("kind", "value").alias("n_slots"), F.count_distinct("kind", "value", "doc_value").alias("n_pairs"), F.count_distinct("kind", "doc_value").alias("n_values"), F.count_distinct(F.when(F.col("value") != F.col("doc_value"), F.struct("kind", "value"))).alias("n_changed"))
+    told = hits.join(pairs, ["doc_id", "item", "shift"], "left").where((F.coalesce((F.col("n_pairs") == F.col("n_slots")) & (F.col("n_pairs") == F.col("n_values")), F.lit(True))) & (~F.col("strict") | (F.coalesce("n_changed", F.lit(0)) == 0)))
     return told.select("doc_id", "item.item_id", "shift", "n_windows", F.round(F.col("n_windows") / (F.col("size") - F.col("m") + 1), 6).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
 
 

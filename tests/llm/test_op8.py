@@ -72,3 +72,12 @@ def test_edges(spark):
     assert sorted(contaminated(d, b, broadcast_rows=0).collect(), key=str) == sorted(got, key=str)
     assert contaminated(d.limit(0), b).count() == 0
     assert contaminated(d, b.limit(0)).count() == 0
+
+
+def test_single_words_and_values_that_fall_together(spark):
+    items = [(1, "Yes"), (2, "a shop sells 12 apples and 5 pears and 300 plums and keeps 12 jars on the long shelf")]
+    of = lambda *v: "here a shop sells {} apples and {} pears and {} plums and keeps {} jars on the long shelf now".format(*v)
+    docs = [(1, "Yes he said yes"), (2, of(12, 5, 300, 12)), (3, of(40, 6, 70, 40)), (4, of(77, 77, 77, 77)), (5, of(40, 6, 70, 41)), (6, of(5, 12, 300, 5))]
+    d, b = tables(spark, docs, items)
+    assert {(x.doc_id, x.item_id) for x in contaminated(d, b).collect()} == {(2, 2), (3, 2), (6, 2)}
+    assert {(x.doc_id, x.item_id) for x in contaminated(d, b, least_words=1).collect()} == {(1, 1), (2, 2), (3, 2), (6, 2)}
