@@ -263,9 +263,12 @@ def f2_iupac_match(spark, sf):
     return p.select("page_id", fn.iupac_match("x", "y").alias("hit"))
 
 
-@query("SELECT doc_id, regexp_matches(substr(text, 1, 2), '^[ACGTNRYKMSWBVDHacgtnrykmswbvdh]+$') AS legal FROM documents")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
+SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(word, '^[ACGTNRYKMSWBVDHacgtnrykmswbvdh]+$') THEN 1 ELSE 0 END) AS BIGINT) AS legal, count(*) AS words FROM w GROUP BY doc_id""")
 def f3_is_nucleotides(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", fn.is_nucleotides(F.substring("text", 1, 2)).alias("legal"))
+    """How many of a whole text's words are made of letters for bases only."""
+    words = fx.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("doc_id").agg(F.sum(fn.is_nucleotides(F.col("word")).cast("long")).alias("legal"), F.count("*").alias("words"))
 
 
 @query(with_("reads") + ", b AS (SELECT read_id, i, substr(seq, i, 1) AS x FROM (SELECT read_id, seq, unnest(range(1, len + 1)) AS i FROM reads)), g AS (SELECT *, lag(x) OVER (PARTITION BY read_id ORDER BY i) AS p FROM b) SELECT read_id, string_agg(x, '' ORDER BY i) AS seq FROM g WHERE p IS NULL OR p <> x GROUP BY read_id")
@@ -313,6 +316,7 @@ def on_whole(name: str, f) -> None:
 
 
 on_whole("g8_neighbors", graph.neighbors)
+SQL["g8_neighbors_whole"] = SQL["g8_neighbors"].replace(" WHERE o_orderkey % 8 = 0", "")
 on_whole("g11_strong_components", topology.strong_components)
 on_whole("g11_component_order", lambda e: topology.component_order(e, topology.strong_components(e)))
 on_whole("g12_in_cycle", lambda e: topology.in_cycle(e, topology.strong_components(e)))
@@ -329,7 +333,7 @@ def f3_is_nucleotides_whole(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", fn.is_nucleotides(F.col("text")).alias("legal"))
 
 
-@query()
+@query(with_("alns") + f"SELECT read_id, aln_id, round(ln({K!r}::DOUBLE * 1000000 * 1500.0::DOUBLE * exp(-{LAM!r}::DOUBLE * ((read_end - read_start) + edits * {-0.66 / 0.34 - 1!r}::DOUBLE))), 6) AS ln_e FROM alns")
 def f11_e_value_whole(spark, sf):
     a = fx.alignments(spark, sf)
     return a.select("read_id", "aln_id", F.round(F.ln(fn.e_value(F.lit(1e6), F.lit(1500.0), F.col("read_end") - F.col("read_start"), F.col("edits"))), 6).alias("ln_e"))

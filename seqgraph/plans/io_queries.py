@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved, shared_dir
 from seqgraph.functions.sequences import trim_name
-from seqgraph.operators import correction, extension, graph, seeding
+from seqgraph.operators import extension, graph, seeding
 from seqgraph.params import AlignParams
 from seqgraph.plans import align
 from seqgraph.plans import fixtures as fx
@@ -238,9 +238,3 @@ def x2_extension(spark, sf):
     alns = extension.cancelled(extension.merged(sides, anchor, onodes, PARAMS.identity), PARAMS.identity)
     told = extension.described(alns, fx.reads(spark, sf), onodes, oedges)
     return told.select("read_id", "read_start", "read_end", "path_text", "path_len", "path_start", "path_end", "matches", "block_len", "edits", "xscore")
-
-
-@query(with_("nodes") + "SELECT node_id AS aln_id, seq AS corrected FROM nodes")
-def r1_corrected_segments(spark, sf):
-    steps = fx.nodes(spark, sf).select(F.col("node_id").alias("aln_id"), F.posexplode(F.split("seq", "")).alias("step", "graph_char"))
-    return correction.corrected_segments(steps)

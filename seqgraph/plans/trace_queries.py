@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import shared_dir
@@ -109,6 +110,17 @@ def x1_restarts(spark, sf):
     return extension.restarts(reads, spans.union(reads.selectExpr("read_id", "0l", "0l")), 40)
 
 
+@query(TRACED + """, t1 AS (SELECT aln_id, ops, 'ACGGTCATTGCA'[CAST(read_id % 5 + 1 AS INT):] AS g, unnest(range(0, length(ops))) AS step FROM tr),
+t2 AS (SELECT *, substr(ops, CAST(step + 1 AS INT), 1) AS op FROM t1), t3 AS (SELECT *, sum(CASE WHEN op = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY aln_id ORDER BY step) AS n FROM t2)
+SELECT aln_id, string_agg(substr(g, CAST((n - 1) % length(g) + 1 AS INT), 1), '' ORDER BY step) AS corrected FROM t3 WHERE op <> 'I' GROUP BY aln_id""")
+def r1_corrected_segments(spark, sf):
+    """The graph's bases under each alignment's steps; insertions in the read have none. The graph repeats a short text."""
+    rows = traced(spark, sf).withColumn("g", F.expr("substring('ACGGTCATTGCA', int(read_id % 5 + 1))"))
+    steps = rows.select("aln_id", "g", F.posexplode(F.split("ops", "")).alias("step", "op"))
+    n = F.sum(F.when(F.col("op") == "I", 0).otherwise(1)).over(W.partitionBy("aln_id").orderBy("step"))
+    return correction.corrected_segments(steps.withColumn("n", n).select("aln_id", "step", F.expr("case when op <> 'I' then substring(g, int((n - 1) % length(g) + 1), 1) end").alias("graph_char")))
+
+
 @query(TRACED + f""", st AS (SELECT aln_id, step, substr(ops, CAST(step + 1 AS INT), 1) AS op FROM (SELECT aln_id, ops, unnest(range(0, length(ops))) AS step FROM tr)),
 su AS (SELECT aln_id, step, round(sum(CASE op WHEN '=' THEN 1.0::DOUBLE WHEN 'D' THEN -{COST}::DOUBLE ELSE 1.0::DOUBLE - {COST}::DOUBLE END) OVER (PARTITION BY aln_id ORDER BY step DESC), 6) AS s FROM st)
 SELECT aln_id, CAST(step AS INT) AS clip_steps FROM (SELECT *, row_number() OVER (PARTITION BY aln_id ORDER BY s DESC, step) AS r FROM su) WHERE r = 1""")
