@@ -57,6 +57,23 @@ TELLING = {
     "mit-full": "free charge noninfringement",
     "mpl-2.0-header": "mozilla public license 2 0",
 }
+# Other ways in which notices and identifiers name a license, as words side by side.
+FORMS = {
+    "mit": ["MIT License", "MIT licence", "MIT licensed", "License: MIT", "License-Identifier: MIT"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache licence, version 2.0", "Apache 2.0 license", "Apache 2.0 licensed", "Apache-2.0"],
+    "gpl-3.0": ["GPLv3", "GPL v3", "GPL-3.0", "GPL version 3", "GNU General Public License, version 3", "GNU General Public License v3", "GNU General Public Licence, version 3"],
+    "gpl-2.0": ["GPLv2", "GPL v2", "GPL-2.0", "GPL version 2", "GNU General Public License, version 2", "GNU General Public License v2", "GNU General Public Licence, version 2"],
+    "lgpl-3.0": ["LGPLv3", "LGPL v3", "LGPL-3.0", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3"],
+    "mpl-2.0": ["MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"],
+    "bsd-2-clause": ["BSD 2-Clause", "2-clause BSD", "two-clause BSD"],
+    "bsd-3-clause": ["BSD 3-Clause", "3-clause BSD", "three-clause BSD", "new BSD license"],
+    "isc": ["ISC License", "License-Identifier: ISC"],
+    "cc-by-4.0": ["CC BY 4.0", "CC-BY v4.0", "Creative Commons Attribution 4.0"],
+    "cc-by-sa-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution Share Alike 4.0"],
+    "cc-by-nc-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution Non Commercial 4.0"],
+}
+# Words that, up to four words before a short notice, turn it into its opposite.
+DENIALS = {"not", "never", "no", "without", "nor", "neither"}
 SHORT = 16
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 
@@ -152,8 +169,18 @@ class Template:
         self.telling = [{j for j, w in enumerate(self.words) if w == t} for t in words(telling)]
 
     def find(self, text: list[str]) -> tuple[int, int, int] | None:
-        """Aligned words, first and end word in the text."""
-        found = covered(text, self.words, self.least, 0 if self.short else 12)
+        """Aligned words, first and end word in the text; a short notice that is denied is passed over."""
+        if self.short:
+            begin = 0
+            while found := covered(text[begin:], self.words, self.least, 0):
+                if len(found) < len(self.words):
+                    return None
+                first, end = begin + found[0][0], begin + found[-1][0] + 1
+                if not DENIALS & set(text[max(0, first - 4) : first]):
+                    return len(found), first, end
+                begin = end
+            return None
+        found = covered(text, self.words, self.least, 12)
         there = {j for _, j in found}
         if not found or len(found) < self.least * len(self.words) or not all(t & there for t in self.telling):
             return None
@@ -166,11 +193,12 @@ def told(text: list[str], templates: dict[str, Template]) -> list[tuple[str, flo
     found = []
     for name, t in templates.items():
         if sum(w in have for w in t.words) >= t.least * len(t.words) and (got := t.find(text)):
-            found.append((-got[0], name, got[1], got[2]))
+            found.append((-got[0], name.split("#")[0], got[1], got[2], got[0] / len(t.words)))
     kept: list[tuple[str, float, int, int]] = []
-    for n, name, a, b in sorted(found):
-        if all(b <= c or d <= a for _, _, c, d in kept):
-            kept.append((name, -n / len(templates[name].words), a, b))
+    for _, name, a, b, share in sorted(found):
+        # another form of a license that is told already adds nothing
+        if all(b <= c or d <= a for _, _, c, d in kept) and all(name != k for k, *_ in kept):
+            kept.append((name, share, a, b))
     return sorted(kept, key=lambda k: k[2])
 
 
@@ -181,17 +209,23 @@ def _scan(batches, templates: dict[str, Template]):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "license", "coverage", "first_word", "end_word"])
 
 
+def known(least: float = 0.8) -> dict[str, Template]:
+    """The templates of this module, with their other forms as name#number."""
+    forms = {f"{k}#{i}": Template(t, least) for k, ts in FORMS.items() for i, t in enumerate(ts)}
+    return {k: Template(t, least, TELLING.get(k, "")) for k, t in TEMPLATES.items()} | forms
+
+
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, telling: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, license, coverage, first_word, end_word)`` for each template covered by ``least`` or more.
 
     Words are runs of letters and digits in lower case, and places count words. A template's words in ``telling`` must be
     among the aligned ones; one of fewer than ``SHORT`` words is covered in full, without words between. Of overlapping
     finds the one with the most aligned words stays, then the first by name; of several places of one template the best,
-    then the first. Null and empty texts, and templates without words, give no row; repeated rows and rows of a null id
+    then the first. Short notices behind a denial are passed over; a license is told once, by the form with the most
+    words. Null and empty texts, and templates without words, give no row; repeated rows and rows of a null id
     are told each; other columns are ignored.
     """
-    telling = TELLING if templates is None else telling or {}
-    parts = {k: Template(t, least, telling.get(k, "")) for k, t in (TEMPLATES if templates is None else templates).items()}
+    parts = known(least) if templates is None else {k: Template(t, least, (telling or {}).get(k, "")) for k, t in templates.items()}
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(partial(_scan, templates={k: t for k, t in parts.items() if t.words}), f"doc_id {dict(docs.dtypes)['doc_id']}, license string, coverage double, first_word long, end_word long")
 

@@ -78,3 +78,32 @@ def test_telling_words(spark):
     got = {x.doc_id: x.license for x in licenses(df).collect()}
     assert got == {3: "lgpl-header", 4: "gpl-header", 5: "bsd-2-clause", 6: "bsd-3-clause", 7: "mit-full", 8: "apache-2.0-header"}
     assert SHORT == 16
+
+
+LABELLED = [
+    ("This project is licensed under the MIT License.", "mit"), ("Licensed under the MIT license", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("Code is MIT licensed; see the file.", "mit"), ("License: MIT", "mit"),
+    ("Licensed under the Apache 2.0 license", "apache-2.0"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("Distributed under the terms of the Apache License, Version 2.0, January 2004", "apache-2.0"),
+    ("GPLv3", "gpl-3.0"), ("GNU General Public Licence, version 3", "gpl-3.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"), ("You may use it under GPL v2 or ask us", "gpl-2.0"), ("released as GPL-2.0-only", "gpl-2.0"),
+    ("the library is under the GNU Lesser General Public License, version 3", "lgpl-3.0"), ("subject to the Mozilla Public License 2.0", "mpl-2.0"), ("under the 3-clause BSD license", "bsd-3-clause"), ("SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"), ("ISC License", "isc"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("text under CC BY-NC 4.0", "cc-by-nc-4.0"),
+    ("Not released under the MIT License", None), ("This is never licensed under the Apache License 2.0", None), ("She studied at MIT and got a license to drive", None), ("an apache helicopter, version 2.0", None), ("the general public wants version 3", None),
+    ("All people have rights and seats may be reserved", None), ("a clause of the new contract", None), ("the driving licence of Mr Mit", None), ("no warranty, without the GPLv3", None), ("by 4 pm on day 0", None), ("creative commons are shared alike", None),
+]
+
+
+def test_precision_and_recall_on_labelled_notices(spark):
+    r = random.Random(4)
+    prose = lambda k: " ".join("".join(r.choices("abcdefghi", k=5)) for _ in range(k))
+    df = spark.createDataFrame([(i, f"{prose(20)}. {t}. {prose(20)}") for i, (t, _) in enumerate(LABELLED)], "doc_id long, text string")
+    got = {}
+    for x in licenses(df).collect():
+        got.setdefault(x.doc_id, set()).add(x.license)
+    right = sum(got.get(i) == {n} for i, (_, n) in enumerate(LABELLED) if n)
+    told_ = sum(len(v) for v in got.values())
+    assert right == sum(n is not None for _, n in LABELLED) and told_ == right
+
+
+def test_a_denied_notice_does_not_hide_another(spark):
+    df = spark.createDataFrame([(1, "It is not under the MIT License any more. Older files stay under the MIT License."), (1, "x"), (1, "x"), (None, "GPLv3")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.license, x.first_word) for x in licenses(df).where("doc_id is not null").collect()) == [(1, "mit", 14)]
+    assert licenses(df.where("doc_id is null").union(df.where("doc_id is null"))).count() == 2
