@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from seqgraph.checkpoints import saved
 from seqgraph.llm.common import table
 
-# Units of measure, and what a number and a name in mid-sentence look like.
+# Units of measure, and what a number and a name in mid-sentence look like. Repeats are possessive: they find
+# the same, and a run of any length takes no depth of the stack.
 UNITS = "mm cm m km mg g kg t ml l s ms min h hour hours minute minutes second seconds day days week weeks month months year years mile miles inch inches foot feet yard yards pound pounds ounce ounces dollar dollars euro euros cent cents percent degree degrees".split()
-NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-NAME = r"(?<=[\p{Ll}\p{Nd},;]\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
+NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*+"
+NAME = r"(?<=[\p{Ll}\p{Nd},;]\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*+"
 UNIT = r"(?<=\x200\x20)\x20?(?:" + "|".join(UNITS) + r")(?![\p{L}\p{Nd}])"
 GAP = r"[^\p{L}\p{Nd}]+"
 

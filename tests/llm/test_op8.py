@@ -81,3 +81,11 @@ def test_single_words_and_values_that_fall_together(spark):
     d, b = tables(spark, docs, items)
     assert {(x.doc_id, x.item_id) for x in contaminated(d, b).collect()} == {(2, 2), (3, 2), (6, 2)}
     assert {(x.doc_id, x.item_id) for x in contaminated(d, b, least_words=1).collect()} == {(1, 1), (2, 2), (3, 2), (6, 2)}
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    """A run is one value however long it is: a repeated group that backtracks overflows the stack and ends the executor."""
+    item = "a shop where Anna Berg sells 12 apples to each of the guests at noon"
+    docs = [(1, "he met " + "Anna Berg " * 20_000 + "there"), (2, "of " + "1.2," * 20_000 + "3 " + item), (3, "here a shop where " + "Carl Ek " * 20_000 + "sells " + "7:5/" * 20_000 + "1 apples to each of the guests at noon")]
+    got = contaminated(*tables(spark, docs, [(1, item)])).collect()
+    assert {(x.doc_id, x.n_slots, x.n_changed) for x in got} == {(2, 2, 0), (3, 2, 2)}
