@@ -4,8 +4,8 @@ A profile is the list of a language's most frequent letter n-grams (n = 1 to 3,
 first. A document is given to the language whose profile has the least out-of-place distance to the document's own
 ranked list: the sum of rank differences, with a fixed penalty for n-grams that the profile lacks.
 
-Profiles are counted over a hash sample of at most about ``train_rows`` labelled documents, a documented bound; what is
-broadcast is ``top`` n-grams for each language. Every whole text is ranked and compared.
+Profiles are counted over the whole texts of all labelled documents; what is broadcast is ``top`` n-grams for each
+language. Every whole text is ranked and compared.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqgraph.llm.common import blocks, fold, sampled, table
+from seqgraph.llm.common import blocks, fold, table
 
 TOP = 300
+HELD = 1 << 20  # n-grams of texts that are held before they are added up
 BLANK = 1  # stands for all between two words; no letter has this code
 
 
@@ -67,17 +68,26 @@ def ranked(keys: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")][:top]  # keys are sorted
 
 
+def _summed(found: dict[str, list]):
+    for lang, parts in found.items():
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts)], ["lang", "gram", "c"])
+
+
 def _count(batches):
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         found: dict[str, list] = {}
+        held = 0
         for i, codes in _rows(batch.column("text")):
             if codes is not None:
-                found.setdefault(langs[i], []).append(grams(codes))
-        for lang, parts in found.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(counts)], ["lang", "gram", "c"])
+                found.setdefault(langs[i], []).append(own := grams(codes))
+                held += len(own[0])
+                if held > HELD:
+                    yield from _summed(found)
+                    found, held = {}, 0
+        yield from _summed(found)
 
 
 class Profiles:
@@ -109,9 +119,9 @@ def _predict(batches, profiles):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
 
-def fit(labelled: DataFrame, top: int = TOP, train_rows: int = 20_000) -> Profiles:
-    """Profiles from the columns doc_id, text and lang; rows without text or language teach nothing."""
-    labelled = sampled(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), train_rows, "doc_id")
+def fit(labelled: DataFrame, top: int = TOP) -> Profiles:
+    """Profiles from the columns text and lang of all rows; rows without text or language teach nothing."""
+    labelled = labelled.where("lang is not null and text is not null")
     counts = labelled.select("lang", "text").mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     order = W.partitionBy("lang").orderBy(F.desc("c"), "gram")
     return Profiles([(r.lang, r.gram, r.r - 1) for r in counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).select("lang", "gram", "r").collect()], top)
@@ -128,12 +138,14 @@ def predicted(docs: DataFrame, profiles) -> DataFrame:
     return docs.mapInArrow(partial(_predict, profiles=profiles), schema)
 
 
-def least_scores(labelled: DataFrame, profiles, quantile: float = 0.01, slack: float = 0.8, train_rows: int = 20_000) -> dict[str, float]:
+def least_scores(told: DataFrame, quantile: float = 0.01, slack: float = 0.8, steps: int = 10_000) -> dict[str, float]:
     """For each language the score under which a text is not taken for it: ``slack`` times a low quantile of the scores
-    of right predictions, over the same bounded sample of labelled rows that `fit` takes. Without any there is none."""
-    sample = sampled(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), train_rows, "doc_id")
-    right = predicted(sample, profiles).where("lang_pred = lang")
-    return {r.lang: r.q * slack for r in right.groupBy("lang").agg(F.percentile_approx("score", quantile, 10_000).alias("q")).collect()}
+    of right predictions, over all labelled rows of ``lang``, ``lang_pred`` and ``score``, from their counts by
+    ``1 / steps`` of score. Without any there is none."""
+    right = told.where("lang_pred = lang").groupBy("lang", F.floor(F.col("score") * steps).alias("step")).agg(F.count("*").alias("c"))
+    own = W.partitionBy("lang")
+    upto = right.select("lang", "step", F.sum("c").over(own.orderBy("step")).alias("upto"), F.sum("c").over(own).alias("every"))
+    return {r.lang: r.step / steps * slack for r in upto.where(F.col("upto") >= quantile * F.col("every")).groupBy("lang").agg(F.min("step").alias("step")).collect()}
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:

@@ -6,7 +6,7 @@ texts without any, alone and joined in the ways that names in programs, paths, d
 long token that touches no base span is scored by the log-likelihood ratio of the two.
 
 Each text is scanned in its row: there is no shuffle, and what is sent to the tasks is one table of 128 x 128 numbers.
-Training reads a hash sample of at most about ``train_rows`` documents, a documented bound.
+Training reads all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
-from seqgraph.llm.common import sampled, table
+from seqgraph.llm.common import table
 
 # The patterns of the base spans and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -75,16 +75,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn(BASE, F.array_sort(F.concat(*(found(text, p, group, least, k) for k, (p, group, least) in enumerate(KINDS.values())))))
 
 
-def joined(words: DataFrame, groups: int = 1024, at_most: int = 192) -> DataFrame:
+def joined(words: DataFrame, groups: int = 1024) -> DataFrame:
     """``(label, v, c)``: identifiers as programs write them, made of three words each of ``(v, c)``.
 
-    A word's neighbours are the next ones of its hash group, and its hash gives the numbers. An identifier counts a ninth
-    of its words' counts, so that the forms weigh in proportion to the words. Of the forms of a group a hash sample of
-    about ``at_most`` is taken, and counts more in turn.
+    A word's neighbours are the next ones of its hash group, and its hash gives the numbers. All words are taken in all
+    forms. ``c`` is the sum of the words' counts.
     """
     held = words.groupBy(F.pmod(F.xxhash64("v"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("held"))
     of = lambda i: F.element_at("held", (F.pmod(i, F.size("held")) + 1).cast("int"))
-    three = held.select(F.explode(F.transform("held", lambda _, i: F.struct(of(i).alias("a"), of(i + 1).alias("b"), of(i + 2).alias("d")))).alias("t"), F.size("held").alias("size"))
+    three = held.select(F.explode(F.transform("held", lambda _, i: F.struct(of(i).alias("a"), of(i + 1).alias("b"), of(i + 2).alias("d")))).alias("t"))
     a, b, d = (F.col(f"t.{x}.v") for x in "abd")
     number = lambda seed, below: F.pmod(F.xxhash64(a, F.lit(seed)), F.lit(below))
     two = lambda seed, below: F.lpad(number(seed, below).cast("string"), 2, "0")
@@ -94,30 +93,30 @@ def joined(words: DataFrame, groups: int = 1024, at_most: int = 192) -> DataFram
         F.concat(F.lower(a), F.lit("_"), F.lower(b), F.lit("_v"), number(2, 100).cast("string")), F.concat(F.lower(a), number(3, 2_000).cast("string"), F.lit("/"), b, F.lit("-"), number(4, 100).cast("string")),
         F.concat(day, F.lit("T"), two(5, 24), F.lit("-"), two(6, 60), F.lit("-"), two(7, 60), F.lit("Z")),
     ]
-    share = F.least(F.lit(1.0), at_most / (F.lit(float(len(forms))) * F.col("size")))
-    made = three.select(F.explode(F.array(*forms)).alias("v"), (F.col("t.a.c") + F.col("t.b.c") + F.col("t.d.c")).alias("sum"), share.alias("share"))
-    return made.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select(F.lit(0).alias("label"), "v", F.ceil(F.col("sum") / 9 / F.col("share")).alias("c"))
+    return three.select(F.lit(0).alias("label"), F.explode(F.array(*forms)).alias("v"), (F.col("t.a.c") + F.col("t.b.c") + F.col("t.d.c")).alias("c"))
 
 
-def fit(docs: DataFrame, train_rows: int = 20_000) -> list[float]:
+def fit(docs: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of ASCII characters, random over ordinary, as 128 * first + second.
 
-    Without a sample of either label all ratios are 0, and the method adds nothing.
+    From the words of all rows. Without words of either label all ratios are 0, and the method adds nothing.
     """
-    docs = base_spans(sampled(docs.select("doc_id", "text").where("text is not null"), train_rows, "doc_id"))
-    positive = docs.select(F.lit(1).alias("label"), F.explode(F.transform(BASE, lambda b: b["value"])).alias("v"))
-    negative = docs.where(F.size(BASE) == 0).select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("v"))
-    words = saved(positive.union(negative).groupBy("label", "v").agg(F.count("*").alias("c")), "op3-words")  # used twice
-    words = words.union(joined(words.where("label = 0").select("v", "c")))
-    codes = words.select("label", "c", F.transform(F.split("v", ""), lambda x: F.ascii(x)).alias("a")).where("size(a) > 1")
-    pair = F.explode(F.zip_with(F.slice("a", 1, F.size("a") - 1), F.slice("a", 2, F.size("a") - 1), lambda x, y: x * 128 + y))
-    counts = {(r.label, r.p): r.c for r in codes.select("label", "c", pair.alias("p")).groupBy("label", "p").agg(F.sum("c").alias("c")).collect()}
+    docs = base_spans(docs.select("text").where("text is not null"))
+    labelled = lambda values, label: F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("v")))
+    values = F.when(F.size(BASE) > 0, labelled(F.transform(BASE, lambda b: b["value"]), 1)).otherwise(labelled(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)), 0))
+    words = saved(docs.select(F.explode(values).alias("x")).groupBy("x.label", "x.v").agg(F.count("*").alias("c")), "op3-words")  # used twice
+    # an identifier counts a ninth of its words' counts, so that the forms weigh in proportion to the words
+    words = words.withColumn("c", F.col("c") * 9).union(joined(words.where("label = 0").select("v", "c")))
+    places = words.where("length(v) > 1").select("label", "v", "c", F.explode(F.sequence(F.lit(1), F.length("v") - 1)).alias("i"))
+    code = lambda i: F.ascii(F.substring("v", i, F.lit(1)))
+    pairs = places.select("label", "c", (code(F.col("i")) * 128 + code(F.col("i") + 1)).alias("p"))
+    counts = {(r.label, r.p): r.c for r in pairs.groupBy("label", "p").agg((F.sum("c") / 9).alias("c")).collect()}
     return ratios(counts)
 
 
-def ratios(counts: dict[tuple[int, int], int]) -> list[float]:
+def ratios(counts: dict[tuple[int, int], float]) -> list[float]:
     """From counts by (label, pair). Pairs that a label lacks fall back on its single characters: those of random
-    strings are taken as half even over the 96 printable ones, so characters that the sample lacks cost little. Rulers
+    strings are taken as half even over the 96 printable ones, so characters that the texts lack cost little. Rulers
     of one sign are ordinary."""
     if {k for k, _ in counts} != {0, 1}:
         return [0.0] * 128 * 128

@@ -43,3 +43,36 @@ def test_distance_is_out_of_place():
     lang, score = p.best(codes)
     assert lang == min(want, key=want.get)
     assert abs(score - (1 - want[lang] / (3 * len(own)))) < 1e-12
+
+
+def test_profiles_learn_from_every_labelled_row(spark, monkeypatch):
+    """A language of one row is learned wherever that row lies, also where n-grams are added up in many parts."""
+    import seqgraph.llm.op1_language_id as op1
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("the and").alias("text"), F.lit("en").alias("lang"))
+    (last,) = docs.orderBy(F.desc(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)))).select("doc_id").first()
+    own = F.col("doc_id") == last
+    docs = docs.withColumn("text", F.when(own, "sch ung").otherwise(F.col("text"))).withColumn("lang", F.when(own, "de").otherwise(F.col("lang")))
+    assert fit(docs).langs == ["de", "en"]
+    rows = spark.createDataFrame(texts(4, 60), "doc_id long, text string, lang string")
+    counted = sorted(map(tuple, rows.select("lang", "text").mapInArrow(op1._count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c")).collect()))
+    monkeypatch.setattr(op1, "HELD", 100)
+    batches = list(op1._count([op1.pa.RecordBatch.from_pylist([r.asDict() for r in rows.select("lang", "text").collect()])]))
+    parts = {}
+    for b in batches:
+        for x in b.to_pylist():
+            parts[x["lang"], x["gram"]] = parts.get((x["lang"], x["gram"]), 0) + x["c"]
+    assert len(batches) > 20 and sorted((*k, c) for k, c in parts.items()) == counted
+
+
+def test_least_scores_count_every_labelled_row(spark):
+    from seqgraph.llm.op1_language_id import least_scores
+
+    r = random.Random(6)
+    rows = [(r.choice(["en", "de"]), r.choice(["en", "en", "de"]), r.random()) for _ in range(30_000)] + [(None, "en", 0.0), ("fr", "en", 0.0)]
+    got = least_scores(spark.createDataFrame(rows, "lang string, lang_pred string, score double"))
+    assert set(got) == {"en", "de"}
+    for lang, score in got.items():
+        right = sorted(s for a, b, s in rows if a == b == lang)
+        assert abs(score / 0.8 - right[-(-len(right) // 100) - 1]) <= 1e-4 + 1e-12

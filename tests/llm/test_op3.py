@@ -107,3 +107,13 @@ def test_a_text_with_very_many_finds(spark):
     assert row.n_markov == 0
     mixed = spark.createDataFrame([(1, "QWERTZUIOPASDFGHJKL= secret: QWERTZUIOPASDFGHJKL YXCVBNMASDFGHJKLQW 0123456789abcdef01 YXCVBNMASDFGHJKLQW")], "doc_id long, text string")
     assert [s for s in report(mixed, [3.0] * 128 * 128).first().spans.split(",") if s.startswith("markov")] == ["markov:0:20", "markov:49:67", "markov:87:105"]
+
+
+def test_models_learn_from_every_document(spark):
+    """The one secret is found in the row that a hash sample would take last."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("ordinary words in here").alias("text"))
+    (last,) = docs.orderBy(F.desc(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)))).select("doc_id").first()
+    model = fit(docs.withColumn("text", F.when(F.col("doc_id") == last, "token=QzQzQzQzQzQzQzQz").otherwise(F.col("text"))))
+    assert model[ord("Q") * 128 + ord("z")] > 0 > model[ord("r") * 128 + ord("d")]
