@@ -9,8 +9,8 @@ given the state, times that of the word within its class.
 
 The network is fitted by truncated backpropagation in numpy on all training documents: each task streams its shard in
 blocks of bounded size, the shards grow in number with the root of the tokens, and their weights are averaged after each
-round, by eights. Of up to ``REPEATED`` tokens each round takes all; of more, each round takes its share by a hash of the
-id, so that every document is learned from once. Scoring walks a document
+round, by eights. Each round takes its share of the documents by a hash of the id, at any size of the input, so that every
+document is learned from once. Scoring walks a document
 in windows of ``WINDOW`` steps and carries the state from one to the next, so the whole text is scored whatever its
 length.
 
@@ -37,7 +37,7 @@ STATE, CLASSES, MEMBERS = 16, 32, 64
 WORDS = CLASSES * MEMBERS
 WINDOW, LANES = 64, 1024
 HEAD = 1 << 19
-REPEATED = 1 << 22
+REPEATED = 1 << 22  # no rule reads it: a test sets it, and shows that what is learned does not depend on it
 SHARD = 1 << 20
 TEXT = 1 << 21  # bytes of a training block
 END = int(mix(np.array([0x5EED], U)).astype(np.int64)[0])
@@ -97,7 +97,9 @@ class Lexicon:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    e = np.exp(-x)
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 class Gru:
@@ -116,21 +118,30 @@ class Gru:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         g = self.w["G"][x]
-        zr = sigmoid(g[:, : 2 * STATE] + h @ self.w["U"])
+        zr = h @ self.w["U"]
+        zr += g[:, : 2 * STATE]
+        zr = sigmoid(zr)
         z, r = zr[:, :STATE], zr[:, STATE:]
-        n = np.tanh(g[:, 2 * STATE :] + (r * h) @ self.w["N"])
-        return z, r, n, n + z * (h - n)
+        n = (r * h) @ self.w["N"]
+        n += g[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return z, r, n, new
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         """Natural log probability of each next slot, and with ``grad`` the gradient of their negated sum by h."""
         k = np.where(y < self.words, y // self.members, self.classes)
-        order = np.argsort(k, kind="stable")  # rows of one class lie side by side
+        order = np.argsort(k.astype(np.int16) if self.classes < 1 << 15 else k, kind="stable")  # rows of one class lie side by side
         h, k, m = h[order], k[order], y[order] % self.members
         rows = np.arange(len(y))
-        logits = h @ self.w["A"] + self.w["a"]
+        ones = np.ones(max(self.classes + 1, self.members), h.dtype)  # sums of rows as products
+        logits = h @ self.w["A"]
+        logits += self.w["a"]
         out = logits[rows, k]
         e = np.exp(logits, out=logits)
-        s = e.sum(1)
+        s = e @ ones[: self.classes + 1]
         out -= np.log(s)
         if grad is not None:
             e /= s[:, None]
@@ -142,10 +153,11 @@ class Gru:
         for c, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
             if i == j:
                 continue
-            logits = h[i:j] @ self.w["B"][c] + self.w["b"][c]
+            logits = h[i:j] @ self.w["B"][c]
+            logits += self.w["b"][c]
             own = logits[rows[: j - i], m[i:j]]
             e = np.exp(logits, out=logits)
-            s = e.sum(1)
+            s = e @ ones[: self.members]
             out[i:j] += own - np.log(s)
             if grad is not None:
                 e /= s[:, None]
@@ -189,31 +201,37 @@ class Gru:
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
         kept = []
         for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.zeros_like(h), h)
             before = h
             z, r, n, h = self.step(x[t], h)
-            kept.append((before, z, r, n))
-        hs = np.concatenate([n + z * (before - n) for before, z, _, n in kept])  # before a fresh start hides them
-        logp, dhs = self.output(hs, y.reshape(-1), grad)
-        dhs = dhs.reshape(len(x), -1, STATE)
+            kept.append((before, z, r, n, h))
+        before, z, r, n, hs = (np.stack(v) for v in zip(*kept, strict=True))  # hs: before a fresh start hides them
+        logp, dhs = self.output(hs.reshape(-1, STATE), y.reshape(-1), grad)
+        dhs = dhs.reshape(hs.shape)
+        by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), before * r * (1 - r)
         dh = np.zeros_like(h)
         dgs = np.empty((*x.shape, 3 * STATE), h.dtype)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n = kept[t]
-            dh = dh + dhs[t]
-            dz = dh * (before - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
+            dh += dhs[t]
+            dn = dh * by_n[t]
             drh = dn @ self.w["N"].T
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate((dz, dr), 1)
-            grad["N"] += (r * before).T @ dn
-            grad["U"] += before.T @ dzr
-            dgs[t, :, : 2 * STATE], dgs[t, :, 2 * STATE :] = dzr, dn
-            dh = dh * z + drh * r + dzr @ self.w["U"].T
-            dh = np.where(fresh[t][:, None], np.float32(0), dh)
+            dzr = dgs[t, :, : 2 * STATE]
+            np.multiply(dh, by_z[t], out=dzr[:, :STATE])
+            np.multiply(drh, by_r[t], out=dzr[:, STATE:])
+            dgs[t, :, 2 * STATE :] = dn
+            dh *= z[t]
+            drh *= r[t]
+            dh += drh
+            dh += dzr @ self.w["U"].T
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        flat = dgs.reshape(-1, 3 * STATE)
+        grad["N"] += (r * before).reshape(-1, STATE).T @ flat[:, 2 * STATE :]
+        grad["U"] += before.reshape(-1, STATE).T @ flat[:, : 2 * STATE]
         order = np.argsort(x.reshape(-1), kind="stable")
         some, first = np.unique(x.reshape(-1)[order], return_index=True)
-        grad["G"][some] = np.add.reduceat(dgs.reshape(-1, 3 * STATE)[order], first)
+        grad["G"][some] = np.add.reduceat(flat[order], first)
         return grad, h, -float(logp.sum())
 
     def train(self, docs: list[np.ndarray], adam: dict, window: int = 32, rate: float = 0.02) -> None:
@@ -224,7 +242,7 @@ class Gru:
         line = np.concatenate(docs)
         fresh = np.zeros(len(line), bool)
         fresh[np.cumsum([0, *map(len, docs[:-1])])] = True
-        lanes = max(1, min(len(line) // window, max(32, min(256, len(line) // 1024))))
+        lanes = max(1, min(len(line) // window, max(8, min(256, len(line) // 1024))))
         steps = -(-len(line) // lanes)
         # the last lane is filled up with ends: no token is left out
         fill = lanes * steps - len(line)
@@ -350,12 +368,11 @@ def fit(training: DataFrame, counts: DataFrame, rounds: int = 4, head: int = HEA
     lexicon = Lexicon(some["h"].to_numpy(np.int64), some["c"].to_numpy(np.int64), int(total), int(distinct))
     model = Gru(lexicon)
     texts = training.where("text is not null")
-    own = int(total) if total <= REPEATED else int(total) // rounds
-    shards = max(1, math.ceil(4 * math.sqrt(own / SHARD)))
+    shards = max(1, math.ceil(4 * math.sqrt(int(total) / rounds / SHARD)))
     fields = "part long, n long, weights array<binary>"
     for i in range(rounds):
         sent = spark.sparkContext.broadcast((lexicon, model))
-        share = texts if total <= REPEATED else texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
+        share = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
         got, left = share.select("text").coalesce(shards).mapInArrow(partial(_train, sent=sent), fields), shards
         while left > 8:
             got, left = got.groupBy(F.expr("part div 8").alias("eight")).applyInPandas(_averaged, fields), math.ceil(left / 8)

@@ -128,3 +128,15 @@ def test_fit_learns_from_every_training_document(spark, monkeypatch):
 def test_words_grow_with_the_counted_words():
     sizes = [Lexicon(np.arange(n), np.full(n, 2), 2 * n, n).words for n in (3000, 500_000, 3_000_000)]
     assert sizes[0] == WORDS < sizes[1] < sizes[2]
+
+
+def test_one_rule_of_learning_for_all_sizes(spark, monkeypatch):
+    """What is learned does not turn on a number of tokens."""
+    import seqgraph.llm.op7_gru_lm as op7
+
+    df = spark.createDataFrame(corpus(4, 200), "doc_id long, text string")
+    counts = op7.count_words(df).cache()
+    _, usual = op7.fit(df, counts, head=10**6)
+    monkeypatch.setattr(op7, "REPEATED", 0)
+    _, other = op7.fit(df, counts, head=10**6)
+    assert all((usual.w[k] == other.w[k]).all() for k in usual.w)
