@@ -36,6 +36,7 @@ from seqgraph.llm.common import U, blocks, fold, mix, table, word_hashes
 STATE, CLASSES, MEMBERS = 16, 32, 64
 WORDS = CLASSES * MEMBERS
 WINDOW, LANES = 64, 1024
+ROWS = 2048  # steps whose probabilities are computed together
 HEAD = 1 << 19
 REPEATED = 1 << 22  # no rule reads it: a test sets it, and shows that what is learned does not depend on it
 SHARD = 1 << 20
@@ -136,35 +137,43 @@ class Gru:
         order = np.argsort(k.astype(np.int16) if self.classes < 1 << 15 else k, kind="stable")  # rows of one class lie side by side
         h, k, m = h[order], k[order], y[order] % self.members
         rows = np.arange(len(y))
-        ones = np.ones(max(self.classes + 1, self.members), h.dtype)  # sums of rows as products
-        logits = h @ self.w["A"]
-        logits += self.w["a"]
-        out = logits[rows, k]
-        e = np.exp(logits, out=logits)
-        s = e @ ones[: self.classes + 1]
-        out -= np.log(s)
+        ones = np.ones(max(self.classes + 1, self.members, min(len(y), ROWS)), h.dtype)  # sums as products
+        A, out, dh = self.w["A"], np.empty(len(y), h.dtype), np.empty_like(h)
+        for i in range(0, len(y), ROWS):  # what a pass makes stays in the cache
+            part = slice(i, i + ROWS)
+            own = h[part]
+            e = own @ A
+            e += self.w["a"]
+            out[part] = e[rows[: len(own)], k[part]]
+            np.exp(e, out=e)
+            s = e @ ones[: self.classes + 1]
+            out[part] -= np.log(s)
+            if grad is not None:
+                s = 1 / s
+                grad["A"] += (own * s[:, None]).T @ e
+                grad["a"] += s @ e
+                dh[part] = (e @ A.T) * s[:, None]
+        edge = np.searchsorted(k, np.arange(self.classes + 2))
         if grad is not None:
-            e /= s[:, None]
-            e[rows, k] -= 1
-            grad["A"] += h.T @ e
-            grad["a"] += e.sum(0)
-            dh = e @ self.w["A"].T
-        edge = np.searchsorted(k, np.arange(self.classes + 1)).tolist()
-        for c, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if i == j:
-                continue
-            logits = h[i:j] @ self.w["B"][c]
-            logits += self.w["b"][c]
-            own = logits[rows[: j - i], m[i:j]]
-            e = np.exp(logits, out=logits)
+            dh -= A.T[k]
+            some = np.flatnonzero(np.diff(edge))
+            grad["A"][:, some] -= np.add.reduceat(h, edge[some]).T
+            grad["a"] -= np.diff(edge)
+        spans = [(c, i, min(i + ROWS, last)) for c, (first, last) in enumerate(zip(edge[:-2].tolist(), edge[1:-1].tolist(), strict=True)) for i in range(first, last, ROWS)]
+        for c, i, j in spans:
+            B = self.w["B"][c]
+            e = h[i:j] @ B
+            e += self.w["b"][c]
+            own = e[rows[: j - i], m[i:j]]
+            np.exp(e, out=e)
             s = e @ ones[: self.members]
             out[i:j] += own - np.log(s)
             if grad is not None:
-                e /= s[:, None]
+                e *= (1 / s)[:, None]
                 e[rows[: j - i], m[i:j]] -= 1
                 grad["B"][c] += h[i:j].T @ e
-                grad["b"][c] += e.sum(0)
-                dh[i:j] += e @ self.w["B"][c].T
+                grad["b"][c] += ones[: j - i] @ e
+                dh[i:j] += e @ B.T
         back = np.empty_like(order)
         back[order] = rows
         return (out[back], dh[back]) if grad is not None else out[back]
