@@ -2,7 +2,8 @@
 
 Tokenising runs in Arrow tasks: the distinct words of a block go to the tokenizer once, and a document's ids are
 gathered from them. This equals tokenising whole texts because the tokenizer never joins characters across white space.
-Texts that hold a special token's string are encoded whole.
+Texts that hold a special token's string are encoded whole. A worker keeps a bounded table of words, and texts come in
+batches bounded by bytes, so its memory does not follow the number of distinct words or the length of the texts.
 
 Only the pieces' lengths are shuffled. They are dealt by hash into groups of about ``group_rows`` pieces, whose number
 grows with the input; in each group best-fit decreasing runs with a segment tree over remaining capacities, so that a
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
-from seqgraph.llm.common import blocks, ragged, table, word_bounds, word_hashes
+from seqgraph.llm.common import blocks, ragged, small_batches, table, word_bounds, word_hashes
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -29,9 +30,13 @@ _WORKER: dict = {}
 
 
 class WordIds:
-    """Ids of words by their hash, kept over the blocks of a worker up to ``bound`` words."""
+    """Ids of words by their hash, kept over the blocks of a worker.
 
-    def __init__(self, path: str, bound: int = 1 << 21):
+    Where a block would bring them over ``bound`` words, only those stay that came again in a later block since the last
+    cut, and none if these fill over half of it. So a worker holds ``bound`` words and those of one block at most.
+    """
+
+    def __init__(self, path: str, bound: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,6 +47,20 @@ class WordIds:
 
     def clear(self) -> None:
         self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def cut(self) -> None:
+        keep = self.again
+        if 2 * int(keep.sum()) > self.bound:
+            return self.clear()
+        self.ids = self.ids[ragged(self.at[keep], self.size[keep])]
+        self.keys, self.size = self.keys[keep], self.size[keep]
+        self.at, self.again = np.cumsum(self.size) - self.size, np.zeros(len(self.keys), bool)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys, and which of them are new."""
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return place, self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -57,14 +76,13 @@ class WordIds:
             assert len(edge) == len(some) + 1
             lengths.append(np.diff(edge) - 1)
             parts.append(ids[ids != name])
-        if len(self.keys) + len(keys) > self.bound:
-            self.clear()
         size = np.concatenate([self.size, *lengths])
         self.ids = np.concatenate([self.ids, *parts])
         at = np.concatenate((self.at, len(self.ids) - sum(map(len, parts)) + np.cumsum(size[len(self.size) :]) - size[len(self.size) :]))
+        again = np.concatenate((self.again, np.zeros(len(keys), bool)))
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        self.keys, self.at, self.size, self.again = keys[order], at[order], size[order], again[order]
 
     def __call__(self, texts: pa.Array):
         """(row, ids) of each row."""
@@ -85,12 +103,12 @@ class WordIds:
                 keep, fits = None, hashes
             keys, one, back = np.unique(fits, return_index=True, return_inverse=True)
             where = np.flatnonzero(keep)[one] if keep is not None else one
-            place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+            place, new = self.look_up(keys)
+            self.again[place[~new]] = True
             if new.any():
                 if len(self.keys) + int(new.sum()) > self.bound:
-                    self.clear()
-                    new[:] = True
+                    self.cut()
+                    place, new = self.look_up(keys)
                 w = where[new]
                 self.learn(keys[new], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
                 place = np.searchsorted(self.keys, keys)
@@ -210,7 +228,9 @@ def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = C
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return pack(saved(pieces(docs, path, capacity), "op9-pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = saved(pieces(docs, path, capacity), "op9-pieces")
+    return pack(cut, capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seqgraph.llm.op9_packing import best_fit, pack, packed_documents, pieces, sequences
+from seqgraph.llm.op9_packing import WordIds, best_fit, pack, packed_documents, pieces, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, "A<|endoftext|>b c", "it's  O'Neil x y  café 12345 !!??", "𝒳 字字 ß́ é", "\x1c\x85 a\tb\nc", "ΑΣ ΟΔΟΣ ς", "<|startoftext|>", "x" * 9000, "ab " * 6000]
@@ -69,3 +70,41 @@ def test_best_fit_equals_plain_search(lengths):
         else:
             assert bins[i] == len(left)
             left.append(16 - x)
+
+
+def test_a_worker_holds_few_words_and_forgets_none_it_needs():
+    r = random.Random(3)
+    often = ["".join(r.choices("abcdeéß", k=5)) for _ in range(100)]
+    texts = ODD + [" ".join([w for _ in range(1500) for w in (r.choice(often), "".join(r.choices("abcdefghijklmno'", k=11)))]) for _ in range(40)]
+    assert WordIds(PATH).bound <= 1 << 18  # 2 ** 21 took an executor of the pipeline over its memory
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for bound in (0, 150, 4000, 30_000):
+        words, held = WordIds(PATH, bound), 0
+        for k in range(0, len(texts), 5):
+            got = dict(words(pa.array(texts[k : k + 5])))
+            assert [got[i].tolist() for i in range(5)] == want[k : k + 5]
+            held = max(held, len(words.keys))
+            assert (np.diff(words.keys.astype(object)) > 0).all() and len(words.ids) == words.size.sum()
+        assert held <= max(bound, bound // 2 + 7700)  # a batch has 7,600 words at most
+
+
+def test_batches_are_bounded_by_bytes_and_the_setting_is_put_back(spark, monkeypatch):
+    from seqgraph.llm import op9_packing
+
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext.accumulator(0)
+    own = op9_packing._pieces
+
+    def watched(batches, **args):
+        def seen():
+            for b in batches:
+                most.add(max(0, b.num_rows - 400))
+                yield b
+
+        yield from own(seen(), **args)
+
+    monkeypatch.setattr(op9_packing, "_pieces", watched)
+    df = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 5000) as text")  # 20 to 30 kB each
+    before = spark.conf.get(key, None)
+    assert packed_documents(df).select("doc_id").distinct().count() == 3000
+    assert most.value == 0 and spark.conf.get(key, None) == before
