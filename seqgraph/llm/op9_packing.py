@@ -2,6 +2,8 @@
 
 Tokenising runs in Arrow tasks: the distinct words of a block go to the tokenizer once, and a document's ids are
 gathered from them. This equals tokenising whole texts because the tokenizer never joins characters across white space.
+Where the tokenizer lower-cases and cuts words as the default one does, words of ASCII and Latin-1 letters are cut as it
+cuts them, into runs of letters, single digits, runs of signs and endings such as 's, and only distinct parts go to it.
 Texts that hold a special token's string are encoded whole. A worker keeps a bounded table of words, and texts come in
 batches bounded by bytes, so its memory does not follow the number of distinct words or the length of the texts.
 
@@ -12,6 +14,7 @@ piece finds the tightest open sequence in logarithmic time. A group wastes at mo
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import partial
 
@@ -22,18 +25,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import saved
-from seqgraph.llm.common import blocks, ragged, small_batches, table, word_bounds, word_hashes
+from seqgraph.llm.common import blocks, lowered, ragged, small_batches, span_hashes, table, word_bounds
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 _WORKER: dict = {}
+#: What a tokenizer does before its merges where ``parts`` cuts words as it does.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+_LETTER, _DIGIT, _SIGN, _UNCUT = 1, 2, 3, 4
+_KIND = np.full(256, _UNCUT, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+
+
+def parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of words that ``_CUT`` finds, for each row the index of its first part, which parts
+    are of words left uncut, and the bytes with A-Z in lower case outside these.
+
+    Words with other characters than ASCII signs, digits, letters and the letters from U+00C0 to U+00FF are left uncut.
+    """
+    starts, ends, first = word_bounds(data, at)
+    if not len(starts):
+        return starts, ends, first, np.zeros(0, bool), data
+    n = len(data)
+    low, kind, begins = lowered(data), _KIND[data], np.zeros(n, bool)
+    begins[starts] = True
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    odd = np.flatnonzero(kind == _UNCUT)
+    if len(odd):
+        uncut = np.searchsorted(odd, ends) > np.searchsorted(odd, starts)
+        inside = ragged(starts[uncut], (ends - starts)[uncut])
+        kind[inside], low[inside] = _UNCUT, data[inside]
+    cut = begins.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    cut &= kind != 0
+    p = np.flatnonzero((low == 39) & cut & (kind == _SIGN))
+    if len(p):
+        after = np.concatenate((np.where(begins | (kind != _LETTER), 0, low), np.zeros(2, np.uint8)))
+        one, two = after[p + 1], after[p + 2]
+        short = (one == 115) | (one == 116) | (one == 109) | (one == 100)  # s, t, m, d
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)  # re, ve, ll
+        cut[p[short | long] + 1] = False
+        behind = np.concatenate((p[short] + 2, p[long] + 3))
+        behind = behind[behind < n]
+        cut[behind[kind[behind] != 0]] = True
+    at_word = np.flatnonzero(begins[found := np.flatnonzero(cut)])
+    till = np.append(found[1:], n)
+    till[np.append(at_word[1:], len(found)) - 1] = ends
+    return found, till, np.searchsorted(found, at), kind[found] == _UNCUT, low
 
 
 class WordIds:
-    """Ids of words by their hash, kept over the blocks of a worker.
+    """Ids of words, or of their ``parts``, by their hash, kept over the blocks of a worker.
 
     Where a block would bring them over ``bound`` words, only those stay that came again in a later block since the last
-    cut, and none if these fill over half of it. So a worker holds ``bound`` words and those of one block at most.
+    cut, and none if these fill over half of it. The new words of a block that does not fit then are forgotten after it. So
+    a worker holds ``bound`` words at most between blocks, and within a block those of the block beside them.
     """
 
     def __init__(self, path: str, bound: int = 1 << 18):
@@ -42,6 +97,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        suffix = told["model"].get("end_of_word_suffix")
+        self.cuts = bool(suffix) and [(told.get(k) or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))] == [_NORMAL, _CUT]
+        if self.cuts:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # the tokens that end a part
+            self.last[[i for w, i in told["model"]["vocab"].items() if w.endswith(suffix)]] = True
         self.bound = bound
         self.clear()
 
@@ -65,20 +127,31 @@ class WordIds:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Adds words; they are joined by a special token, which the tokenizer never merges with its neighbours."""
-        name, text = self.mark[0], self.mark[1].content
-        lengths, parts = [], []
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(text.join([b.decode("utf-8", "replace") for b in some]), add_special_tokens=False).ids, np.uint32)
-            edge = np.concatenate(([-1], np.flatnonzero(ids == name), [len(ids)]))
-            assert len(edge) == len(some) + 1
-            lengths.append(np.diff(edge) - 1)
-            parts.append(ids[ids != name])
+    def encoded(self, words: list[bytes], uncut: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word). Parts are joined by a space and end in a token of their own kind; words by
+        a special token, which the tokenizer never merges with its neighbours."""
+        name, text = self.mark[0], self.mark[1].content if uncut else " "
+        ids = self.whole(text.join([b.decode("utf-8", "replace") for b in words]))
+        if not uncut:
+            lengths = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(lengths) != len(words) or lengths.sum() != len(ids):
+                return self.encoded(words, True)
+            return ids, lengths
+        edge = np.concatenate(([-1], np.flatnonzero(ids == name), [len(ids)]))
+        assert len(edge) == len(words) + 1
+        return ids[ids != name], np.diff(edge) - 1
+
+    def learn(self, keys: np.ndarray, words: list[bytes], cut: int) -> None:
+        """Adds words, of which the first ``cut`` are parts."""
+        lengths, found = [], []
+        for a, b, uncut in ((0, cut, False), (cut, len(words), True)):
+            for i in range(a, b, 2000):
+                ids, size = self.encoded(words[i : min(b, i + 2000)], uncut)
+                lengths.append(size)
+                found.append(ids)
         size = np.concatenate([self.size, *lengths])
-        self.ids = np.concatenate([self.ids, *parts])
-        at = np.concatenate((self.at, len(self.ids) - sum(map(len, parts)) + np.cumsum(size[len(self.size) :]) - size[len(self.size) :]))
+        self.ids = np.concatenate([self.ids, *found])
+        at = np.concatenate((self.at, len(self.ids) - sum(map(len, found)) + np.cumsum(size[len(self.size) :]) - size[len(self.size) :]))
         again = np.concatenate((self.again, np.zeros(len(keys), bool)))
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys, kind="stable")
@@ -88,8 +161,12 @@ class WordIds:
         """(row, ids) of each row."""
         for i, _, data, at in blocks(texts):
             raw = data.tobytes()
-            hashes, first = word_hashes(data, at, lower=False)
-            starts, ends, _ = word_bounds(data, at)
+            if self.cuts:
+                starts, ends, first, uncut, low = parts(data, at)
+            else:
+                starts, ends, first = word_bounds(data, at)
+                uncut, low = np.ones(len(starts), bool), data
+            hashes = span_hashes(low, starts, ends)
             odd = np.zeros(len(at) - 1, bool)
             for s in self.special:
                 k = raw.find(s)
@@ -105,15 +182,21 @@ class WordIds:
             where = np.flatnonzero(keep)[one] if keep is not None else one
             place, new = self.look_up(keys)
             self.again[place[~new]] = True
+            held = None
             if new.any():
                 if len(self.keys) + int(new.sum()) > self.bound:
                     self.cut()
                     place, new = self.look_up(keys)
-                w = where[new]
-                self.learn(keys[new], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+                held = self.keys, self.at, self.size, self.ids, self.again
+                fresh = np.flatnonzero(new)
+                fresh = fresh[np.argsort(uncut[where[fresh]], kind="stable")]
+                w = where[fresh]
+                self.learn(keys[fresh], [raw[a:b] for a, b in zip(starts[w].tolist(), ends[w].tolist(), strict=True)], int((~uncut[w]).sum()))
                 place = np.searchsorted(self.keys, keys)
             size = self.size[place][back]
             ids = self.ids[ragged(self.at[place][back], size)]
+            if held and len(self.keys) > self.bound:
+                self.keys, self.at, self.size, self.ids, self.again = held
             total = np.concatenate(([0], np.cumsum(size)))
             counts = np.diff(first)
             counts[odd] = 0

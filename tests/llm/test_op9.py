@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -108,3 +109,41 @@ def test_batches_are_bounded_by_bytes_and_the_setting_is_put_back(spark, monkeyp
     before = spark.conf.get(key, None)
     assert packed_documents(df).select("doc_id").distinct().count() == 3000
     assert most.value == 0 and spark.conf.get(key, None) == before
+
+
+def test_words_go_to_the_tokenizer_by_their_parts():
+    r, words = random.Random(4), WordIds(PATH)
+    runs = ["".join(r.choices("abcdeéß", k=6)) for _ in range(50)]
+    forms = [str, str.upper, str.capitalize, "{}.".format, "({},".format, "{}'s".format, "{}'LL!".format, "'{}'".format, "{}-17".format, "$$${}%%%".format]
+    texts = [" ".join(f(x.replace("ß", "ss") if f is str.upper else x) for x in r.sample(runs, 50) for f in forms) for _ in range(20)]
+    t = Tokenizer.from_file(PATH)
+    assert [ids.tolist() for _, ids in words(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(words.keys) < 250  # 50 runs, those with É or ss again, and few signs; the distinct words are ten times as many as the runs
+
+
+SOME = st.text(st.sampled_from([*"aAsStTrReEvVlLmMdDhHiIKxX09_!.,-<|>/$ \n\t\x00\x1c\x7f\x85\xa0", *"éÉßÀÿÞ×÷ñ²½ªºµŸİſΣσ字٣’ﬁ", "\u0301", "\u0331", "\u0307", "\u200b", "\u212a", "\U0001d4b3"]), max_size=30)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Tokenizer.from_file(PATH), WordIds(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(SOME, max_size=6))
+def test_parts_equal_whole_texts(plain, texts):
+    tokenizer, words = plain
+    got = dict(words(pa.array(texts, pa.string())))
+    assert [got[i].tolist() for i in range(len(texts))] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}])
+def test_other_tokenizers_get_whole_words(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        told = json.load(f) | change
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(told, f)
+    texts = ["Don't DON'T don't, (CAFÉ) café 17", "x1y2 X1Y2's $$a%% a", ""]
+    t, got = Tokenizer.from_file(path), dict(WordIds(path)(pa.array(texts)))
+    assert [got[i].tolist() for i in range(3)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
