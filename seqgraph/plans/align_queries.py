@@ -413,23 +413,30 @@ def h13_forbidden_slices(spark, sf):
 
 
 def corrections(spark, sf):
-    """Aligned parts of short reads: every second 40 bases of 100, shifted by the read."""
-    r = short_reads(spark, sf).where("length(seq) >= 60")
+    """Aligned parts of short reads: every second 40 bases of 100, shifted by the read.
+
+    Reads are told apart by name and bases: turns from 100 on have the names of the next conversation's.
+    """
+    r = short_reads(spark, sf).where("length(seq) >= 60").distinct()
     at = F.explode(F.sequence((F.col("read_id") % 10).cast("int"), F.length("seq") - 40, F.lit(60)))
-    return r.withColumn("start", at).selectExpr("read_id", "start", "start + 40 + int(read_id % 2) * 30 as e0", "seq").selectExpr("read_id", "start", "least(e0, length(seq)) as end", "substring(seq, start + 1, least(e0, length(seq)) - start) as corrected")
+    return r.withColumn("start", at).selectExpr("read_id", "start", "start + 40 + int(read_id % 2) * 30 as e0", "seq").selectExpr("read_id", "seq", "start", "least(e0, length(seq)) as end", "substring(seq, start + 1, least(e0, length(seq)) - start) as corrected").withColumn("read_id", F.struct("read_id", "seq")).drop("seq")
+
+
+def patched(r, c) -> DataFrame:
+    return correction.patched(r.withColumn("read_id", F.struct("read_id", "seq")), c).select("read_id.read_id", "corrected")
 
 
 @query(f"WITH {SHORT} SELECT read_id, CASE WHEN length(seq) < 60 THEN lower(seq) WHEN read_id % 2 = 1 THEN lower(substr(seq, 1, CAST(read_id % 10 AS INT))) || upper(substr(seq, CAST(read_id % 10 AS INT) + 1, e - CAST(read_id % 10 AS INT))) || lower(substr(seq, e + 1)) END AS corrected FROM (SELECT *, CAST(least(((length(seq) - 40 - read_id % 10) // 60) * 60 + read_id % 10 + 70, length(seq)) AS INT) AS e FROM sr) WHERE length(seq) < 60 OR read_id % 2 = 1")
 def r2_patched(spark, sf):
     """Odd reads only have parts that overlap by their own bases; the longest overlap joins them as they were."""
     r = short_reads(spark, sf).where("length(seq) < 60 or read_id % 2 = 1")
-    c = corrections(spark, sf).where("read_id % 2 = 1")
-    return correction.patched(r, c)
+    c = corrections(spark, sf).where("read_id.read_id % 2 = 1")
+    return patched(r, c)
 
 
 @query(f"WITH {SHORT} SELECT read_id, lower(seq) AS corrected FROM sr")
 def r3_unaligned(spark, sf):
-    return correction.patched(short_reads(spark, sf), corrections(spark, sf).limit(0))
+    return patched(short_reads(spark, sf), corrections(spark, sf).limit(0))
 
 
 @query(with_("alns") + "SELECT concat_ws('_', read_id, row_number() OVER (PARTITION BY read_id ORDER BY xscore DESC, read_start, aln_id) - 1, read_start, read_end) AS name, repeat('ACGGT', CAST(edits + 1 AS INT)) AS corrected FROM alns")
@@ -455,7 +462,7 @@ def f13_path_text(spark, sf):
 
 @query()
 def r2_patched_whole(spark, sf):
-    return correction.patched(short_reads(spark, sf), corrections(spark, sf))
+    return patched(short_reads(spark, sf), corrections(spark, sf))
 
 
 @query()

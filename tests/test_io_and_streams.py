@@ -62,6 +62,13 @@ def test_corrected_output(spark, tmp_path):
     assert sorted((x.read_id, x.seq) for x in reads.read_fasta(spark, str(tmp_path / "out")).collect()) == [("a", "aaCTAGt"), ("b", "acgt")]
 
 
+def test_parts_join_by_the_bases_both_cover(spark):
+    """A run of one base there makes the longest overlap longer than these."""
+    r = spark.createDataFrame([("a", "CGAAAAAATG"), ("b", "CGTAAACTTG")], "read_id string, seq string")
+    c = spark.createDataFrame([("a", 0, 6, "CGAAAA"), ("a", 4, 9, "AAAAT"), ("b", 0, 5, "CGTAA"), ("b", 4, 9, "GTAAC")], "read_id string, start int, end int, corrected string")
+    assert {x.read_id: x.corrected for x in correction.patched(r, c).collect()} == {"a": "CGAAAAAATg", "b": "CGTAACg"}
+
+
 def test_components_both_ways(spark):
     import random
 
