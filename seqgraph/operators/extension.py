@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgraph.checkpoints import forget, saved
-from seqgraph.functions.sequences import error_cost, iupac_match, revcomp
+from seqgraph.functions.sequences import CODES, error_cost, iupac_match, revcomp
 from seqgraph.operators import fronts
 from seqgraph.operators.intervals import merged as merged_spans
 
@@ -460,10 +460,17 @@ def described(alns: DataFrame, reads: DataFrame, onodes: DataFrame, oedges: Data
 
 def violations(described_: DataFrame) -> DataFrame:
     """Alignments whose steps do not lead from read to graph, or whose edits are not those stored."""
-    ops = F.split("ops", "")
-    count = lambda pattern: F.length(F.regexp_replace("ops", pattern, ""))
-    step = lambda acc, op: F.struct((acc["r"] + F.when(op == "D", 0).otherwise(1)).cast("int").alias("r"), (acc["g"] + F.when(op == "I", 0).otherwise(1)).cast("int").alias("g"), (acc["ok"] & ((op != "=") | iupac_match(F.substring(F.col("seq"), acc["r"] + 1, F.lit(1)), F.substring(F.col("graph_seq"), acc["g"] + 1, F.lit(1))))).alias("ok"))
-    sound = F.aggregate(ops, F.struct(F.col("read_start").cast("int").alias("r"), F.lit(0).alias("g"), F.lit(True).alias("ok")), step, lambda acc: acc["ok"])
+    runs = F.regexp_extract_all("ops", F.lit("=+|I+|D+|[^=ID]+"), F.lit(0))
+    count = lambda op: F.length(F.replace("ops", F.lit(op), F.lit("")))
+
+    def step(acc, x):
+        op, n = F.left(x, F.lit(1)), F.length(x)
+        ours, theirs = F.substring(F.col("seq"), acc["r"] + 1, n), F.substring(F.col("graph_seq"), acc["g"] + 1, n)
+        known = (F.length(ours) == n) & F.rlike(ours, F.lit(f"^[{CODES}{CODES.lower()}]*$"))
+        same = F.coalesce(known & ((ours == theirs) | (equal_run(ours, theirs) == n)), F.lit(False))
+        return F.struct((acc["r"] + F.when(op == "D", 0).otherwise(n)).cast("int").alias("r"), (acc["g"] + F.when(op == "I", 0).otherwise(n)).cast("int").alias("g"), (acc["ok"] & ((op != "=") | same)).alias("ok"))
+
+    sound = F.aggregate(runs, F.struct(F.col("read_start").cast("int").alias("r"), F.lit(0).alias("g"), F.lit(True).alias("ok")), step, lambda acc: acc["ok"])
     wrong = ~sound | (count("=") != F.col("edits")) | (count("D") != F.col("read_end") - F.col("read_start")) | (count("I") != F.length("graph_seq"))
     return described_.where(wrong)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from seqgraph.operators import extension, graph
+from seqgraph.operators import correction, extension, graph
 from seqgraph.params import AlignParams, preset
 from seqgraph.plans import align
 from seqgraph.sources.gfa import check, read_gfa
@@ -204,3 +204,11 @@ def test_options_run_through_the_plan(example):
     for how in changes:
         alns = align.align(reads, nodes, edges, preset("vg", **how))
         assert extension.violations(alns).count() == 0
+
+
+def test_steps_are_checked_by_runs(spark):
+    """Equal bases must be known ones and share a base; a long run costs one step."""
+    rows = [("ok", "ACRN", "acgT", "====", 0), ("bad", "ACGT", "ACGA", "====", 0), ("gap", "AC-T", "AC-T", "====", 0), ("short", "ACG", "ACG", "====", 0), ("edit", "ATCGG", "ACCGG", "=X===", 1), ("indel", "ATCG", "TCCG", "I==D=", 2), ("indel_bad", "ATCG", "TACG", "I=D=X", 3)]
+    rows.append(("long", "ACGT" * 50_000, "ACGT" * 50_000, "=" * 200_000, 0))
+    df = spark.createDataFrame(rows, "aln_id string, seq string, graph_seq string, ops string, edits int").selectExpr("*", "0 as read_start", "length(replace(ops, 'D', '')) as read_end")
+    assert {r.aln_id for r in extension.violations(df).select("aln_id").collect()} == {"bad", "gap", "short"}
