@@ -115,10 +115,9 @@ t2 AS (SELECT *, substr(ops, CAST(step + 1 AS INT), 1) AS op FROM t1), t3 AS (SE
 SELECT aln_id, string_agg(substr(g, CAST((n - 1) % length(g) + 1 AS INT), 1), '' ORDER BY step) AS corrected FROM t3 WHERE op <> 'I' GROUP BY aln_id""")
 def r1_corrected_segments(spark, sf):
     """The graph's bases under each alignment's steps; insertions in the read have none. The graph repeats a short text."""
-    rows = traced(spark, sf).withColumn("g", F.expr("substring('ACGGTCATTGCA', int(read_id % 5 + 1))"))
-    steps = rows.select("aln_id", "g", F.posexplode(F.split("ops", "")).alias("step", "op"))
-    n = F.sum(F.when(F.col("op") == "I", 0).otherwise(1)).over(W.partitionBy("aln_id").orderBy("step"))
-    return correction.corrected_segments(steps.withColumn("n", n).select("aln_id", "step", F.expr("case when op <> 'I' then substring(g, int((n - 1) % length(g) + 1), 1) end").alias("graph_char")))
+    g = "substring('ACGGTCATTGCA', int(read_id % 5 + 1))"
+    rows = traced(spark, sf).withColumn("graph_seq", F.expr(f"repeat({g}, int(length(ops) div length({g}) + 1))"))
+    return correction.corrected_segments(rows)
 
 
 @query(TRACED + f""", st AS (SELECT aln_id, step, substr(ops, CAST(step + 1 AS INT), 1) AS op FROM (SELECT aln_id, ops, unnest(range(0, length(ops))) AS step FROM tr)),

@@ -212,3 +212,10 @@ def test_steps_are_checked_by_runs(spark):
     rows.append(("long", "ACGT" * 50_000, "ACGT" * 50_000, "=" * 200_000, 0))
     df = spark.createDataFrame(rows, "aln_id string, seq string, graph_seq string, ops string, edits int").selectExpr("*", "0 as read_start", "length(replace(ops, 'D', '')) as read_end")
     assert {r.aln_id for r in extension.violations(df).select("aln_id").collect()} == {"bad", "gap", "short"}
+
+
+def test_corrected_segments_are_cut_within_a_row(spark):
+    df = spark.createDataFrame([(1, "=I=DX", "ACGTTT"), (2, "II", "AC")], "aln_id int, ops string, graph_seq string")
+    got = correction.corrected_segments(df)
+    assert [tuple(r) for r in got.collect()] == [(1, "ACGT")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
