@@ -186,7 +186,10 @@ def w1_text_streams(spark, sf):
         for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
             if f.getPath().getName().startswith("part-"):
                 fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f.getPath().getName()}{suffix}"))
-        intake.by_batch(intake.read_text_stream(spark, f"{path}/*{suffix}", 4), out, place(spark, "-mark")).awaitTermination()
+        if suffix == ".fq":
+            intake.fastq_by_batch(spark, f"{path}/*{suffix}", out, place(spark, "-mark"), 4).awaitTermination()
+        else:
+            intake.by_batch(intake.read_text_stream(spark, f"{path}/*{suffix}", 4), out, place(spark, "-mark")).awaitTermination()
         found.append(spark.read.parquet(out).select("read_id", "seq", "len"))
     return found[0].union(found[1])
 

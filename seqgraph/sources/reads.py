@@ -37,10 +37,19 @@ def numbered(lines: DataFrame) -> DataFrame:
     return own.join(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("size"), ["file", "block"]).withColumn("n", F.col("before") + F.col("k")).drop("before", "k")
 
 
+def file_lines(text: DataFrame) -> DataFrame:
+    """``(line, file, block)`` of lines scanned from files, in their order there."""
+    return text.select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def read_fastq(spark: SparkSession, *paths: str, keep_tags: bool = False) -> DataFrame:
     """Records of four lines. Lines are numbered within each file; what stands before the first @ is skipped."""
-    lines = spark.read.text(list(paths)).select(F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    rows = numbered(lines)
+    return fastq_of_lines(file_lines(spark.read.text(list(paths))), keep_tags)
+
+
+def fastq_of_lines(lines: DataFrame, keep_tags: bool = False) -> DataFrame:
+    """Reads of FASTQ files from their lines, of one scan or one micro-batch, as `file_lines` gives them."""
+    rows = numbered(lines.withColumn("place", F.monotonically_increasing_id()))
     skip = rows.where(F.startswith("line", F.lit("@"))).groupBy("file").agg(F.min("n").alias("skip"))
     rows = rows.join(skip, "file").where("n >= skip")
     rows = rows.withColumn("i", (F.col("n") - F.col("skip")) % 4).groupBy("file", F.floor((F.col("n") - F.col("skip")) / 4).alias("record")).agg(*(F.max(F.when(F.col("i") == k, F.col("line"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))))
@@ -48,7 +57,7 @@ def read_fastq(spark: SparkSession, *paths: str, keep_tags: bool = False) -> Dat
 
 
 def fastq_records(files: DataFrame, keep_tags: bool = False) -> DataFrame:
-    """Reads from the column ``value``, a whole FASTQ file each: for streams, where lines cannot be numbered."""
+    """Reads from the column ``value``, a whole FASTQ file each: for streams of records, where lines cannot be numbered."""
     lines = files.select(F.split(F.regexp_replace("value", "[ \t\r]*(\n|$)", "$1"), "\n").alias("l"))
     lines = lines.withColumn("skip", F.array_position(F.transform("l", lambda x: F.startswith(x, F.lit("@"))), True)).where("skip > 0")
     count = F.expr("int((size(l) - skip + 1) div 4)")

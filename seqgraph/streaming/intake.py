@@ -20,7 +20,8 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 200, sc
 
 def read_text_stream(spark: SparkSession, path: str, files_per_trigger: int = 200, keep_tags: bool = False) -> DataFrame:
     """FASTA or FASTQ files (by the suffix in ``path``, a glob) as they arrive, so many for each micro-batch, as
-    ``(read_id, seq, qual, len)``. A FASTQ file is one row at first, so files should be of a size that fits in a task."""
+    ``(read_id, seq, qual, len)``. A FASTQ file is one row at first, so files should be of a size that fits in a task;
+    `fastq_by_batch` takes files of any size."""
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if path.lower().removesuffix(".gz").endswith(reads.SUFFIXES[reads.read_fasta]):
         return reads.fasta_records(stream.option("lineSep", "\n>").text(path), keep_tags)
@@ -60,3 +61,10 @@ def appended(stream: DataFrame, out: str, checkpoint: str, available: bool = Tru
 def by_batch(stream: DataFrame, out: str, checkpoint: str, available: bool = True) -> StreamingQuery:
     """Writes each micro-batch in a folder of its number; a batch that is played again replaces its own and nothing else."""
     return seeded(stream, lambda batch: batch, out, checkpoint, available)
+
+
+def fastq_by_batch(spark: SparkSession, path: str, out: str, checkpoint: str, files_per_trigger: int = 200, keep_tags: bool = False, available: bool = True) -> StreamingQuery:
+    """FASTQ files as they arrive, written like `by_batch`: lines are numbered within a micro-batch, so a file is many tasks.
+    A record that its file cuts off is left out."""
+    lines = reads.file_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+    return seeded(lines, lambda batch: reads.fastq_of_lines(batch, keep_tags).where("qual is not null"), out, checkpoint, available)

@@ -173,6 +173,22 @@ def test_text_streams_and_replayed_batches(spark, tmp_path):
         intake.read_text_stream(spark, str(tmp_path / "*.bam"))
 
 
+def test_a_large_fastq_file_is_many_tasks_in_a_stream(spark, tmp_path):
+    want = {(f"r{i}", "ACGT"[: i % 5], "@@@@"[: i % 5], i % 5) for i in range(900)}
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.fq").write_text("words\n" + "".join(f"@{n} t\n{s}\n+\n{q}\n" for n, s, q, _ in sorted(want) if int(n[1:]) % 3 == k) + "@cut\nAC\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for again in range(2):
+            intake.fastq_by_batch(spark, str(tmp_path / "in" / "*.fq"), str(tmp_path / "out"), str(tmp_path / f"mark{again}"), 2).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in back.select("read_id", "seq", "qual", "len").collect()} == want and back.count() == 900
+
+
 def test_evidence_is_kept_by_k_and_graph(spark, tmp_path):
     from dataclasses import replace
 
