@@ -7,11 +7,15 @@ the cost of a long sequence grows with its length.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqgraph.functions.sequences import unsigned_order
+from seqgraph.operators import words
 
 BLOCK = 256
 CHUNK = 1 << 13
@@ -20,12 +24,14 @@ ALL = W.unboundedPreceding
 
 def acgt_runs(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     """Adds ``run_off`` and ``run`` for each maximal run of ACGT; sequences without one give no row."""
-    parts = F.regexp_extract_all(seq, F.lit("[ACGT]+|[^ACGT]+"), F.lit(0))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.when(F.rlike(x, F.lit("^[ACGT]")), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("run_off"), x.alias("run"))))).otherwise(acc["out"]).alias("out"))
-    none = F.array().cast("array<struct<run_off:int,run:string>>")
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
     rest = [c for c in seqs.columns if c != seq]
-    return seqs.select(*rest, F.explode_outer(found).alias("r")).where("r is not null").select(*rest, "r.run_off", "r.run")
+    return seqs.select(*rest, F.col(seq).alias("seq")).mapInArrow(words.runs, _with(seqs.select(*rest), run_off="int", run="string"))
+
+
+def _with(seqs: DataFrame, **columns: str) -> T.StructType:
+    """The schema of these rows without their sequence, and of columns beside it."""
+    rest = [T.StructField(f.name, f.dataType) for f in seqs.schema if f.name != "seq"]
+    return T.StructType([*rest, *T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))])
 
 
 def _chunks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
