@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqgraph.checkpoints import saved
 from seqgraph.functions.sequences import unsigned_order
 from seqgraph.operators import words
 
@@ -210,21 +211,20 @@ def mems(reads: DataFrame, onodes: DataFrame, least: int) -> DataFrame:
 
     Start indices. A match begins where l-mers are equal and the bases before them are not (or there is none), and ends
     likewise; both are equi-joins on the l-mer and that base, whose rows are the matches' own ends, however often an l-mer
-    is repeated. On one diagonal the n-th begin goes with the n-th end.
+    is repeated. On one diagonal the n-th begin goes with the n-th end. Before the joins a filter of fixed size drops
+    l-mers of reads that the graph does not hold.
     """
-
-    def lmers(seqs: DataFrame, key: str) -> DataFrame:
-        blocks = _blocks(acgt_runs(seqs.select(key, "seq")), least, 1, least)
-        own = F.col("at") - F.col("from_")
-        places = F.when(F.length("block") >= own + least, F.sequence(own, F.length("block") - least)).otherwise(F.array().cast("array<int>"))
-        cut = blocks.withColumn("i", F.explode_outer(places)).where(f"i is not null and from_ + i < at + {BLOCK}")
-        around = (F.when(F.col("i") > 0, F.substring("block", F.col("i"), F.lit(1))).otherwise("").alias("before"), F.substring("block", F.col("i") + least + 1, F.lit(1)).alias("behind"))
-        return cut.select(key, (F.col("run_off") + F.col("from_") + F.col("i")).alias("p"), F.expr(f"substring(block, i + 1, {least})").alias("lmer"), *around)
+    read, node = spread(reads.select("read_id", "seq"), "read_id"), onodes.select("onode_id", "seq")
+    held = node.mapInArrow(partial(words.slots, k=least), "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect()
+    cut = partial(words.filtered, k=least, bits=words.filter_of([tuple(r) for r in held]))
+    lmers = {"p": "int", "lmer": "string", "before": "string", "behind": "string"}
+    near = saved(read.mapInArrow(cut, _with(read, **lmers)), "lmers").withColumnRenamed("p", "read_pos")
+    nodes = saved(node.mapInArrow(cut, _with(node, **lmers)), "lmers").withColumnRenamed("p", "off")
 
     def ends(side: str) -> DataFrame:
         others = F.filter(F.array(*map(F.lit, ("A", "C", "G", "T", ""))), lambda x: (x != F.col(side)) | (x == ""))
-        read = lmers(reads, "read_id").select("read_id", F.col("p").alias("read_pos"), "lmer", F.explode(others).alias("base"))
-        node = lmers(onodes, "onode_id").select("onode_id", F.col("p").alias("off"), "lmer", F.col(side).alias("base"))
+        read = near.select("read_id", "read_pos", "lmer", F.col(side).alias("base"))
+        node = nodes.select("onode_id", "off", "lmer", F.explode(others).alias("base"))
         met = read.join(node, ["lmer", "base"]).select("read_id", "onode_id", "read_pos", "off", (F.col("read_pos") - F.col("off")).alias("diag"))
         return met.withColumn("nth", F.row_number().over(W.partitionBy("read_id", "onode_id", "diag").orderBy("off")))
 
