@@ -109,14 +109,8 @@ def minimizers(seqs: DataFrame, key: str, k: int, w: int) -> DataFrame:
 
     ``pos`` is the end index of the k-mer in the sequence. Runs of ACGT shorter than w give none.
     """
-    n = w - k + 1
-    blocks = _blocks(acgt_runs(seqs.select(key, "seq")), w, n - 1, n + k - 2).where(F.length("block") >= w)
-    blocks = blocks.withColumn("codes", _codes(k)).withColumn("h", _hashed(F.col("codes")))
-    blocks = blocks.withColumn("low", F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda j: F.array_min(F.slice("h", j, n))))
-    first = lambda i: F.greatest(i - n + 2, F.lit(1))  # noqa: E731  windows that hold k-mer i (from 0) begin at i - n + 2 .. i + 1 (from 1)
-    chosen = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.element_at("h", i + 1) == F.array_max(F.slice("low", first(i), F.least(i + 1, F.size("low")) - first(i) + 1)))
-    out = blocks.withColumn("i", F.explode_outer(chosen)).where(f"i is not null and from_ + i between at and at + {BLOCK - 1}")
-    return out.select(key, (F.col("run_off") + F.col("from_") + F.col("i") + k - 1).cast("long").alias("pos"), F.element_at("codes", F.col("i") + 1).alias("kmer"))
+    rows = spread(seqs.select(key, "seq"), key)
+    return rows.mapInArrow(partial(words.minimizers, k=k, w=w), _with(rows, pos="long", kmer="long"))
 
 
 def read_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
