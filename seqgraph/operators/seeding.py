@@ -1,8 +1,8 @@
 """Seeding: k-mers, minimizers, syncmers, the index, lookups, budgets and exact matches.
 
-K-mers and minimizers are computed within a row, over blocks of a sequence that overlap by one window, so they need no
-shuffle; the first exchange is that of the lookup join, by k-mer. A run is cut in chunks in one pass and these in blocks, so
-the cost of a long sequence grows with its length.
+K-mers and minimizers are computed within a row, over stretches or blocks of a sequence that overlap by one window, so they
+need no shuffle; the first exchange is that of the lookup join, by k-mer. For syncmers and spectra a run is cut in chunks in
+one pass and these in blocks, so the cost of a long sequence grows with its length.
 """
 
 from __future__ import annotations
@@ -36,43 +36,22 @@ def _with(seqs: DataFrame, **columns: str) -> T.StructType:
 
 
 def _chunks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
-    """``c_at``, ``own`` and ``text`` of each chunk of a run: its place, its bases, and these with margins; ``ahead``, how
-    many bases like the last one before the chunk lie there side by side, and ``last``, that base."""
+    """``c_at``, ``own`` and ``text`` of each chunk of a run: its place, its bases, and these with margins."""
     rest = [c for c in runs.columns if c != "run"]
     parts = runs.where(F.length("run") >= least).select(*rest, F.regexp_extract_all("run", F.lit(f".{{1,{CHUNK}}}"), F.lit(0)).alias("parts"))
-    end = lambda x: F.right(x, F.lit(1))
-
-    def tail(acc, x):
-        own = F.length(x) - F.length(F.rtrim(x, end(x)))
-        n = own + F.when((own == F.length(x)) & (acc["last"] == end(x)), acc["n"]).otherwise(0)
-        return F.struct(n.cast("int").alias("n"), end(x).alias("last"), F.concat(acc["out"], F.array(F.struct(acc["n"].alias("n"), acc["last"].alias("last")))).alias("out"))
-
-    none = F.array().cast("array<struct<n:int,last:string>>")
-    tails = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit("").alias("last"), none.alias("out")), tail, lambda acc: acc["out"])
     side = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
-    told = parts.withColumn("tails", tails)
-    whole = F.transform("parts", lambda x, i: F.struct((i * CHUNK).alias("c_at"), x.alias("own"), F.concat(F.right(side(i - 1), F.lit(left)) if left else F.lit(""), x, F.left(side(i + 1), F.lit(right)) if right else F.lit("")).alias("text"), F.get("tails", i)["n"].alias("ahead"), F.get("tails", i)["last"].alias("last")))
-    return told.select(*rest, F.explode_outer(whole).alias("c")).where("c is not null").select(*rest, "c.*")
+    whole = F.transform("parts", lambda x, i: F.struct((i * CHUNK).alias("c_at"), x.alias("own"), F.concat(F.right(side(i - 1), F.lit(left)) if left else F.lit(""), x, F.left(side(i + 1), F.lit(right)) if right else F.lit("")).alias("text")))
+    return parts.select(*rest, F.explode_outer(whole).alias("c")).where("c is not null").select(*rest, "c.*")
 
 
-def _blocks(runs: DataFrame, least: int, left: int, right: int, lead: bool = False) -> DataFrame:
+def _blocks(runs: DataFrame, least: int, left: int, right: int) -> DataFrame:
     """Adds ``at`` (place of the block's first own base in the run), ``from_`` and ``block``, which has margins; margins are
-    shorter than a chunk.
-
-    With ``lead`` also how many bases like the block's first one lie right before it.
-    """
+    shorter than a chunk."""
     rest = [c for c in runs.columns if c != "run"]
     chunk = _chunks(runs, least, left, right)
     from_ = lambda a: F.greatest(F.col("c_at") + a - left, F.lit(0))
     margin = F.least(F.lit(left), F.col("c_at"))
-
-    def before(a):
-        first = F.substring(F.col("own"), a + 1, F.lit(1))
-        mine = F.substring(F.col("own"), F.lit(1), a)
-        same = a - F.length(F.rtrim(mine, first))
-        return (same + F.when((same == a) & (F.col("last") == first), F.col("ahead")).otherwise(0)).cast("int").alias("lead")
-
-    one = lambda a: F.struct((F.col("c_at") + a).alias("at"), from_(a).alias("from_"), F.substring("text", (from_(a) - F.col("c_at") + margin + 1).cast("int"), (F.col("c_at") + a - from_(a) + BLOCK + right).cast("int")).alias("block"), *([before(a)] if lead else []))
+    one = lambda a: F.struct((F.col("c_at") + a).alias("at"), from_(a).alias("from_"), F.substring("text", (from_(a) - F.col("c_at") + margin + 1).cast("int"), (F.col("c_at") + a - from_(a) + BLOCK + right).cast("int")).alias("block"))
     cut = F.transform(F.sequence(F.lit(0), F.length("own") - 1, F.lit(BLOCK)), one)
     return chunk.select(*rest, F.explode_outer(cut).alias("b")).where("b is not null").select(*rest, "b.*")
 
@@ -116,17 +95,10 @@ def minimizers(seqs: DataFrame, key: str, k: int, w: int) -> DataFrame:
 def read_kmers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """``(read_id, pos, kmer)``: all k-mers, of equal neighbours only each (w - k + 1)-th; ``pos`` is the end index.
 
-    Equal neighbours exist only within runs of one base, whose length before the place gives the count: within a block,
-    and, where that is one run so far, from the block's lead.
+    Equal neighbours exist only within runs of one base, whose length before the place gives the count.
     """
-    blocks = _blocks(acgt_runs(spread(reads.select("read_id", "seq"), "read_id")), k, 0, k - 1, lead=True)
-    cut = blocks.withColumn("codes", _codes(k)).select("read_id", "run_off", "at", "block", "lead", F.posexplode_outer("codes").alias("i", "kmer")).where(f"i is not null and i < {BLOCK}")
-    ones = (4**k - 1) // 3
-    same = F.col("kmer").isin(0, ones, 2 * ones, 3 * ones)
-    upto = F.substring(F.col("block"), F.lit(1), F.col("i") + k)
-    here = F.length(upto) - F.length(F.rtrim(upto, F.substring("block", F.col("i") + k, F.lit(1))))
-    earlier = here + F.when(here == F.col("i") + k, F.col("lead")).otherwise(0) - k
-    return cut.where(~same | (earlier % (w - k + 1) == 0)).select("read_id", (F.col("run_off") + F.col("at") + F.col("i") + k - 1).cast("long").alias("pos"), "kmer")
+    rows = spread(reads.select("read_id", "seq"), "read_id")
+    return rows.mapInArrow(partial(words.kmers, k=k, every=w - k + 1), _with(rows, pos="long", kmer="long"))
 
 
 def syncmers(seqs: DataFrame, key: str, k: int, s: int = 5) -> DataFrame:
