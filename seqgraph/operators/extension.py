@@ -465,12 +465,13 @@ def violations(described_: DataFrame) -> DataFrame:
 
     def step(acc, x):
         op, n = F.left(x, F.lit(1)), F.length(x)
-        ours, theirs = F.substring(F.col("seq"), acc["r"] + 1, n), F.substring(F.col("graph_seq"), acc["g"] + 1, n)
+        ours, theirs = F.substring(acc["seq"], acc["r"] + 1, n), F.substring(acc["graph_seq"], acc["g"] + 1, n)
         known = (F.length(ours) == n) & F.rlike(ours, F.lit(f"^[{CODES}{CODES.lower()}]*$"))
         same = F.coalesce(known & ((ours == theirs) | (equal_run(ours, theirs) == n)), F.lit(False))
-        return F.struct((acc["r"] + F.when(op == "D", 0).otherwise(n)).cast("int").alias("r"), (acc["g"] + F.when(op == "I", 0).otherwise(n)).cast("int").alias("g"), (acc["ok"] & ((op != "=") | same)).alias("ok"))
+        return F.struct((acc["r"] + F.when(op == "D", 0).otherwise(n)).cast("int").alias("r"), (acc["g"] + F.when(op == "I", 0).otherwise(n)).cast("int").alias("g"), (acc["ok"] & ((op != "=") | same)).alias("ok"), acc["seq"].alias("seq"), acc["graph_seq"].alias("graph_seq"))
 
-    sound = F.aggregate(runs, F.struct(F.col("read_start").cast("int").alias("r"), F.lit(0).alias("g"), F.lit(True).alias("ok")), step, lambda acc: acc["ok"])
+    # the texts go along in the state: a filter that is pushed down would spell them anew for each run
+    sound = F.aggregate(runs, F.struct(F.col("read_start").cast("int").alias("r"), F.lit(0).alias("g"), F.lit(True).alias("ok"), F.col("seq").alias("seq"), F.col("graph_seq").alias("graph_seq")), step, lambda acc: acc["ok"])
     wrong = ~sound | (count("=") != F.col("edits")) | (count("D") != F.col("read_end") - F.col("read_start")) | (count("I") != F.length("graph_seq"))
     return described_.where(wrong)
 
